@@ -21,6 +21,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cryoframe.session import cut
+
 GROUP_LIMIT = 2_000_000
 _SIDE = 32
 SLICES = _SIDE * _SIDE
@@ -64,9 +66,8 @@ def _sliced_quantiles(
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     cuts = [float(i) / SLICES for i in range(1, SLICES)]
-    edges = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", cuts, 100_000).alias("_edges"), F.count("_v").alias("_total")
-    )
+    # One row per large group: cheap to write, and it spares every later branch the sketch.
+    edges = cut(rows.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 4 * SLICES).alias("_edges")))
     counted = (
         rows.join(F.broadcast(edges), keys)
         .withColumn("_slice", _slice_of(F.col("_edges"), F.col("_v")))
@@ -82,7 +83,7 @@ def _sliced_quantiles(
         .withColumn("_total", F.sum("_m").over(Window.partitionBy(*keys)))
     )
     names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    wanted = (
+    wanted = cut(
         slices.withColumn("_q", F.explode(names))
         .withColumn("_pos", F.col("_q.p") * (F.col("_total") - 1))
         .withColumn(
