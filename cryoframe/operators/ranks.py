@@ -14,16 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cryoframe.operators.skew import SLICES, _slice_of, group_quantiles
+from cryoframe.operators.skew import edge_table, group_quantiles, with_slice
 
 
 def value_positions(df: DataFrame, value: str) -> DataFrame:
     """(value, count, below, total): how many rows hold a smaller value, for each distinct value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("count"))
-    cuts = [float(i) / SLICES for i in range(1, SLICES)]
-    edges = counts.agg(F.percentile_approx(F.col(value).cast("double"), cuts, 100_000).alias("_e"))
-    sliced = counts.crossJoin(F.broadcast(edges)).withColumn("_s", _slice_of(F.col("_e"), F.col(value).cast("double"))).drop("_e")
-    # At most SLICES rows reach this window.
+    edges = edge_table(counts, [], value)
+    sliced = with_slice(counts.crossJoin(F.broadcast(edges)), value).withColumnRenamed("_slice", "_s")
+    # At most STRATA squared rows reach this window.
     run = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = (
         sliced.groupBy("_s").agg(F.sum("count").alias("_m"))

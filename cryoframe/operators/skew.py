@@ -5,10 +5,10 @@ best plan while a group is bounded, and no plan at all for a group holding a
 third of a table. So each function first counts its groups (keys only, map-side
 combined) and sends only the groups above ``limit`` through *sliced selection*:
 
-1. a mergeable quantile sketch gives ``SLICES`` edges per large group;
+1. a mergeable quantile sketch gives ``STRATA`` edges per large group;
 2. values are counted by (group, slice, value), so ties collapse before the
-   shuffle and one group spreads over ``SLICES`` reducers;
-3. a running count over the at most ``SLICES`` slices of a group says which
+   shuffle and one group spreads over up to ``STRATA`` squared reducers;
+3. a running count over the at most 4,096 slices of a group says which
    slice holds the wanted rank, and only that slice is ordered.
 
 The sketch decides where work goes, never what the answer is: results are exact.
@@ -18,14 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cryoframe.session import cut
 
 GROUP_LIMIT = 2_000_000
-_SIDE = 32
-SLICES = _SIDE * _SIDE
+STRATA = 64
 
 
 def large_groups(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame | None:
@@ -48,16 +47,28 @@ def split_large(
     return small, large
 
 
-def _slice_of(edges: Column, value: Column) -> Column:
-    """Number of edges below ``value``, in two steps of at most 32 comparisons."""
-    coarse = F.size(
-        F.filter(
-            F.transform(F.sequence(F.lit(_SIDE), F.lit(SLICES - _SIDE), F.lit(_SIDE)), lambda i: F.element_at(edges, i)),
-            lambda e: e < value,
-        )
-    )
-    fine = F.size(F.filter(F.slice(edges, coarse * _SIDE + 1, F.lit(_SIDE)), lambda e: e < value))
-    return coarse * _SIDE + fine
+def edge_table(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per group: ``STRATA`` + 1 edges of equal mass up to the sketch's error."""
+    cuts = [float(i) / STRATA for i in range(STRATA + 1)]
+    return rows.groupBy(*keys).agg(F.percentile_approx(value, cuts, 20 * STRATA).alias("_e"))
+
+
+def with_slice(rows: DataFrame, value: str) -> DataFrame:
+    """Adds ``_slice``, non-decreasing in the value; needs the column of the edge table.
+
+    A stratum by binary search, then equal widths inside it: plain arithmetic that compiles,
+    no per-row loop over an array.
+    """
+    v = F.col(value)
+    out = rows.withColumn("_c0", F.lit(0))
+    step = STRATA // 2
+    while step:  # binary search: log2(STRATA) small projections
+        out = out.withColumn("_c0", F.col("_c0") + F.when(v > F.get("_e", F.col("_c0") + step), step).otherwise(0))
+        step //= 2
+    low, high = F.get("_e", F.col("_c0")), F.get("_e", F.col("_c0") + 1)
+    inner = F.floor(F.try_divide(v - low, high - low) * STRATA)
+    inside = F.least(F.greatest(F.coalesce(inner, F.lit(0)), F.lit(0)), F.lit(STRATA - 1))
+    return out.withColumn("_slice", (F.col("_c0") * STRATA + inside).cast("int")).drop("_c0", "_e")
 
 
 def _sliced_quantiles(
@@ -65,14 +76,10 @@ def _sliced_quantiles(
 ) -> DataFrame:
     keys = list(keys)
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    cuts = [float(i) / SLICES for i in range(1, SLICES)]
     # One row per large group: cheap to write, and it spares every later branch the sketch.
-    edges = cut(rows.groupBy(*keys).agg(F.percentile_approx("_v", cuts, 4 * SLICES).alias("_edges")))
+    edges = cut(edge_table(rows, keys, "_v"))
     counted = (
-        rows.join(F.broadcast(edges), keys)
-        .withColumn("_slice", _slice_of(F.col("_edges"), F.col("_v")))
-        .groupBy(*keys, "_slice", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        with_slice(rows.join(F.broadcast(edges), keys), "_v").groupBy(*keys, "_slice", "_v").agg(F.count(F.lit(1)).alias("_c"))
     )
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
     slices = (
