@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cryoframe.operators.skew import edge_table, group_quantiles, with_slice
 
@@ -79,12 +80,12 @@ def student_p(t: float, df: float) -> float:
     return 2 * _t_sf(abs(t), df) if df > 0 and math.isfinite(t) else math.nan
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _student_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([student_p(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal deviate."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None).astype("float64")

@@ -9,7 +9,7 @@ broadcast by hint; Spark broadcasts by measured size.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -412,23 +412,23 @@ def in_boxes(points: DataFrame, boxes: DataFrame, halo_m: float, bucket_m: float
     return a.join(b, cond, "left_semi").drop("_bx", "_by")
 
 
-def match_names(rows: DataFrame, catalogue: DataFrame, *, name: str, value: str, fallback: Column, prefix_max: Mapping[str, str] | None = None) -> DataFrame:
-    """Value by normalised name: exact, else the largest value of a named family, else the only key
-    contained in (or containing) the name, else the fallback. Names, not rows, are compared."""
-    cat = catalogue.select(normal_name(F.col(name)).alias("_key"), F.col(value).alias("_val")).groupBy("_key").agg(F.max("_val").alias("_val"))
+def match_names(rows: DataFrame, catalogue: DataFrame, *, name: str, value: str, fallback: Column, families: Sequence[str] = ()) -> DataFrame:
+    """Value by normalised name: exact, else the largest value of a family (names with a common start),
+    else the only catalogue key contained in the name, else the fallback. Distinct names, not rows, are compared."""
+    cat = catalogue.select(normal_name(F.col(name)).alias("_key"), F.col(value).alias("_val")).where(F.col("_key") != "")
+    cat = cat.groupBy("_key").agg(F.max("_val").alias("_val"))
     names = rows.select(F.col(name).alias("_name")).distinct().withColumn("_norm", normal_name(F.col("_name")))
-    cond = F.col("_norm").contains(F.col("_key")) | F.col("_key").contains(F.col("_norm"))
-    hits = names.join(cat, cond, "left").groupBy("_name", "_norm").agg(
+    inside = F.col("_norm").contains(F.col("_key"))
+    kin: Column = F.lit(False)
+    for start in families:
+        kin = kin | (F.col("_norm").startswith(start) & F.col("_key").startswith(start))
+    hits = names.join(cat, inside | kin, "left").groupBy("_name").agg(
         F.max(F.when(F.col("_norm") == F.col("_key"), F.col("_val"))).alias("_exact"),
-        F.count("_key").alias("_n"),
-        F.max("_val").alias("_any"),
-        *[F.max(F.when(F.col("_key").startswith(key), F.col("_val"))).alias(f"_f{i}") for i, key in enumerate((prefix_max or {}).values())],
+        F.max(F.when(kin, F.col("_val"))).alias("_family"),
+        F.count_if(inside).alias("_n"),
+        F.max(F.when(inside, F.col("_val"))).alias("_only"),
     )
-    family = None
-    for i, start in enumerate((prefix_max or {})):
-        rule = F.when(F.col("_norm").startswith(start), F.col(f"_f{i}"))
-        family = rule if family is None else F.coalesce(family, rule)
-    found = F.coalesce(F.col("_exact"), *( [family] if family is not None else []), F.when(F.col("_n") == 1, F.col("_any")))
+    found = F.coalesce(F.col("_exact"), F.col("_family"), F.when(F.col("_n") == 1, F.col("_only")))
     picked = hits.select("_name", found.alias("_found"))
     return (
         rows.join(picked, F.col(name) == F.col("_name"), "left")

@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cryoframe.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +31,7 @@ def query(name: str, sql: str | None = None, *, floats: str = "", digits: int =
 
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             df = fn(spark, sf_dir)
             return df.select(*[F.round(c, digits).alias(c) if c in cols else F.col(c) for c in df.columns])
 
