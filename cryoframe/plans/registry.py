@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is complete."""
 
-from cryoframe.plans import base, q_predicates, q_scalars, q_sources, q_spatial, q_stats  # noqa: F401
+from cryoframe.plans import base, q_models, q_predicates, q_scalars, q_sources, q_spatial, q_stats  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE
