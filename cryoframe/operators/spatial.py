@@ -78,7 +78,9 @@ def radius_join(
     if how != "inner":
         right = right.select("_bx", "_by", *by, F.col(nx).alias("_nx"), F.col(ny).alias("_ny"))
         nx, ny = "_nx", "_ny"
-    a, b = left.alias("a"), right.alias("b")
+    # Hash the node side per bucket: points are shuffled once and never sorted, and Spark cannot
+    # mistake them for the side to broadcast when its estimate of the exploded nodes is off.
+    a, b = left.alias("a"), right.hint("shuffle_hash").alias("b")
     dx, dy = F.col(f"a.{px}") - F.col(f"b.{nx}"), F.col(f"a.{py}") - F.col(f"b.{ny}")
     cond = (F.col("a._bx") == F.col("b._bx")) & (F.col("a._by") == F.col("b._by"))
     for k in by:

@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input of few files; an input of many partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def query(name: str, sql: str | None = None, *, floats: str = "", digits: int = 6):
     """Register a query. ``floats`` are the columns rounded to ``digits`` on both sides."""
     cols = floats.split()
@@ -58,7 +64,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(500.0) - F.lit(0.5) * (year - 1998) + F.lit(1.0e-4) * (x - 50000.0)
         + (F.col("l_quantity") - 25.0) * 0.01 + F.when(order % 211 == 0, 25.0).otherwise(0.0)
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey").select(
         (order * 8 + F.col("l_linenumber")).alias("pa"),
         part.alias("pb"),
         F.col("l_suppkey").alias("pc"),

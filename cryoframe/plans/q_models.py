@@ -129,7 +129,7 @@ def i13(spark, sf):
 
 @query("I14_year_jackknife")
 def i14(spark, sf):
-    return yearblocks.jackknife(blocks(spark, sf, sigma="s_elv"))
+    return yearblocks.jackknife(blocks(spark, sf, sigma="s_elv", basis=yearblocks.RATE_BASIS), basis=yearblocks.RATE_BASIS)
 
 
 @query("I15_year_bootstrap")
