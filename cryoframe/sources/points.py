@@ -125,10 +125,12 @@ def consolidate(
 
     Unreadable files are skipped by the reader; one off-schema column is null and never a wrong type.
     """
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "false")
-    pts = nan_to_null(with_position(reader.schema(POINTS).parquet(path)))
+    def reader():  # a reader keeps the schema it was given, so each scan gets its own
+        return spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "false")
+
+    pts = nan_to_null(with_position(reader().schema(POINTS).parquet(path)))
     if flags_path and flag_keep is not None:
-        pts = positional_flags(pts, with_position(reader.parquet(flags_path)), flag_keep)
+        pts = positional_flags(pts, with_position(reader().parquet(flags_path)), flag_keep)
     if roi:
         pts = pts.where(F.col("lon").between(roi["lon_min"], roi["lon_max"]) & F.col("lat").between(roi["lat_min"], roi["lat_max"]))
     return pts
