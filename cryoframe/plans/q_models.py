@@ -88,9 +88,15 @@ def i06(spark, sf):
     return trend.seasonal_mann_kendall_sen(monthly(spark, sf), ["ci", "cj"], value="v").select("ci", "cj", "tau", "sens_slope", "intercept")
 
 
-@query("I07_trend_table")
+# Exact two-sided p by length and discordant pairs; series here have at most seven years.
+KENDALL_SQL = "kx(n, dis, p) AS (VALUES " + ", ".join(f"({n}, {d}, {p!r}::DOUBLE)" for n, d, p in ranks.kendall_exact_table(7)) + ")"
+TREND_SQL = """tq AS (SELECT mk2.*, p AS p_value FROM (SELECT mk2.*, tau*n*(n-1)/2 AS s FROM mk2 WHERE n>=4) mk2 JOIN kx ON kx.n=mk2.n AND kx.dis=round((mk2.n*(mk2.n-1)/2-s)/2)),
+ tf AS (SELECT *, min(p_value*m/rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, node_x, node_y) AS rk FROM tq))"""
+
+
+@query("I07_trend_table", with_pts("SELECT node_x, node_y, n AS n_epochs, p_value, least(a,1) AS p_fdr, a<=0.05E0 AS significant, CASE WHEN a>0.05E0 THEN 'no_trend' WHEN sens_slope<0 THEN 'decreasing' ELSE 'increasing' END AS trend FROM tf", tile_nodes_sql(50000, 5000), SER_SQL, MK_SQL, KENDALL_SQL, TREND_SQL), floats="p_value p_fdr")
 def i07(spark, sf):
-    return trend.trend_table(series(spark, sf))
+    return trend.trend_table(series(spark, sf)).select("node_x", "node_y", "n_epochs", "p_value", "p_fdr", "significant", "trend")
 
 
 @query("I08_identifiability", with_pts("SELECT pc, n, n_years, pcv AS phase_coverage, pcv>=0.35E0 AS seasonal_ok, n_years>=5 AS accel_ok, CASE WHEN pcv<0.35E0 AND n_years<5 THEN 'phase coverage; years' WHEN pcv<0.35E0 THEN 'phase coverage' WHEN n_years<5 THEN 'years' ELSE '' END AS reason FROM (SELECT pc, count(*) AS n, count(DISTINCT floor(t_year)) AS n_years, 1-sqrt(pow(avg(cos(2*pi()*t_year)),2)+pow(avg(sin(2*pi()*t_year)),2)) AS pcv FROM pts WHERE \"month\" IN (6,7,8) OR pc%2=0 GROUP BY pc)"), floats="phase_coverage")
@@ -220,10 +226,14 @@ def i25(spark, sf):
     return interpolate.prediction_metrics(r, ["method"])
 
 
-@query("I26_grid_prediction")
+GRID_PRED_SQL = """gx AS (SELECT x0+i*5000.0E0 AS gx, y0+j*5000.0E0 AS gy FROM (SELECT min(cx) AS x0, max(cx) AS x1, min(cy) AS y0, max(cy) AS y1 FROM cen), (SELECT unnest(range(0,40)) AS i), (SELECT unnest(range(0,40)) AS j) WHERE x0+i*5000.0E0<=x1+5E-6 AND y0+j*5000.0E0<=y1+5E-6),
+ gn AS (SELECT * FROM (SELECT gx, gy, v, 0.001E0+v/100 AS s, (gx-cx)*(gx-cx)+(gy-cy)*(gy-cy) AS d2, row_number() OVER (PARTITION BY gx, gy ORDER BY (gx-cx)*(gx-cx)+(gy-cy)*(gy-cy), ci, cj) AS k FROM gx, cen) WHERE k<=16)"""
+
+
+@query("I26_grid_prediction", with_pts("SELECT gx, gy, sum(v/d2)/sum(1/d2) AS pred, sum(s/d2)/sum(1/d2) AS sigma_input FROM gn GROUP BY gx, gy", CENT_SQL, GRID_PRED_SQL), floats="gx gy pred sigma_input")
 def i26(spark, sf):
     c = centroids(spark, sf).withColumn("s", F.lit(0.001) + F.col("v") / 100)
-    return interpolate.interpolate_to_grid(c, "idw", value="v", sigma="s", source_id=["ci", "cj"], res=5000.0, k=16, x="cx", y="cy")
+    return interpolate.interpolate_to_grid(c, "idw", value="v", sigma="s", source_id=["ci", "cj"], res=5000.0, k=16, x="cx", y="cy").select("gx", "gy", "pred", "sigma_input")
 
 
 @query("I27_residual_correlation")

@@ -186,17 +186,29 @@ def event_stream(spark, sf):
     return spark.readStream.schema(batch.schema).parquet(path)
 
 
-@query("L02_pass_sessions")
+SESSION_SQL = """WITH e AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts-lag(ts) OVER w >= INTERVAL 1 DAY THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM e)
+ SELECT user_id, count(*) AS n, sum(value) AS value_sum, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, k
+ HAVING max(ts)+INTERVAL 1 DAY <= (SELECT max(ts) FROM events)-INTERVAL 1 HOUR"""
+
+
+@query("L02_pass_sessions", SESSION_SQL, floats="value_sum")
 def l02(spark, sf):
     """Sessions closed by the watermark; the last open ones wait for later rows."""
     base = scratch(spark, "sessions")
     s = incremental.pass_sessions(event_stream(spark, sf), key="user_id", time="ts", gap="1 day", late="1 hour", value="value")
-    return incremental.run_available(s, os.path.join(base, "out"), os.path.join(base, "cp"))
+    out = incremental.run_available(s, os.path.join(base, "out"), os.path.join(base, "cp"))
+    return out.select("user_id", "n", "value_sum", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+
+
+WINDOW_SQL = """SELECT epoch_us(w) AS start_us, floor(user_id*100.0E0/1000)::BIGINT AS cell_x, floor(value*10/1000)::BIGINT AS cell_y, count(*) AS n
+ FROM (SELECT *, make_timestamp((epoch_us(ts)//432000000000)*432000000000) AS w FROM events) WHERE w + INTERVAL 5 DAY <= (SELECT max(ts) FROM events)-INTERVAL 1 HOUR GROUP BY 1,2,3"""
 
 
-@query("L03_cell_window_counts")
+@query("L03_cell_window_counts", WINDOW_SQL)
 def l03(spark, sf):
     base = scratch(spark, "counts")
     e = event_stream(spark, sf).withColumn("x", F.col("user_id") * 100.0).withColumn("y", F.col("value") * 10)
     c = incremental.cell_month_counts(e, time="ts", late="1 hour", size=1000.0, window="5 days")
-    return incremental.run_available(c, os.path.join(base, "out"), os.path.join(base, "cp"))
+    out = incremental.run_available(c, os.path.join(base, "out"), os.path.join(base, "cp"))
+    return out.select(F.unix_micros("start").alias("start_us"), "cell_x", "cell_y", "n")
