@@ -153,8 +153,12 @@ def block_folds(df: DataFrame, n_folds: int, key: Sequence[str], *, order: Colum
 
     Units are counted, ordered by hash slice in two levels, and joined back.
     """
-    rank_by = order if order is not None else F.xxhash64(F.lit(seed), *key)
-    units = df.select(*key).distinct().withColumn("_o", rank_by).withColumn("_s", F.pmod(F.xxhash64(*key), F.lit(1)) if order is not None else F.shiftright("_o", 54))
+    units = df.select(*key).distinct().withColumn("_o", order if order is not None else F.xxhash64(F.lit(seed), *key))
+    if order is None:
+        units = units.withColumn("_s", F.shiftright("_o", 54))
+    else:
+        edges = edge_table(units, [], "_o")
+        units = with_slice(units.crossJoin(F.broadcast(edges)), "_o").withColumnRenamed("_slice", "_s")
     inner = Window.partitionBy("_s").orderBy("_o", *key)
     sizes = units.groupBy("_s").agg(F.count(F.lit(1)).alias("_m"))
     sizes = sizes.withColumn("_b", F.sum("_m").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")).drop("_m")
