@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cryoframe.operators.spatial import knn_join, nearest_epoch, nearest_join, radius_join
+from cryoframe.session import cut
 
 
 def wkt_vertices(lines: DataFrame, keys: Sequence[str], *, wkt: str = "wkt") -> DataFrame:
@@ -64,7 +65,8 @@ def classify_front(
     slim = points.select(*ids, "x", "y", time, distance)
     near = nearest_join(slim, ref, target_id=ids, source_id=[shelf, "sx", "sy"], base=base, max_distance=assignment_max)
     placed = near.select(*ids, "x", "y", time, distance, shelf)
-    dated = nearest_epoch(placed, fronts.select(shelf, epoch).distinct(), time=time, epoch=epoch, by=[shelf], max_gap=max_gap)
+    # Three branches read this table; written once, the shelf search is not run again for each.
+    dated = cut(nearest_epoch(placed, fronts.select(shelf, epoch).distinct(), time=time, epoch=epoch, by=[shelf], max_gap=max_gap))
     verts = fronts.select(shelf, epoch, F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(front_distance).alias("_df"))
     hit = knn_join(dated.where("epoch_valid"), verts, 1, target_id=ids, source_id=["sx", "sy"], by=[shelf, epoch], base=base, max_distance=max_search)
     margin = F.col("_df") - tolerance - F.col(distance)

@@ -121,6 +121,8 @@ def knn_join(
     sx, sy = sxy
     by = list(by)
     top = levels - 1
+    if max_distance is not None:  # a level whose 7 x 7 block spans the cutoff is as coarse as needed
+        top = min(top, max(0, math.ceil(math.log2(max_distance / (3.0 * base)))))
     s = sources.withColumn("_c0x", cell(sx, base)).withColumn("_c0y", cell(sy, base))
     t = targets.withColumn("_c0x", cell(tx, base)).withColumn("_c0y", cell(ty, base))
     lv = F.explode(F.sequence(F.lit(0), F.lit(top)))
@@ -134,10 +136,9 @@ def knn_join(
         .groupBy(*by, "_l", "_cx", "_cy")
         .agg(F.sum("_n").alias("_n"))
     )
-    chosen = (
-        t.select(*by, "_c0x", "_c0y")
-        .distinct()
-        .withColumn("_l", lv)
+    places = t.select(*by, "_c0x", "_c0y").distinct()
+    counted = (
+        places.withColumn("_l", lv)
         .withColumn("_o", F.explode(_offsets(1)))
         .withColumn("_cx", at("_c0x") + F.col("_o.i"))
         .withColumn("_cy", at("_c0y") + F.col("_o.j"))
@@ -145,8 +146,10 @@ def knn_join(
         .groupBy(*by, "_c0x", "_c0y", "_l")
         .agg(F.sum("_n").alias("_n"))
         .groupBy(*by, "_c0x", "_c0y")
-        .agg(F.coalesce(F.min(F.when(F.col("_n") >= k, F.col("_l"))), F.lit(top)).alias("_l"))
+        .agg(F.min(F.when(F.col("_n") >= k, F.col("_l"))).alias("_l"))
     )
+    # A place without enough sources around it searches at the coarsest level.
+    chosen = places.join(counted, [*by, "_c0x", "_c0y"], "left").withColumn("_l", F.coalesce("_l", F.lit(top)))
     size = F.lit(float(base)) * F.pow(F.lit(2.0), F.col("_l"))
     fx = F.col(tx) / F.col("_s") - F.floor(F.col(tx) / F.col("_s"))
     fy = F.col(ty) / F.col("_s") - F.floor(F.col(ty) / F.col("_s"))
