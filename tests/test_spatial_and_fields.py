@@ -134,3 +134,12 @@ def test_idw_hits_a_source_exactly(spark):
     t = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 0.0)], "t int, x double, y double")
     got = interpolate.predict("idw", t, nodes, "v", target_id=["t"], source_id=["i"], k=2).toPandas().set_index("t")
     assert got.loc[1, "pred"] == 5.0 and got.loc[1, "var"] == 0.0 and got.loc[2, "pred"] == pytest.approx(7.0)
+
+
+def test_nearest_with_cutoff_reaches_beyond_the_first_ring(spark, cloud):
+    targets = pd.DataFrame({"t": range(40), "x": np.linspace(-9000, 9000, 40), "y": np.linspace(9000, -7000, 40)})
+    src = spark.createDataFrame(cloud.rename(columns={"x": "sx", "y": "sy"}))
+    got = spatial.nearest_join(spark.createDataFrame(targets), src, target_id=["t"], source_id=["id"], base=400.0, max_distance=1200.0).toPandas().set_index("t")["dist"]
+    d = np.sqrt((targets.x.to_numpy()[:, None] - cloud.x.to_numpy()) ** 2 + (targets.y.to_numpy()[:, None] - cloud.y.to_numpy()) ** 2).min(axis=1)
+    assert set(got.index) == set(np.flatnonzero(d <= 1200.0))
+    assert np.allclose(got.sort_index().to_numpy(), d[d <= 1200.0])
