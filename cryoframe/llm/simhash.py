@@ -67,7 +67,7 @@ def second_variants(rows: DataFrame) -> DataFrame:
 
 def spanning_links(members: np.ndarray) -> tuple[list[int], list[int]]:
     """Links that connect what is connected among these distinct fingerprints: who is reached is not looked at again, so no list of all pairs is made."""
-    a, b, left = [], [], members
+    a, b, left = [], [], members.view(np.uint64)  # unsigned: else signs would not count as bits
     while len(left) > 1:
         waiting, left = [left[0]], left[1:]
         while waiting and len(left):
@@ -75,9 +75,9 @@ def spanning_links(members: np.ndarray) -> tuple[list[int], list[int]]:
             near = np.bitwise_count(left ^ x) <= DISTANCE
             if near.any():
                 found = left[near]
-                a += [x] * len(found)
-                b += found.tolist()
-                waiting += found.tolist()
+                a += [int(x.view(np.int64))] * len(found)
+                b += found.view(np.int64).tolist()
+                waiting += list(found)
                 left = left[~near]
     return a, b
 
