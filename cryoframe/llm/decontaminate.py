@@ -45,7 +45,7 @@ def _filter(hashes: DataFrame) -> np.ndarray:
     """Bits for the first ``FILTER_BITS`` bits of each hash in column ``h``: at most 2 MB come to the driver."""
     slots = hashes.select(F.expr(f"shiftrightunsigned(h, {64 - FILTER_BITS})").alias("slot"))
     maps = slots.groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    out = np.zeros(2**FILTER_BITS // 8 + 4096, np.uint8)
+    out = np.zeros(4096 + max(4096, 2**FILTER_BITS // 8), np.uint8)
     for bucket, bits in maps.collect():
         # A slot s > 0 is bit (s - 1) % 32768 of bucket (s - 1) / 32768 + 1; slot 0 is bit 0 of bucket 0.
         at = 4096 * bucket
@@ -53,9 +53,9 @@ def _filter(hashes: DataFrame) -> np.ndarray:
     return out
 
 
-def _held(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+def _held(filter_: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     """Whether the filter may hold each hash."""
-    slot = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
     bit = np.where(slot > 0, slot - 1 + 32768, 0)
     return (filter_[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
@@ -63,7 +63,7 @@ def _held(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
 def frequencies(docs: DataFrame, shingles: DataFrame) -> DataFrame:
     """slot, seen: how often shingles with these filter bits occur in all of ``docs``. It orders shingles by rarity only."""
     sizes = [r.k for r in shingles.select("k").distinct().collect()]  # at most SHINGLE numbers
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(shingles))
+    sent, width = docs.sparkSession.sparkContext.broadcast(_filter(shingles)), FILTER_BITS
 
     def run(batches):
         for batch in batches:
@@ -72,7 +72,7 @@ def frequencies(docs: DataFrame, shingles: DataFrame) -> DataFrame:
                 w = Words(texts)
                 for k in sizes:
                     h = w.shingles(k)[1]
-                    found.append(h[_held(sent.value, h)] >> np.uint64(64 - FILTER_BITS))
+                    found.append(h[_held(sent.value, h, width)] >> np.uint64(64 - width))
             slot, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64)), pa.array(seen.astype(np.int64))], ["slot", "seen"])
 
@@ -93,7 +93,7 @@ def stretches(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame
     A window that holds the shingle at place p lies within WINDOW - k words before and WINDOW - 1 after it, so each
     occurrence of a window lies in one stretch.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_filter(tokens))
+    sent, width = docs.sparkSession.sparkContext.broadcast(_filter(tokens)), FILTER_BITS
 
     def run(batches):
         for batch in batches:
@@ -107,9 +107,9 @@ def stretches(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame
                 spans = []
                 for k in sizes:
                     at, h = w.shingles(k)
-                    at = at[_held(sent.value, h)]
+                    at = at[_held(sent.value, h, width)]
                     spans.append(np.stack([np.maximum(at - (WINDOW - k), begins[w.doc[at]]), np.minimum(at + WINDOW - 1, begins[w.doc[at] + 1] - 1)], 1))
-                spans = np.concatenate(spans)
+                spans = np.concatenate([np.zeros((0, 2), np.int64), *spans])
                 spans = spans[np.argsort(spans[:, 0], kind="stable")]
                 if len(spans):
                     reach = np.maximum.accumulate(spans[:, 1])
