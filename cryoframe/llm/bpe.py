@@ -201,16 +201,16 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return tokens.mapInArrow(run, f"doc_id {id_type(tokens)}, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Encodes and decodes each text as a stream: doc_id, n_tokens, ids_sha256, decoded_sha256, same_text.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes each text as a stream: doc_id, n_tokens, ids_sha256, decoded_sha256, same_text; with ``with_ids`` token_ids too.
 
     ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of the decoded bytes. A null text counts as empty
-    (no tokens, digests of nothing). Neither ids nor text of a long document are held whole beside it.
+    (no tokens, digests of nothing). Without ``with_ids``, ids and decoded text of a long document are never held whole.
     """
     docs, ranks = ids_and_texts(docs), _vocabulary(docs, ranks_path)
 
-    def one(codec: Codec, text: str) -> tuple[int, str, str, bool]:
-        n, ids_hash, bytes_hash, at, same = 0, hashlib.sha256(), hashlib.sha256(), 0, True
+    def one(codec: Codec, text: str) -> tuple:
+        n, ids_hash, bytes_hash, at, same, kept = 0, hashlib.sha256(), hashlib.sha256(), 0, True, []
 
         def stream():
             nonlocal n
@@ -218,22 +218,25 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 if ids:
                     ids_hash.update((("," if n else "") + ",".join(map(codec.name, ids))).encode())
                 n += len(ids)
+                if with_ids:
+                    kept.extend(ids)
                 yield from ids
 
         for data, characters in codec.decode(stream()):
             bytes_hash.update(data)
             same = same and text.startswith(characters, at)
             at += len(characters)
-        return n, ids_hash.hexdigest(), bytes_hash.hexdigest(), same and at == len(text)
+        return n, ids_hash.hexdigest(), bytes_hash.hexdigest(), same and at == len(text), kept
+
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "same_text": pa.bool_(), "token_ids": pa.list_(pa.int32())}
+    if not with_ids:
+        kinds.pop("token_ids")
 
     def run(batches):
         codec = Codec.get(ranks.value, pattern)
         for batch in batches:
-            rows = [one(codec, t or "") for t in strings(batch.column(1))]
-            n, a, b, same = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same_text"],
-            )
-
-    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, same_text boolean")
+            columns = zip(*[one(codec, t or "") for t in strings(batch.column(1))], strict=True) if batch.num_rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=False)]], ["doc_id", *kinds])
+
+    schema = f"doc_id {id_type(docs)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, same_text boolean" + ", token_ids array<int>" * with_ids
+    return docs.mapInArrow(run, schema)

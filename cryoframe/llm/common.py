@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cryoframe.session import cut, ship
+from cryoframe.session import checkpoint_dir, cut, ship
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,6 +25,13 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df``, written as Parquet to the shared folder and read again."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"stored-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` bears."""
     taken = {c.lower() for c in df.columns}

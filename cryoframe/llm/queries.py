@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cryoframe.llm import bpe, decontaminate, exact_dedup, simhash, token_counts
+from cryoframe.llm import bpe, chat, decontaminate, exact_dedup, langid, line_dedup, secrets, shards, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,11 +43,70 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents")).drop("seen_before")
 
 
+@query(
+    "op2_line_dedup",
+    """
+    WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents),
+    pairs AS (SELECT doc_id, i, w[i:i + 1] AS two FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 1)) AS i FROM lines)),
+    copies AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY two ORDER BY doc_id, i) AS nth FROM pairs) WHERE nth > 1),
+    gone AS (SELECT DISTINCT doc_id, i + k AS i FROM copies, (VALUES (0), (1)) AS t(k)),
+    run AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone),
+    by_doc AS (SELECT doc_id, list(i) AS gone, count(*) AS n_deleted, count(*) FILTER (before IS NULL OR before < i - 1) AS n_runs FROM run GROUP BY doc_id)
+    SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, coalesce(n_runs, 0)::BIGINT AS n_runs,
+      sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [w[i] FOR i IN generate_series(1, len(w)) IF NOT list_contains(gone, i)] END, chr(10))) AS kept_sha256
+    FROM lines LEFT JOIN by_doc USING (doc_id)
+    """,
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op3_shards")
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"))
+
+
 @query("op4_token_counts")
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+#: A conversation whose texts look like control strings. Fixed by the task.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+@query(
+    "op7_chat_format",
+    f"""
+    WITH turns AS (
+      SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}')),
+    sized AS (
+      SELECT *, length('<||>' || chr(10) || '<|end|>' || chr(10)) + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '|', '&bar;'), chr(10), '&#10;'))
+        + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS n FROM turns)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+    FROM sized GROUP BY conv_id
+    """,
+)
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{CONTROL}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return chat.report(turns.unionByName(control))
+
+
 @query(
     "op8_decontaminate",
     r"""
