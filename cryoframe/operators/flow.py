@@ -6,14 +6,17 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cryoframe.operators.blocks import line_fit
 from cryoframe.operators.skew import group_quantiles
-from cryoframe.operators.spatial import radius_join, sample_bilinear
+from cryoframe.operators.spatial import radius_join
+from cryoframe.session import cut
 
-FIELD_ROW_LIMIT = 4_000_000
+#: Cells of a tile's side, and how far a parcel may travel from it before parcels are dealt out again.
+TILE_CELLS, REACH_CELLS = 64, 16
 
 
 def _steps(t0: float, t1: float, step_years: float) -> list[tuple[float, float]]:
@@ -51,80 +54,95 @@ class Sampler:
         return total
 
 
-def carry(sampler: Sampler, x: np.ndarray, y: np.ndarray, t0: float, t1: float, step_years: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fourth-order Runge-Kutta in a steady field; a parcel that leaves the field is marked, not truncated."""
-    at = np.stack([x, y]).astype(float)
-    alive = np.ones(x.size, bool)
-    for _, h in _steps(t0, t1, step_years):
-        k1 = sampler(*at)
-        k2 = sampler(*(at + h / 2 * k1))
-        k3 = sampler(*(at + h / 2 * k2))
-        k4 = sampler(*(at + h * k3))
-        move = h / 6 * (k1 + 2 * k2 + 2 * k3 + k4)
-        good = np.isfinite(move).all(axis=0)
-        alive &= good
-        at = np.where(good, at + np.nan_to_num(move), at)
-    return at[0], at[1], alive
+class Velocity:
+    """A field at one or more epochs: linear between two of them, the first or last one outside."""
+
+    def __init__(self, rows: pd.DataFrame, times: Sequence[float], origin: tuple[float, float], step: float):
+        self.times = np.asarray(times, float)
+        self.at = []
+        for t in times:
+            own = rows[rows["epoch"] == t]
+            self.at.append(Sampler(*(own[c].to_numpy() for c in ("cell_i", "cell_j", "vx", "vy")), origin, step) if len(own) else None)
+
+    def __call__(self, t: float, xy: np.ndarray) -> np.ndarray:
+        place = float(np.interp(t, self.times, np.arange(self.times.size)))
+        first = min(int(place), self.times.size - 1)
+        share = place - first
+        parts = [(1 - share, first)] + ([(share, first + 1)] if share > 0 else [])
+        nowhere = np.full(xy.shape, np.nan)
+        return sum(w * (self.at[k](*xy) if self.at[k] is not None else nowhere) for w, k in parts)
+
+
+# Classical Runge-Kutta of fourth order: where in the step each slope is taken, and its weight.
+STAGES = ((0.0, 1 / 6), (0.5, 1 / 3), (0.5, 1 / 3), (1.0, 1 / 6))
+
+
+def advance(velocity: Velocity, x: np.ndarray, y: np.ndarray, t0: float, t1: float, step_years: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places at ``t1`` of what is at (x, y) at ``t0``. Who leaves the field stays where it was and is marked."""
+    place = np.stack([x, y]).astype(float)
+    inside = np.isfinite(place).all(axis=0)
+    for t, h in _steps(t0, t1, step_years):
+        slope, move = np.zeros_like(place), np.zeros_like(place)
+        for share, weight in STAGES:
+            slope = velocity(t + share * h, place + share * h * slope)
+            move += weight * h * slope
+        inside &= np.isfinite(move).all(axis=0)
+        place = np.where(inside, place + np.where(inside, move, 0.0), place)
+    return place[0], place[1], inside
+
+
+def _legs(t0: float, t1: float, most: float) -> list[tuple[float, float]]:
+    """[t0, t1] in equal legs of at most ``most`` years."""
+    count = max(1, math.ceil(abs(t1 - t0) / most - 1e-12))
+    at = np.linspace(t0, t1, count + 1).tolist()
+    return list(zip(at, at[1:], strict=False))
 
 
 def trajectories(
     parcels: DataFrame, field: DataFrame, epochs: Sequence[float], t_ref: float, *, ids: Sequence[str], origin: tuple[float, float], step: float,
-    dt_days: float = 20.0, limit: int = FIELD_ROW_LIMIT, xy: tuple[str, str] = ("x", "y"),
+    dt_days: float = 20.0, tile_cells: int = TILE_CELLS, reach_cells: int = REACH_CELLS, parts: int = 1, xy: tuple[str, str] = ("x", "y"),
 ) -> DataFrame:
     """Position of each parcel at each epoch, from its place at ``t_ref``: ids, epoch, px, py, valid.
 
-    A velocity field of checked size is broadcast and every batch of parcels is integrated on
-    its own. A larger field stays a table: each Runge-Kutta stage is then a bilinear lookup by join.
+    ``field`` has cell_i, cell_j, vx, vy, and ``epoch`` where it varies in time. Field and parcels meet by tile; a tile's
+    rows of the field include a margin that no parcel can cross in one leg, at the field's greatest speed. So a task
+    holds one tile, whatever the field's extent, and only that speed and the field's epochs come to the driver. ``parts``
+    splits the parcels of crowded tiles.
     """
-    dt = dt_days / 365.25
-    n = field.count()
-    if n == 0:
+    field = field if "epoch" in field.columns else field.withColumn("epoch", F.lit(0.0))
+    fastest = field.agg(F.max(F.hypot("vx", "vy"))).first()[0]
+    if fastest is None:
         raise ValueError("the velocity field is empty")
-    base = parcels.select(*ids, *xy)
-    if n > limit:
-        return _trajectories_by_join(base, field, epochs, t_ref, ids=ids, origin=origin, step=step, dt=dt, xy=xy)
-    pdf = field.select("cell_i", "cell_j", "vx", "vy").toPandas()  # at most ``limit`` rows, just counted
-    arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
-    shared = parcels.sparkSession.sparkContext.broadcast(arrays)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.select(*ids).schema.fields) + ", epoch double, px double, py double, valid boolean"
-    times = [float(e) for e in epochs]
-
-    def run(batches):
-        a = shared.value
-        sampler = Sampler(a["cell_i"], a["cell_j"], a["vx"], a["vy"], origin, step)
-        for batch in batches:
-            for e in times:
-                out = batch[list(ids)].copy()
-                px, py, ok = carry(sampler, batch[xy[0]].to_numpy(float), batch[xy[1]].to_numpy(float), t_ref, e, dt)
-                out["epoch"], out["px"], out["py"], out["valid"] = e, px, py, ok
-                yield out
-
-    return base.mapInPandas(run, schema)
-
-
-def _trajectories_by_join(base: DataFrame, field: DataFrame, epochs: Sequence[float], t_ref: float, *, ids, origin, step, dt, xy) -> DataFrame:
-    from cryoframe.session import cut
-
-    def velocity(rows: DataFrame, name: str) -> DataFrame:
-        for c in ("vx", "vy"):
-            rows = sample_bilinear(rows, field, ids=ids, origin=origin, step=step, value=c, out=f"{name}{c}", xy=("_qx", "_qy"))
-        return rows
-
+    times = sorted(r.epoch for r in field.select(F.col("epoch").cast("double").alias("epoch")).distinct().collect())
+    most = reach_cells * step / fastest if fastest > 0 else math.inf
+    margin = reach_cells + 2  # a bilinear corner and a half-step beyond the reach
+    tiles_of = lambda c: F.explode(F.sequence(F.floor((F.col(c) - margin) / tile_cells), F.floor((F.col(c) + margin) / tile_cells)))
+    around = field.select("cell_i", "cell_j", "vx", "vy", F.col("epoch").cast("double").alias("epoch")).withColumn("tile_i", tiles_of("cell_i")).withColumn("tile_j", tiles_of("cell_j"))
+    around = cut(around.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else around.withColumn("part", F.lit(0)))
+    tile = lambda c, o: F.floor(F.floor((F.col(c) - o) / step) / tile_cells)
+    keys, dt = ["tile_i", "tile_j", "part"], dt_days / 365.25
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parcels.select(*ids).schema.fields) + ", px double, py double, valid boolean"
+
+    def leg(now: DataFrame, t0: float, t1: float) -> DataFrame:
+        def run(mine: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+            out = mine[[*ids, "px", "py", "valid"]].copy()
+            if len(mine):
+                x, y, ok = advance(Velocity(rows, times, origin, step), mine["px"].to_numpy(float), mine["py"].to_numpy(float), t0, t1, dt)
+                stays = out["valid"].to_numpy(bool)
+                out["px"], out["py"], out["valid"] = np.where(stays, x, out["px"]), np.where(stays, y, out["py"]), stays & ok
+            return out
+
+        dealt = now.withColumn("tile_i", tile("px", origin[0])).withColumn("tile_j", tile("py", origin[1])).withColumn("part", F.pmod(F.xxhash64(*ids), F.lit(parts)).cast("int"))
+        return cut(dealt.groupBy(*keys).cogroup(around.groupBy(*keys)).applyInPandas(run, schema))
+
+    start = parcels.select(*ids, F.col(xy[0]).cast("double").alias("px"), F.col(xy[1]).cast("double").alias("py"), F.lit(True).alias("valid"))
     out = None
     for side in (sorted(e for e in epochs if e >= t_ref), sorted((e for e in epochs if e < t_ref), reverse=True)):
-        now, at = base.select(*ids, F.col(xy[0]).alias("px"), F.col(xy[1]).alias("py"), F.lit(True).alias("valid")), t_ref
+        now, at = start, t_ref
         for e in side:
-            for _, h in _steps(at, e, dt):
-                rows = now
-                for k, (frac, prev) in enumerate(((0.0, None), (0.5, "k0"), (0.5, "k1"), (1.0, "k2"))):
-                    shift = (lambda c: F.lit(0.0)) if prev is None else (lambda c, p=prev, f=frac: f * h * F.col(f"{p}{c}"))
-                    rows = velocity(rows.withColumn("_qx", F.col("px") + shift("vx")).withColumn("_qy", F.col("py") + shift("vy")), f"k{k}")
-                mean = lambda c: h / 6 * (F.col(f"k0{c}") + 2 * F.col(f"k1{c}") + 2 * F.col(f"k2{c}") + F.col(f"k3{c}"))  # noqa: E731, B023
-                rows = rows.withColumn("_dx", mean("vx")).withColumn("_dy", mean("vy"))
-                ok = F.col("_dx").isNotNull() & F.col("_dy").isNotNull()
-                now = cut(rows.select(*ids, (F.col("px") + F.when(ok, F.col("_dx")).otherwise(0.0)).alias("px"), (F.col("py") + F.when(ok, F.col("_dy")).otherwise(0.0)).alias("py"), (F.col("valid") & ok).alias("valid")))
-            at = e
-            part = now.withColumn("epoch", F.lit(float(e)))
+            for t0, t1 in _legs(at, float(e), most):
+                now = leg(now, t0, t1)
+            at, part = float(e), now.withColumn("epoch", F.lit(float(e)))
             out = part if out is None else out.unionByName(part)
     return out.select(*ids, "epoch", "px", "py", "valid")
 

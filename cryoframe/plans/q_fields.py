@@ -215,9 +215,12 @@ def b04(spark, sf):
 
 
 def velocity(spark, sf):
-    """A steady field over 5 km cells, complete over the middle of the domain."""
+    """A field over 5 km cells, complete over the middle of the domain, that gains a tenth of its speed in two years."""
     g = points(spark, sf).groupBy(spatial.cell("x", 5000).alias("cell_i"), spatial.cell("y", 5000).alias("cell_j"))
-    return g.agg((F.avg("disc") * 20000).alias("vx"), (F.avg("tax") * 5000 - 225).alias("vy"))
+    mean = g.agg((F.avg("disc") * 20000).alias("vx"), (F.avg("tax") * 5000 - 225).alias("vy"))
+    timed = mean.withColumn("epoch", F.explode(F.array(F.lit(1996.5), F.lit(2000.5))))
+    gain = 1 + (F.col("epoch") - 1998.5) / 20
+    return timed.withColumn("vx", F.col("vx") * gain).withColumn("vy", F.col("vy") * gain)
 
 
 def parcels(spark, sf):
@@ -225,17 +228,19 @@ def parcels(spark, sf):
     return c.select(((F.col("ci") * 1000) + F.col("cj")).alias("parcel"), F.col("cx").alias("x"), F.col("cy").alias("y"))
 
 
-EPOCHS = [1996.5, 1997.5, 1998.5, 1999.5, 2000.5]
+def epochs(spark, sf):
+    """Mid-years of all points: as many numbers as there are years."""
+    return sorted(r.year + 0.5 for r in points(spark, sf).select("year").distinct().collect())
 
 
 @query("I29_trajectories")
 def i29(spark, sf):
-    return flow.trajectories(parcels(spark, sf), velocity(spark, sf), EPOCHS, 1998.5, ids=["parcel"], origin=(2500.0, 2500.0), step=5000.0)
+    return flow.trajectories(parcels(spark, sf), velocity(spark, sf), epochs(spark, sf), 1998.5, ids=["parcel"], origin=(2500.0, 2500.0), step=5000.0)
 
 
 @query("I30_lagrangian_rate")
 def i30(spark, sf):
-    t = flow.trajectories(parcels(spark, sf), velocity(spark, sf), EPOCHS, 1998.5, ids=["parcel"], origin=(2500.0, 2500.0), step=5000.0)
+    t = flow.trajectories(parcels(spark, sf), velocity(spark, sf), epochs(spark, sf), 1998.5, ids=["parcel"], origin=(2500.0, 2500.0), step=5000.0)
     p = points(spark, sf).select("x", "y", "h", (F.col("year") + 0.5).alias("epoch"))
     return flow.lagrangian_rates(cut(t), p, ids=["parcel"], radius=5000.0)
 
@@ -243,9 +248,9 @@ def i30(spark, sf):
 @query("I31_windowed_lagrangian")
 def i31(spark, sf):
     """Three-year windows, kept apart by shelf."""
-    t = flow.trajectories(parcels(spark, sf), velocity(spark, sf), EPOCHS, 1998.5, ids=["parcel"], origin=(2500.0, 2500.0), step=5000.0)
+    t = flow.trajectories(parcels(spark, sf), velocity(spark, sf), epochs(spark, sf), 1998.5, ids=["parcel"], origin=(2500.0, 2500.0), step=5000.0)
     shelves = F.explode(F.array(F.lit("even"), F.lit("odd"))).alias("shelf")
-    starts = F.filter(F.array(*[F.lit(s) for s in (1996.0, 1997.0, 1998.0)]), lambda s: (F.col("epoch") >= s) & (F.col("epoch") < s + 3))
+    starts = F.filter(F.array(*[F.lit(e - 0.5) for e in epochs(spark, sf)[:-2]]), lambda s: (F.col("epoch") >= s) & (F.col("epoch") < s + 3))
     moved = cut(t.select("*", shelves).withColumn("window_start", F.explode(starts)))
     p = points(spark, sf).select("x", "y", "h", (F.col("year") + 0.5).alias("epoch"), F.when(F.col("pc") % 2 == 0, "even").otherwise("odd").alias("shelf"))
     p = p.withColumn("window_start", F.explode(starts))

@@ -99,7 +99,7 @@ def test_state_never_interpolates_a_missing_year(spark):
     assert key == {(1, 2020, 3): (2, 2), (1, 2021, 3): (0, 4), (2, 2020, 3): (3, 1), (2, 2020, 2): (1, 1)}
 
 
-def test_trajectories_are_exact_and_both_ways_agree(spark):
+def test_trajectories_are_exact_at_any_tiling(spark):
     f = spark.createDataFrame([(i, j, 1000.0 + 10.0 * i, -500.0) for i in range(40) for j in range(40)], "cell_i int, cell_j int, vx double, vy double")
     p = spark.createDataFrame([(1, 10_000.0, 20_000.0), (2, 38_900.0, 20_000.0)], "id int, x double, y double")
     args = dict(ids=["id"], origin=(0.0, 0.0), step=1000.0)
@@ -108,8 +108,18 @@ def test_trajectories_are_exact_and_both_ways_agree(spark):
     # dx/dt = 1000 + x/100 has the exact solution below.
     assert a.loc[1, "px"] == pytest.approx((10_000 + 1e5) * np.exp(0.2 / 100) - 1e5, abs=1e-6)
     assert not a[(a.id == 2) & (a.epoch == 2020.2)]["valid"].item()
-    b = flow.trajectories(p, f, [2019.9, 2020.2], 2020.0, limit=10, dt_days=40.0, **args).toPandas().sort_values(["id", "epoch"]).reset_index(drop=True)
+    b = flow.trajectories(p, f, [2019.9, 2020.2], 2020.0, tile_cells=3, reach_cells=1, parts=2, **args).toPandas().sort_values(["id", "epoch"]).reset_index(drop=True)
     assert np.allclose(a[a.valid]["px"], b[b.valid]["px"], atol=1e-4) and a["valid"].tolist() == b["valid"].tolist()
+    with pytest.raises(ValueError):
+        flow.trajectories(p, f.limit(0), [2021.0], 2020.0, **args)
+
+
+def test_trajectories_in_a_field_that_changes(spark):
+    """Speed grows linearly between two epochs and is held outside: the distance is the integral."""
+    f = spark.createDataFrame([(i, j, e, v, 0.0) for i in range(60) for j in range(3) for e, v in ((2020.0, 1000.0), (2022.0, 3000.0))], "cell_i int, cell_j int, epoch double, vx double, vy double")
+    p = spark.createDataFrame([(1, 20_000.0, 1000.0)], "id int, x double, y double")
+    got = flow.trajectories(p, f, [2019.0, 2021.0, 2023.0], 2020.0, ids=["id"], origin=(0.0, 0.0), step=1000.0).toPandas().set_index("epoch")["px"]
+    assert got[2019.0] == pytest.approx(19_000.0) and got[2021.0] == pytest.approx(21_500.0, abs=1.0) and got[2023.0] == pytest.approx(27_000.0, abs=1.0)
 
 
 def test_predictors_recover_a_smooth_field(spark):
