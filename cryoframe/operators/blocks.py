@@ -145,6 +145,26 @@ def harmonic_fit(
     return m.select(*keys, "period_h", "n", F.hypot(ka, kb).alias("amplitude"), F.coalesce(fitted, F.lit(0.0)).alias("r2"))
 
 
+def solve_normal(left: np.ndarray, right: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, diagonal of the inverse, condition of the design) of stacked normal equations.
+
+    Columns are scaled first; a system whose design has a condition of 1e7 or more has no solution (NaN). Every robust
+    fit of the library asks here, so none keeps a node that another drops.
+    """
+    scale = np.sqrt(np.maximum(np.einsum("mii->mi", left), 1e-300))
+    norm = left / scale[:, :, None] / scale[:, None, :]
+    coef, inverse, cond = np.full(right.shape, np.nan), np.full(right.shape, np.nan), np.full(len(right), np.inf)
+    ok = np.isfinite(norm).all(axis=(1, 2)) & enough
+    if ok.any():
+        cond[ok] = np.sqrt(np.linalg.cond(norm[ok]))
+    ok &= cond < 1e7
+    if ok.any():
+        inv = np.linalg.inv(norm[ok]) / scale[ok][:, :, None] / scale[ok][:, None, :]
+        coef[ok] = np.einsum("mij,mj->mi", inv, right[ok])
+        inverse[ok] = np.maximum(np.einsum("mii->mi", inv), 0.0)
+    return coef, inverse, cond
+
+
 def solve_sums(sums: DataFrame, keys: Sequence[str], names: Sequence[str], *, min_extra: int = 0) -> DataFrame:
     """Coefficients, standard errors and residual sum per key from :func:`moment_sums`.
 
@@ -170,24 +190,14 @@ def solve_sums(sums: DataFrame, keys: Sequence[str], names: Sequence[str], *, mi
 
                 s, b = stack("s"), np.stack(pdf["b"].to_numpy())
                 n = pdf["n"].to_numpy(float)
-                ls, lb = s, b
+                left, right = s, b
                 if weighted:
-                    scale = (n / pdf["w"].to_numpy(float))
-                    ls = stack("ws") * scale[:, None, None]
-                    lb = np.stack(pdf["wb"].to_numpy()) * scale[:, None]
-                d = np.sqrt(np.maximum(np.einsum("mii->mi", ls), 1e-300))
-                norm = ls / d[:, :, None] / d[:, None, :]
-                ok = np.isfinite(norm).all(axis=(1, 2)) & (n >= k + min_extra)
-                cond[ok] = np.sqrt(np.linalg.cond(norm[ok])) if ok.any() else cond[ok]
-                ok &= cond < 1e7
-                if ok.any():
-                    inv = np.linalg.inv(norm[ok]) / d[ok][:, :, None] / d[ok][:, None, :]
-                    c = np.einsum("mij,mj->mi", inv, lb[ok])
-                    r = pdf["hh"].to_numpy(float)[ok] - 2 * np.einsum("mi,mi->m", c, b[ok]) + np.einsum("mi,mij,mj->m", c, s[ok], c)
-                    r = np.maximum(r, 0.0)
-                    coef[ok], rss[ok] = c, r
-                    var = r / np.maximum(n[ok] - k, 1)
-                    err[ok] = np.sqrt(np.maximum(np.einsum("mii->mi", inv), 0.0) * var[:, None])
+                    scale = n / pdf["w"].to_numpy(float)
+                    left, right = stack("ws") * scale[:, None, None], np.stack(pdf["wb"].to_numpy()) * scale[:, None]
+                coef, inverse, cond = solve_normal(left, right, n >= k + min_extra)
+                r = pdf["hh"].to_numpy(float) - 2 * np.einsum("mi,mi->m", coef, b) + np.einsum("mi,mij,mj->m", coef, s, coef)
+                rss = np.maximum(r, 0.0)
+                err = np.sqrt(inverse * (rss / np.maximum(n - k, 1))[:, None])
             out["n"] = pdf["n"]
             out["coef"] = [None if np.isnan(c).any() else c.tolist() for c in coef]
             out["err"] = [None if np.isnan(c).any() else c.tolist() for c in err]

@@ -15,9 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cryoframe.operators.blocks import moment_sums, solve_sums
+from cryoframe.operators.blocks import moment_sums, solve_normal, solve_sums
 from cryoframe.operators.skew import GROUP_LIMIT, _sliced_quantiles
 from cryoframe.operators.spatial import _offsets, cell, radius_join
 from cryoframe.session import cut
@@ -87,45 +86,42 @@ def _shape_result(p: RateParams, coef, err, rmse: float, nobs: int, span: float,
     return [coef[0], rate, accel, err[0], err[pos["rate"]] if rate is not None else None, accel_err, rmse, nobs, span, list(coef)]
 
 
-def fit_arrays(p: RateParams, h, t, u, v, s) -> list | None:
-    """One neighbourhood in memory: the bounded-group kernel."""
-    n = h.size
-    if n < p.min_points:
-        return None
-    span = float(t.max() - t.min())
-    if span < p.min_span:
+def _weights(p: RateParams, s: np.ndarray) -> np.ndarray:
+    """Inverse variances; a sigma that is missing or not positive takes the median of the others."""
+    if not p.weighted:
+        return np.ones(s.size)
+    stated = s > 0
+    typical = np.median(s[stated]) if stated.any() else 0.05
+    return 1.0 / (np.where(stated, s, typical) ** 2 + 1e-12)
+
+
+def _outliers(p: RateParams, r: np.ndarray) -> np.ndarray:
+    """Residuals beyond the scaled MAD's bound or the absolute one; none where the residuals have no spread."""
+    mad = 1.4826 * np.median(np.abs(r - np.median(r)))
+    return (np.abs(r) > min(p.n_sigma * mad, p.residual_limit)) if mad >= 1e-10 else np.zeros(r.size, bool)
+
+
+def fit_group(p: RateParams, h, t, u, v, s) -> list | None:
+    """One neighbourhood in memory: the rounds of :func:`fit_in_rounds`, with its sums, solver and bounds."""
+    if h.size < p.min_points or np.ptp(t) < p.min_span:
         return None
-    design = _design(p.terms, t - p.t_ref, u, v)
-    m = design.shape[1]
-    if p.weighted:
-        good = s > 0
-        w = 1.0 / (np.where(good, s, np.median(s[good]) if good.any() else 0.05) ** 2 + 1e-12)
-    else:
-        w = np.ones(n)
-    kept = np.arange(n)
-    coef = err = None
-    rmse = float("nan")
+    design, weight = _design(p.terms, t - p.t_ref, u, v), _weights(p, s)
+    used, fit = np.ones(h.size, bool), None
     for _ in range(p.rounds):
-        if kept.size < m + 2:
+        a, z, w, n = design[used], h[used], weight[used], int(used.sum())
+        aw = a * (w * (n / w.sum()))[:, None] if n else a
+        coef, inverse, _ = solve_normal((aw.T @ a)[None], (aw.T @ z)[None], np.array([n >= a.shape[1] + 2]))
+        if np.isnan(coef).any():
             break
-        a, z = design[kept], h[kept]
-        root = np.sqrt(w[kept] / w[kept].mean())[:, None]
-        sol, _, rank, _ = np.linalg.lstsq(a * root, z * root[:, 0], rcond=None)
-        if rank < m:
+        r = z - a @ coef[0]
+        fit = coef[0], np.sqrt(inverse[0] * (r @ r) / max(n - a.shape[1], 1)), float(r.std())
+        wild = _outliers(p, r)
+        used[np.flatnonzero(used)[wild]] = False
+        if not wild.any():
             break
-        r = z - a @ sol
-        coef, rmse = sol, float(r.std())
-        normal = (a * root).T @ (a * root)
-        err = np.sqrt(np.abs(np.diag(np.linalg.pinv(normal))) * float(r @ r) / max(kept.size - m, 1))
-        mad = 1.4826 * float(np.median(np.abs(r - np.median(r))))
-        if mad < 1e-10:
-            break
-        out = (np.abs(r) > p.n_sigma * mad) | (np.abs(r) > p.residual_limit)
-        if not out.any():
-            break
-        kept = kept[~out]
-    years = np.unique(np.floor(t[kept])).size
-    return _shape_result(p, coef, err, rmse, int(kept.size), span, years)
+    if fit is None:
+        return None
+    return _shape_result(p, *fit, int(used.sum()), float(np.ptp(t)), np.unique(np.floor(t[used])).size)
 
 
 def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
@@ -148,7 +144,7 @@ def fit_bounded(rows: DataFrame, keys: Sequence[str], p: RateParams) -> DataFram
     keys = list(keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fit_arrays(p, *[pdf[c].to_numpy(float) for c in ("_h", "_t", "_u", "_v", "_s")])
+        got = fit_group(p, *[pdf[c].to_numpy(float) for c in ("_h", "_t", "_u", "_v", "_s")])
         if got is None:
             return pd.DataFrame(columns=[*keys, *_RATE_NAMES])
         return pd.DataFrame([[*pdf.iloc[0][keys].tolist(), *got]], columns=[*keys, *_RATE_NAMES])
@@ -334,7 +330,3 @@ def hindcast(
         .agg(F.count(F.lit(1)).alias("n"), rms("_e").alias("rms_trend"), rms("_e0").alias("rms_still"), F.avg("_e").alias("bias"), F.avg("_lead").alias("lead"))
         .withColumn("gain", 1 - F.try_divide("rms_trend", "rms_still"))
     )
-
-
-def key_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
-    return T.StructType([df.schema[k] for k in keys])
