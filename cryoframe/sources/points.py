@@ -118,24 +118,44 @@ def positional_flags(points: DataFrame, flags: DataFrame, keep: Column, *, file:
     )
 
 
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """file of every Parquet file below ``path``: a listing only, no content is read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
+def _granules(spark: SparkSession, path: str, schema, skip_unreadable: bool) -> DataFrame:
+    # A reader keeps the schema it was given, so each scan gets its own.
+    reader = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).option("mergeSchema", "false")
+    return with_position((reader.schema(schema) if schema is not None else reader).parquet(path))
+
+
 def consolidate(
-    spark: SparkSession, path: str, *, roi: Mapping[str, float] | None = None, flags_path: str | None = None, flag_keep: Column | None = None
+    spark: SparkSession, path: str, *, roi: Mapping[str, float] | None = None, flags_path: str | None = None, flag_keep: Column | None = None, skip_unreadable: bool = False
 ) -> DataFrame:
     """Union of per-granule files, filtered by flags at the same position and by the region.
 
-    Unreadable files are skipped by the reader; one off-schema column is null and never a wrong type.
+    An unreadable file is an error. With ``skip_unreadable`` the others are consolidated without it, and
+    :func:`granule_audit` names it; nothing vanishes uncounted.
     """
-    def reader():  # a reader keeps the schema it was given, so each scan gets its own
-        return spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "false")
-
-    pts = nan_to_null(with_position(reader().schema(POINTS).parquet(path)))
+    pts = nan_to_null(_granules(spark, path, POINTS, skip_unreadable))
     if flags_path and flag_keep is not None:
-        pts = positional_flags(pts, with_position(reader().parquet(flags_path)), flag_keep)
+        pts = positional_flags(pts, _granules(spark, flags_path, None, skip_unreadable), flag_keep)
     if roi:
         pts = pts.where(F.col("lon").between(roi["lon_min"], roi["lon_max"]) & F.col("lat").between(roi["lat_min"], roi["lat_max"]))
     return pts
 
 
+def granule_audit(spark: SparkSession, path: str, *, flags_path: str | None = None) -> DataFrame:
+    """file, n_rows, n_flags, status of every file listed: ``no rows`` (empty or unreadable), ``no flags``, ``flag rows differ``, ``ok``."""
+    count = lambda d, c: d.groupBy("file").agg(F.count(F.lit(1)).alias(c))
+    out = listed(spark, path).join(count(_granules(spark, path, POINTS, True), "n_rows"), "file", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    if flags_path is None:
+        return out.withColumn("n_flags", F.lit(None).cast("bigint")).withColumn("status", F.when(F.col("n_rows") == 0, "no rows").otherwise("ok"))
+    flags = count(_granules(spark, flags_path, None, True), "n_flags")
+    status = F.when(F.col("n_rows") == 0, "no rows").when(F.col("n_flags").isNull(), "no flags").when(F.col("n_flags") != F.col("n_rows"), "flag rows differ").otherwise("ok")
+    return out.join(flags, "file", "left").withColumn("status", status)
+
+
 def exclusion_audit(rows: DataFrame, kept: Column, *, file: str = "file") -> DataFrame:
     """Per file: rows before and after, percent kept, and whether the file is empty afterwards."""
     return (

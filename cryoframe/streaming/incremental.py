@@ -20,9 +20,11 @@ def intake(
     """Append each new granule file once; the checkpoint of the file source replaces the test for an existing output.
 
     Runs what is there and stops; run it again and only new files are read. A batch is
-    written under its own id, so a batch repeated after a failure replaces itself.
+    written under its own id, so a batch repeated after a failure replaces itself. An
+    unreadable file fails its batch, which is not marked as done and runs again once the
+    file is mended or moved away.
     """
-    reader = spark.readStream.schema(schema).option("ignoreCorruptFiles", "true")
+    reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
     rows = nan_to_null(reader.parquet(source))

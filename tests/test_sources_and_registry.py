@@ -43,6 +43,14 @@ def test_consolidation_pairs_flags_only_when_counts_match(spark, tmp):
     got = points.consolidate(spark, f"{tmp}/pts", flags_path=f"{tmp}/flags", flag_keep=F.col("q") == 0).groupBy("file").agg(F.count("*").alias("n"), F.max("paired").alias("paired")).toPandas().set_index("file")
     assert got.loc["g1.parquet", "n"] == 3 and got.loc["g2.parquet", "n"] == 7
     assert got.loc["g1.parquet", "paired"] and not got.loc["g2.parquet", "paired"]
+    pd.DataFrame(stored(4)).astype({"beam": "int8", **{c: "float32" for c in ("h_elv", "s_elv", "tide_ocean", "tide_equilibrium", "dac", "geoid")}}).to_parquet(f"{tmp}/pts/g3.parquet")
+    with open(f"{tmp}/pts/bad.parquet", "wb") as f:
+        f.write(b"no parquet at all")
+    with pytest.raises(Exception, match="bad.parquet"):
+        points.consolidate(spark, f"{tmp}/pts").count()
+    assert points.consolidate(spark, f"{tmp}/pts", skip_unreadable=True).count() == 16
+    audit = {r["file"]: (r.n_rows, r.status) for r in points.granule_audit(spark, f"{tmp}/pts", flags_path=f"{tmp}/flags").collect()}
+    assert audit == {"g1.parquet": (5, "ok"), "g2.parquet": (7, "flag rows differ"), "g3.parquet": (4, "no flags"), "bad.parquet": (0, "no rows")}
 
 
 def test_corrections_gate_and_refuse(spark):
@@ -86,6 +94,18 @@ def test_intake_reads_each_file_once(spark, tmp):
     points.save_points(spark.createDataFrame(stored(3)), src, mode="append")
     run()
     assert spark.read.parquet(f"{tmp}/out").count() == 8
+    bad = f"{src}/part-bad.parquet"
+    with open(bad, "wb") as f:
+        f.write(b"broken")
+    points.save_points(spark.createDataFrame(stored(2)), src, mode="append")
+    with pytest.raises(Exception):
+        run()
+    os.remove(bad)
+    points.save_points(spark.createDataFrame(stored(1)).coalesce(1), f"{tmp}/mended")
+    mended = next(f for f in os.listdir(f"{tmp}/mended") if f.endswith(".parquet"))
+    os.rename(f"{tmp}/mended/{mended}", bad)
+    run()
+    assert spark.read.parquet(f"{tmp}/out").count() == 11
 
 
 def test_run_table_refuses_a_finished_run(spark, tmp):
