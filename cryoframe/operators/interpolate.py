@@ -19,13 +19,14 @@ from cryoframe.operators.spatial import cell, knn_join, radius_join
 
 # ------------------------------------------------------------------ variogram
 def empirical_variogram(
-    df: DataFrame, value: str, *, ids: Sequence[str], max_lag: float, n_lags: int = 15, max_points: int | None = 3000,
+    df: DataFrame, value: str, *, ids: Sequence[str], max_lag: float, n_lags: int = 15, max_points: int | None = None,
     by: Sequence[str] = (), x: str = "x", y: str = "y", order=None,
 ) -> DataFrame:
     """Half mean squared difference per equal lag class; classes without pairs are absent.
 
-    The estimator is defined on a sample of at most ``max_points``; pairs farther apart
-    than the last lag never meet, because the join is bucketed by it.
+    All rows count; pairs farther apart than the last lag never meet, because the join is
+    bucketed by it. Rows are nodes or cells, so their number within a lag is bounded by
+    the lattice. ``max_points`` draws a sample where a caller asks for one.
     """
     used = df.where(F.col(value).isNotNull()).select(*ids, *by, x, y, value)
     if max_points is not None:

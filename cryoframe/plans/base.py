@@ -55,14 +55,19 @@ def query(name: str, sql: str | None = None, *, floats: str = "", digits: int =
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Altimetry points over ``lineitem``: a true rate of -0.5 m a year, a slope in x, spikes of 25 m."""
+    """Altimetry points over ``lineitem``: a true rate of -0.5 m a year, a slope in x, spikes of 25 m.
+
+    Heights, discounts and taxes are whole multiples of powers of two (5/512 stands for a hundredth), so their sums are
+    exact: no order of rows, number of cores or engine changes a mean, and ties are ties everywhere.
+    """
     part, order = F.col("l_partkey"), F.col("l_orderkey")
+    fine = lambda c: F.round(F.col(c) * 100) * F.lit(5.0 / 512)
     x = F.pmod(part * 97, F.lit(CELL_SPAN)) * F.lit(10.0)
     y = F.pmod(order * 31, F.lit(CELL_SPAN)) * F.lit(10.0)
     year = F.year("l_shipdate")
     h = (
-        F.lit(500.0) - F.lit(0.5) * (year - 1998) + F.lit(1.0e-4) * (x - 50000.0)
-        + (F.col("l_quantity") - 25.0) * 0.01 + F.when(order % 211 == 0, 25.0).otherwise(0.0)
+        F.lit(500.0) - F.lit(0.5) * (year - 1998) + F.lit(1 / 8192) * (x - 50000.0)
+        + (F.col("l_quantity") - 25.0) * F.lit(1 / 128) + F.when(order % 211 == 0, 25.0).otherwise(0.0)
     )
     return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", "l_suppkey").select(
         (order * 8 + F.col("l_linenumber")).alias("pa"),
@@ -75,15 +80,15 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
         year.alias("year"),
         F.month("l_shipdate").alias("month"),
         h.alias("h"),
-        (F.col("l_tax") + 0.05).alias("s_elv"),
+        (fine("l_tax") + 13 / 256).alias("s_elv"),
         F.col("l_linenumber").cast("int").alias("beam"),
         F.pmod(F.col("l_suppkey"), F.lit(5)).cast("int").alias("mask_class"),
         order.alias("granule"),
         F.col("l_shipdate").alias("ts"),
-        F.col("l_discount").alias("disc"),
+        fine("l_discount").alias("disc"),
         F.col("l_quantity").alias("qty"),
         F.col("l_returnflag").alias("rflag"),
-        F.col("l_tax").alias("tax"),
+        fine("l_tax").alias("tax"),
     )
 
 
@@ -94,10 +99,10 @@ PTS = """pts AS (
     (l_partkey*97)%10007*10.0E0 AS x, (l_orderkey*31)%10007*10.0E0 AS y,
     year(l_shipdate)+(dayofyear(l_shipdate)-1)/365.25E0 AS t_year,
     year(l_shipdate)::INT AS "year", month(l_shipdate)::INT AS "month",
-    500.0E0-0.5E0*(year(l_shipdate)-1998)+1.0E-4*((l_partkey*97)%10007*10.0E0-50000.0E0)
-      +(l_quantity-25.0E0)*0.01E0+CASE WHEN l_orderkey%211=0 THEN 25.0E0 ELSE 0.0E0 END AS h,
-    l_tax+0.05E0 AS s_elv, l_linenumber::INT AS beam, (l_suppkey%5)::INT AS mask_class,
-    l_orderkey AS granule, l_shipdate AS ts, l_discount AS disc, l_quantity AS qty, l_returnflag AS rflag, l_tax AS tax
+    500.0E0-0.5E0*(year(l_shipdate)-1998)+1.220703125E-4*((l_partkey*97)%10007*10.0E0-50000.0E0)
+      +(l_quantity-25.0E0)*0.0078125E0+CASE WHEN l_orderkey%211=0 THEN 25.0E0 ELSE 0.0E0 END AS h,
+    round(l_tax*100)*0.009765625E0+0.05078125E0 AS s_elv, l_linenumber::INT AS beam, (l_suppkey%5)::INT AS mask_class,
+    l_orderkey AS granule, l_shipdate AS ts, round(l_discount*100)*0.009765625E0 AS disc, l_quantity AS qty, l_returnflag AS rflag, round(l_tax*100)*0.009765625E0 AS tax
   FROM lineitem)"""
 
 

@@ -103,6 +103,12 @@ def crossing_table(spark, sf, **kw):
     return crossings.find_crossings(tracks(spark, sf), ties=["pa", "pb", "pd"], position="place", **kw)
 
 
+def crossing_sql(subsample: int, start: int) -> str:
+    """The same chain for another step and first vertex, inside one table of its own."""
+    chain = CROSS_SQL.replace("place % 10 = 0", f"place >= {start} AND (place-{start}) % {subsample} = 0").replace("a.place+10 ", f"a.place+{subsample} ")
+    return f"xo_{subsample}_{start} AS (WITH {chain} SELECT * FROM xo)"
+
+
 @query("C04_track_crossings", with_pts("SELECT * FROM xo", TRACK_SQL, CROSS_SQL), floats="x y t1 t2 dt h1 h2 dh dh_err dhdt dhdt_err", digits=4)
 def c04(spark, sf):
     return crossing_table(spark, sf)

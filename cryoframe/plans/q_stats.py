@@ -9,11 +9,11 @@ from cryoframe.functions import timecols
 from cryoframe.functions.predicates import classify_nodes, grounded_keep
 from cryoframe.operators import crossings, interpolate, ranks, robust, spatial, summaries, tracks
 from cryoframe.operators.blocks import harmonic_fit, line_fit
-from cryoframe.operators.skew import group_quantiles
+from cryoframe.operators.skew import group_median_mad, group_quantiles
 from cryoframe.operators.yearblocks import phase_coverage
 from cryoframe.plans.base import IDS, points, query, table, with_pts
 from cryoframe.plans.q_predicates import CRITERIA_SQL, FLAGS_SQL, NODES_SQL, flags, node_stats
-from cryoframe.plans.q_spatial import CENT_SQL, CROSS_SQL, FIELD_SQL, TRACK_SQL, centroids, crossing_table, field
+from cryoframe.plans.q_spatial import CENT_SQL, CROSS_SQL, FIELD_SQL, TRACK_SQL, centroids, crossing_sql, crossing_table, field
 from cryoframe.plans.q_spatial import tracks as track_points
 from cryoframe.session import cut
 
@@ -322,14 +322,28 @@ def d51(spark, sf):
     return c.crossJoin(F.broadcast(c.agg(F.coalesce(F.sum(F.when(F.col("joint_class") == "stable_fast", F.col("n"))), F.lit(0)).alias("n_precursor"))))
 
 
-@query("D52_track_sensitivity")
+STEPS, STARTS = (5, 10, 20), (0, 1, 2)
+D52_SQL = with_pts(
+    " UNION ALL ".join(
+        f"SELECT {sub} AS subsample, {start} AS seed, n_xovers, n_valid, m.median AS median, 1.4826E0*(SELECT median(abs(dhdt-m.median)) FROM xo_{sub}_{start}) AS mad "
+        f"FROM (SELECT count(*) AS n_xovers, count(dhdt) AS n_valid, median(dhdt) AS median FROM xo_{sub}_{start}) m"
+        for sub in STEPS for start in STARTS
+    ),
+    TRACK_SQL,
+    *[crossing_sql(sub, start) for sub in STEPS for start in STARTS],
+)
+
+
+@query("D52_track_sensitivity", D52_SQL, floats="median mad", digits=4)
 def d52(spark, sf):
-    """Crossings again for each subsample and seed of drawn tracks."""
+    """Crossings of all tracks again for each step of the vertices and each first vertex."""
     out = None
-    for sub in (5, 10):
-        for seed in (0, 1):
-            x = cut(crossing_table(spark, sf, subsample=sub, max_tracks=20, seed=seed))
-            s = group_quantiles(x, [], "dhdt", {"median": 0.5}).withColumn("subsample", F.lit(sub)).withColumn("seed", F.lit(seed))
+    for sub in STEPS:
+        for start in STARTS:
+            x = cut(crossing_table(spark, sf, subsample=sub, start=start).select("dhdt"))
+            n = x.agg(F.count(F.lit(1)).alias("n_xovers"))
+            s = n.crossJoin(F.broadcast(group_median_mad(x.where("dhdt is not null"), [], "dhdt", med="median", mad="mad").withColumnRenamed("n", "n_valid")))  # one row each
+            s = s.withColumn("subsample", F.lit(sub)).withColumn("seed", F.lit(start))
             out = s if out is None else out.unionByName(s)
     return out
 
