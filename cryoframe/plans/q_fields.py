@@ -60,10 +60,30 @@ def j04(spark, sf):
     return d.select("cell_i", "cell_j", (F.col("divergence") * 1e3).alias("div3"))
 
 
-@query("J04_smoothing_sweep")
+SCALES = (0.8, 1.2, 2.0)
+
+
+def kernel_sql(sigma: float) -> str:
+    """Smoothed velocities at one scale, and their gradients."""
+    w, tag = grids.gaussian_weights(sigma), str(sigma).replace(".", "")
+    values = ", ".join(f"({k - len(w) // 2}, {x!r}::DOUBLE)" for k, x in enumerate(w))
+    mean = lambda c: f"sum(b.{c}*kx.w*ky.w)/sum(kx.w*ky.w) AS {c}"
+    smooth = (
+        f"sm{tag} AS (SELECT a.cell_i, a.cell_j, {mean('vx')}, {mean('vy')} FROM gd a, (VALUES {values}) kx(o, w), (VALUES {values}) ky(o, w), gd b "
+        f"WHERE b.cell_i=a.cell_i+kx.o AND b.cell_j=a.cell_j+ky.o GROUP BY 1,2)"
+    )
+    return smooth + ", " + grad_sql(f"sm{tag}", "vx vy", f"sg{tag}")
+
+
+SWEEP_SQL = " UNION ALL ".join(
+    f"SELECT {s!r}::DOUBLE AS sigma, count(dvx_dx+dvy_dy) AS n, stddev_pop(dvx_dx+dvy_dy)*1E3 AS spread3 FROM {t}" for s, t in [(0.0, "gq"), *[(s, f"sg{str(s).replace('.', '')}") for s in SCALES]]
+)
+
+
+@query("J04_smoothing_sweep", with_pts(SWEEP_SQL, GRID_SQL, grad_sql("gd", "vx vy", "gq"), *[kernel_sql(s) for s in SCALES]), floats="spread3")
 def j04_sweep(spark, sf):
-    s = grids.divergence_sweep(cut(grid(spark, sf).select("cell_i", "cell_j", "vx", "vy")), SIZE, [0.0, 0.8, 1.2, 2.0])
-    return s.groupBy("sigma").agg(F.count("divergence").alias("n"), F.stddev_pop("divergence").alias("spread"))
+    s = grids.divergence_sweep(cut(grid(spark, sf).select("cell_i", "cell_j", "vx", "vy")), SIZE, [0.0, *SCALES])
+    return s.groupBy("sigma").agg(F.count("divergence").alias("n"), (F.stddev_pop("divergence") * 1e3).alias("spread3"))
 
 
 @query("J05_slope_magnitude", with_pts("SELECT floor(cell_i/4)::BIGINT AS bi, floor(cell_j/4)::BIGINT AS bj, count(*) AS n, median(sqrt(dz_dx*dz_dx+dz_dy*dz_dy))*1E3 AS slope3 FROM gq GROUP BY 1,2", GRID_SQL, grad_sql("gd", "z", "gq")), floats="slope3")

@@ -64,6 +64,107 @@ def i01_hot(spark, sf):
     return rates.node_rates(points(spark, sf), nodes(spark, sf, step=25_000.0).select("node_x", "node_y"), replace(P, radius=10_000.0), limit=100).drop("coef")
 
 
+# The same estimator with a straight line in time, whose weighted solution SQL can write out: two rounds of fit and rejection.
+LINE = replace(P, space_order=0, time_order=1, rounds=2)
+
+
+def line_sql(name: str, source: str, keys: str, *, trend: bool = True, min_points: int = 30) -> str:
+    """CTEs from ``source`` (keys, t: years from the reference, h, w) to ``name`` (keys, p0, dhdt, dhdt_err, rmse, nobs, tspan)."""
+    group = f"WINDOW g AS (PARTITION BY {keys})"
+    slope, least = ("(s0*b1-s1*b0)/(s0*s2-s1*s1)", 4) if trend else ("0.0E0", 3)
+    level = "(s2*b0-s1*b1)/(s0*s2-s1*s1)" if trend else "b0/s0"
+
+    def fitted(made: str, of: str) -> str:
+        return (
+            f"{made}s AS (SELECT *, count(*) OVER g AS n, sum(w) OVER g AS s0, sum(w*t) OVER g AS s1, sum(w*t*t) OVER g AS s2, sum(w*h) OVER g AS b0, sum(w*t*h) OVER g AS b1 FROM {of} {group}), "
+            f"{made}r AS (SELECT *, {level} AS p0, {slope} AS dhdt, h-({level})-({slope})*t AS r FROM {made}s WHERE n>={least}), "
+            f"{made}m AS (SELECT *, median(r) OVER g AS med FROM {made}r {group}), "
+            f"{made} AS (SELECT *, mad>=1E-10 AND (abs(r)>3*mad OR abs(r)>5) AS wild FROM (SELECT *, 1.4826E0*median(abs(r-med)) OVER g AS mad FROM {made}m {group}))"
+        )
+
+    return ", ".join([
+        f"{name}0 AS (SELECT * FROM (SELECT *, count(*) OVER g AS n0, max(t) OVER g - min(t) OVER g AS tspan FROM {source} {group}) WHERE n0>={min_points} AND tspan>=3)",
+        fitted(f"{name}1", f"{name}0"),
+        fitted(f"{name}2", f"(SELECT * EXCLUDE (n, s0, s1, s2, b0, b1, p0, dhdt, r, med, mad, wild) FROM {name}1 WHERE NOT wild)"),
+        f"{name} AS (SELECT {keys}, any_value(p0) AS p0, any_value(dhdt) AS dhdt, "
+        + (f"sqrt(any_value(s0/(s0*s2-s1*s1)*s0/n)*sum(r*r)/(count(*)-2)) AS dhdt_err, " if trend else "NULL::DOUBLE AS dhdt_err, ")
+        + f"stddev_pop(r) AS rmse, count(*) FILTER (NOT wild) AS nobs, any_value(tspan) AS tspan FROM {name}2 GROUP BY {keys} HAVING count(*) FILTER (NOT wild)>={min_points}"
+        + (" AND abs(any_value(dhdt))<=20)" if trend else ")"),
+    ])
+
+
+def near_sql(radius: float, extra: str = "", source: str = "pts", height: str = "h", name: str = "pw") -> str:
+    return (
+        f"{name} AS (SELECT node_x, node_y, {extra}t_year-1998.5E0 AS t, {height} AS h, 1/(s_elv*s_elv+1E-12) AS w FROM {source} "
+        f"JOIN nodes ON (x-node_x)*(x-node_x)+(y-node_y)*(y-node_y) <= {radius}E0*{radius}E0)"
+    )
+
+
+LINE_COLUMNS = ["p0", "dhdt", "dhdt_err", "rmse", "nobs", "tspan"]
+LINE_FLOATS = "p0 dhdt dhdt_err rmse tspan"
+
+
+@query("I02_line_rates", with_pts("SELECT * FROM ln", tile_nodes_sql(50000, 5000), near_sql(15000), line_sql("ln", "pw", "node_x, node_y")), floats=LINE_FLOATS)
+def i02_line(spark, sf):
+    return rates.node_rates(points(spark, sf), nodes(spark, sf).select("node_x", "node_y"), LINE).select("node_x", "node_y", *LINE_COLUMNS)
+
+
+@query("I01_line_in_rounds", with_pts("SELECT * FROM ln", tile_nodes_sql(50000, 25000), near_sql(10000), line_sql("ln", "pw", "node_x, node_y")), floats=LINE_FLOATS)
+def i01_line(spark, sf):
+    """The distributed path, for which every neighbourhood counts as too large for one task."""
+    return rates.node_rates(points(spark, sf), nodes(spark, sf, step=25_000.0).select("node_x", "node_y"), replace(LINE, radius=10_000.0), limit=100).select("node_x", "node_y", *LINE_COLUMNS)
+
+
+@query(
+    "I03_line_window_rates",
+    with_pts("SELECT * FROM ln", tile_nodes_sql(50000, 10000), "wp AS (SELECT pts.*, s::DOUBLE AS win_start, s+4.0E0 AS win_end FROM pts, (SELECT unnest(range(1995,1999)) AS s) WHERE t_year>=s AND t_year<s+4)",
+             near_sql(15000, "win_start, win_end, ", "wp"), line_sql("ln", "pw", "node_x, node_y, win_start, win_end")),
+    floats=LINE_FLOATS,
+)
+def i03_line(spark, sf):
+    w = rates.moving_windows(4.0, 1.0, 1995.0, 2002.0)
+    r = rates.window_rates(points(spark, sf), nodes(spark, sf, step=10_000.0).select("node_x", "node_y"), w, LINE)
+    return r.select("node_x", "node_y", "win_start", "win_end", *LINE_COLUMNS)
+
+
+LEAK_SQL = (
+    "ph AS (SELECT pts.*, q AS period, c AS phase, CASE WHEN c=0 THEN cos(2*pi()/q*t_year) ELSE sin(2*pi()/q*t_year) END AS unit FROM pts, (VALUES (1.0E0),(0.5E0)) a(q), (VALUES (0),(1)) b(c))",
+    near_sql(15000, "period, phase, ", "ph", "unit"), line_sql("ln", "pw", "node_x, node_y, period, phase"),
+    "lk AS (SELECT node_x, node_y, period, max(dhdt) FILTER (phase=0) AS r_cos, max(dhdt) FILTER (phase=1) AS r_sin, max(nobs) AS nobs FROM ln GROUP BY 1,2,3)",
+)
+
+
+@query("I17_line_leakage", with_pts("SELECT *, sqrt(r_cos*r_cos+r_sin*r_sin) AS leakage FROM lk", tile_nodes_sql(50000, 25000), *LEAK_SQL), floats="r_cos r_sin leakage")
+def i17_line(spark, sf):
+    return rates.harmonic_leakage(points(spark, sf), nodes(spark, sf, step=25_000.0).select("node_x", "node_y"), LINE)
+
+
+@query(
+    "D53_line_aliasing",
+    with_pts("SELECT period, count(*) AS n, median(l) AS median, quantile_cont(l,0.9) AS p90, max(l) AS max FROM (SELECT period, sqrt(r_cos*r_cos+r_sin*r_sin) AS l FROM lk) GROUP BY period", tile_nodes_sql(50000, 25000), *LEAK_SQL),
+    floats="median p90 max",
+)
+def d53_line(spark, sf):
+    from cryoframe.operators.skew import group_quantiles
+
+    leak = rates.harmonic_leakage(points(spark, sf), nodes(spark, sf, step=25_000.0).select("node_x", "node_y"), LINE)
+    return group_quantiles(leak, ["period"], "leakage", {"median": 0.5, "p90": 0.9, "max": 1.0})
+
+
+@query(
+    "I18_line_hindcast",
+    with_pts(
+        'SELECT "year", n, rms_trend, rms_still, bias, lead, 1-rms_trend/nullif(rms_still,0) AS gain FROM (SELECT floor(t+1998.5E0)::INT AS "year", count(*) AS n, sqrt(avg(e*e)) AS rms_trend, sqrt(avg(e0*e0)) AS rms_still, avg(e) AS bias, avg(t+1998.5E0-1999.0E0) AS lead '
+        "FROM (SELECT pl.t, pl.h-ln.p0-ln.dhdt*pl.t AS e, pl.h-st.p0 AS e0 FROM pl JOIN ln USING (node_x, node_y) JOIN st USING (node_x, node_y)) GROUP BY 1)",
+        tile_nodes_sql(50000, 25000), "early AS (SELECT * FROM pts WHERE t_year<1999.0E0)", "late AS (SELECT * FROM pts WHERE t_year>=1999.0E0)", near_sql(15000, source="early"), near_sql(15000, source="late", name="pl"),
+        line_sql("ln", "pw", "node_x, node_y"), line_sql("st", "pw", "node_x, node_y", trend=False),
+    ),
+    floats="rms_trend rms_still bias lead gain",
+)
+def i18_line(spark, sf):
+    return rates.hindcast(points(spark, sf), nodes(spark, sf, step=25_000.0).select("node_x", "node_y"), 1999.0, LINE)
+
+
 MK_SQL = """pr AS (SELECT a.node_x, a.node_y, sign(b.h_node-a.h_node) AS s, (b.h_node-a.h_node)/(b."year"-a."year") AS m FROM ser a JOIN ser b ON a.node_x=b.node_x AND a.node_y=b.node_y AND a."year"<b."year"),
  mk AS (SELECT node_x, node_y, sum(s)/count(*) AS tau, median(m) AS sens_slope FROM pr GROUP BY ALL),
  mk2 AS (SELECT mk.*, n, mh-sens_slope*my AS intercept FROM mk JOIN (SELECT node_x, node_y, count(*)::INT AS n, median(h_node) AS mh, median("year") AS my FROM ser GROUP BY ALL) USING (node_x, node_y) WHERE n>=3)"""
@@ -272,20 +373,40 @@ def shelf_cells(spark, sf):
     return centroids(spark, sf).select("ci", "cj", F.col("cx").alias("x"), F.col("cy").alias("y"), "v", F.when(F.col("ci") + F.col("cj") < 3, "tiny").when(F.col("ci") < 8, "west").otherwise("east").alias("shelf"))
 
 
-@query("I33_within_shelves")
+@query(
+    "I33_within_shelves",
+    with_pts(
+        "SELECT node_x, node_y, shelf, dist, fallback, sum(v*w)/sum(w) AS pred, greatest(sum(v*v*w)/sum(w)-pow(sum(v*w)/sum(w),2),0)*1E4 AS var4 FROM (SELECT *, 1/pow(greatest(d,1),2) AS w FROM nn WHERE k<=8) GROUP BY ALL",
+        tile_nodes_sql(50000, 10000), CENT_SQL, "sc AS (SELECT *, CASE WHEN ci+cj<3 THEN 'tiny' WHEN ci<8 THEN 'west' ELSE 'east' END AS shelf FROM cen)", "sz AS (SELECT shelf, count(*) AS m FROM sc GROUP BY shelf)",
+        "pd AS (SELECT node_x, node_y, ci, cj, v, shelf AS own, sqrt((node_x-cx)*(node_x-cx)+(node_y-cy)*(node_y-cy)) AS d, row_number() OVER (PARTITION BY node_x, node_y ORDER BY (node_x-cx)*(node_x-cx)+(node_y-cy)*(node_y-cy), ci, cj) AS r FROM nodes, sc)",
+        "pl AS (SELECT node_x, node_y, own AS shelf, d AS dist, m<4 AS fallback FROM pd JOIN sz ON sz.shelf=own WHERE r=1 AND d<=20000)",
+        "nn AS (SELECT pd.node_x, pd.node_y, pl.shelf, dist, fallback, v, d, row_number() OVER (PARTITION BY pd.node_x, pd.node_y ORDER BY r) AS k FROM pd JOIN pl ON pl.node_x=pd.node_x AND pl.node_y=pd.node_y AND (fallback OR own=pl.shelf))",
+    ),
+    floats="pred var4 dist",
+)
 def i33(spark, sf):
     t = targets(spark, sf).select(F.col("node_x").alias("x"), F.col("node_y").alias("y"), "node_x", "node_y")
-    return interpolate.interpolate_within(t, cut(shelf_cells(spark, sf)), "v", target_id=["node_x", "node_y"], source_id=["ci", "cj"], k=8, base=2500.0, max_distance=20_000.0)
+    r = interpolate.interpolate_within(t, cut(shelf_cells(spark, sf)), "v", target_id=["node_x", "node_y"], source_id=["ci", "cj"], k=8, base=2500.0, max_distance=20_000.0)
+    return r.select("node_x", "node_y", "shelf", "dist", "fallback", "pred", (F.col("var") * 1e4).alias("var4"))
 
 
-@query("I34_masked_resampling")
+@query(
+    "I34_masked_resampling",
+    with_pts(
+        "SELECT ti, tj, CASE WHEN support_m<=3000 THEN pred END AS pred, support_m FROM (SELECT ti, tj, sum(v/pow(greatest(d,1),2))/sum(1/pow(greatest(d,1),2)) AS pred, min(d) AS support_m FROM nn WHERE k<=8 GROUP BY 1,2)",
+        CENT_SQL, "cl AS (SELECT floor(x/2000)::BIGINT AS ti, floor(y/2000)::BIGINT AS tj, mask_class, count(*) AS n FROM pts GROUP BY ALL)",
+        "tg AS (SELECT ti, tj, (ti+0.5E0)*2000 AS x, (tj+0.5E0)*2000 AS y FROM (SELECT ti, tj, arg_max(mask_class, (n, -mask_class)) AS c FROM cl GROUP BY ti, tj) WHERE c=3)",
+        "nn AS (SELECT ti, tj, v, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)) AS d, row_number() OVER (PARTITION BY ti, tj ORDER BY (x-cx)*(x-cx)+(y-cy)*(y-cy), ci, cj) AS k FROM tg, cen)",
+    ),
+    floats="pred support_m",
+)
 def i34(spark, sf):
     """Onto 2 km cells of the floating class, null beyond the support distance."""
     t = interpolate.class_cells(points(spark, sf), 2000.0, 3).withColumnRenamed("ci", "ti").withColumnRenamed("cj", "tj")
     near = interpolate.neighbours_of(t, centroids(spark, sf), "v", target_id=["ti", "tj"], source_id=["ci", "cj"], k=8, nxy=("cx", "cy"), base=2500.0)
     far = near.groupBy("ti", "tj").agg(F.sqrt(F.min("d2")).alias("support_m"))
     p = interpolate.idw(near, ["ti", "tj"], "v", exact_eps=1e-6, floor=1.0).join(far, ["ti", "tj"])
-    return p.withColumn("pred", F.when(F.col("support_m") <= 3000.0, F.col("pred")))
+    return p.select("ti", "tj", F.when(F.col("support_m") <= 3000.0, F.col("pred")).alias("pred"), "support_m")
 
 
 @query("M01_predictor_registry")

@@ -306,10 +306,13 @@ def a20(spark, sf):
     return man.withColumn("tile_i", F.col("tile_i").cast("bigint")).withColumn("tile_j", F.col("tile_j").cast("bigint"))
 
 
-@query("A21_bernoulli_scan")
+_MIXED = "+".join(f"(({c}*{k % src.HASH_PRIME})%{src.HASH_PRIME})*{(k >> 7) % src.HASH_PRIME}" for c, k in zip(("pa", "pb", "pc", "pd"), src.HASH_STEPS))
+
+
+@query("A21_bernoulli_scan", with_pts(f"SELECT pa, x, y FROM (SELECT *, (7+{_MIXED})%{src.HASH_PRIME} AS mixed, count(*) OVER () AS total FROM pts) WHERE mixed < least(1.0E0, 500.0E0/total)*{src.HASH_PRIME}"))
 def a21(spark, sf):
-    p = points(spark, sf)
-    return src.bernoulli(p.select("pa", "x", "y"), 500, 1000, seed=7)
+    p = points(spark, sf).select("pa", "pb", "pc", "pd", "x", "y")
+    return src.bernoulli(p, 500, p.count(), ["pa", "pb", "pc", "pd"], seed=7).select("pa", "x", "y")
 
 
 @query("A22_result_sinks", with_pts("SELECT beam::BIGINT AS beam, count(*) AS n, avg(h) AS h_mean, f AS fmt FROM pts, (VALUES ('csv'),('json'),('parquet')) AS v(f) GROUP BY beam, f"), floats="h_mean")

@@ -182,9 +182,14 @@ def union_groups(groups: Mapping[str, DataFrame], tag: str = "feature_type") ->
     return out
 
 
-def bernoulli(df: DataFrame, n: int, total: int, *, seed: int = 0) -> DataFrame:
-    """Keep each row with probability n / total."""
-    return df.sample(withReplacement=False, fraction=min(1.0, n / total), seed=seed)
+#: Odd multipliers and a prime: a linear hash of integer ids.
+HASH_STEPS, HASH_PRIME = (2654435761, 40503, 2246822519, 3266489917), 1_048_573
+
+
+def bernoulli(df: DataFrame, n: int, total: int, ids: Sequence[str], *, seed: int = 0) -> DataFrame:
+    """Keep each row with probability n / total, by arithmetic on its integer ids: the same rows at any partitioning."""
+    mixed = sum((F.pmod(F.col(c).cast("bigint") * F.lit(k % HASH_PRIME), F.lit(HASH_PRIME)) * F.lit((k >> 7) % HASH_PRIME) for c, k in zip(ids, HASH_STEPS, strict=False)), F.lit(seed))
+    return df.where(F.pmod(mixed, F.lit(HASH_PRIME)) < F.lit(min(1.0, n / total) * HASH_PRIME))
 
 
 # ------------------------------------------------------------------ sinks and restarts
