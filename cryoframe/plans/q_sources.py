@@ -306,7 +306,7 @@ def a20(spark, sf):
     return man.withColumn("tile_i", F.col("tile_i").cast("bigint")).withColumn("tile_j", F.col("tile_j").cast("bigint"))
 
 
-_MIXED = "+".join(f"(({c}*{k % src.HASH_PRIME})%{src.HASH_PRIME})*{(k >> 7) % src.HASH_PRIME}" for c, k in zip(("pa", "pb", "pc", "pd"), src.HASH_STEPS))
+_MIXED = "+".join(f"(({c}::BIGINT*{k % src.HASH_PRIME})%{src.HASH_PRIME})*{(k >> 7) % src.HASH_PRIME}" for c, k in zip(("pa", "pb", "pc", "pd"), src.HASH_STEPS))
 
 
 @query("A21_bernoulli_scan", with_pts(f"SELECT pa, x, y FROM (SELECT *, (7+{_MIXED})%{src.HASH_PRIME} AS mixed, count(*) OVER () AS total FROM pts) WHERE mixed < least(1.0E0, 500.0E0/total)*{src.HASH_PRIME}"))
