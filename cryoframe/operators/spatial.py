@@ -95,31 +95,32 @@ def radius_join(
     return joined.select(*out)
 
 
-def knn_join(
+def knn_candidates(
     targets: DataFrame,
     sources: DataFrame,
     k: int,
     *,
-    target_id: Sequence[str],
-    source_id: Sequence[str],
     txy: tuple[str, str] = ("x", "y"),
     sxy: tuple[str, str] = ("sx", "sy"),
     by: Sequence[str] = (),
     base: float = 1000.0,
     levels: int = 12,
+    finer: int = 6,
     max_distance: float | None = None,
 ) -> DataFrame:
-    """The ``min(k, n)`` nearest sources of each target with ``d2`` and ``rank``, ties by source id.
-
-    A count pyramid over the sources (cell size ``base`` doubled per level) tells
-    each target cell the finest level whose 3 x 3 block holds ``k`` sources. The
-    k-th neighbour is then no farther than the far corner of that block, which the
-    7 x 7 block covers, so one pass is exact: no widening loop, no whole cross join.
-    Row number with a bound lets Spark prune to k rows per target before the shuffle.
+    """Pairs with ``d2`` among which are the ``min(k, n)`` nearest sources of each target.
+
+    A count pyramid over the sources (cell size ``base`` doubled per level, from
+    ``finer`` halvings below it) tells each target cell the finest level whose 3 x 3
+    block holds ``k`` sources. The k-th neighbour is then no farther than the far
+    corner of that block, which the 7 x 7 block covers, so one pass is exact: no
+    widening loop, no whole cross join. Where sources are dense, blocks are small, so
+    candidates grow with the targets and not with the product of both.
     """
     tx, ty = txy
     sx, sy = sxy
     by = list(by)
+    base, levels = base / 2**finer, levels + finer
     top = levels - 1
     if max_distance is not None:  # a level whose 7 x 7 block spans the cutoff is as coarse as needed
         top = min(top, max(0, math.ceil(math.log2(max_distance / (3.0 * base)))))
@@ -136,17 +137,24 @@ def knn_join(
         .groupBy(*by, "_l", "_cx", "_cy")
         .agg(F.sum("_n").alias("_n"))
     )
+    # Blocks that hold enough; each source cell counts in the nine around it, once a level.
+    full = (
+        pyramid.withColumn("_o", F.explode(_offsets(1)))
+        .withColumn("_cx", F.col("_cx") + F.col("_o.i"))
+        .withColumn("_cy", F.col("_cy") + F.col("_o.j"))
+        .groupBy(*by, "_l", "_cx", "_cy")
+        .agg(F.sum("_n").alias("_n"))
+        .where(F.col("_n") >= k)
+        .drop("_n")
+    )
     places = t.select(*by, "_c0x", "_c0y").distinct()
     counted = (
         places.withColumn("_l", lv)
-        .withColumn("_o", F.explode(_offsets(1)))
-        .withColumn("_cx", at("_c0x") + F.col("_o.i"))
-        .withColumn("_cy", at("_c0y") + F.col("_o.j"))
-        .join(pyramid, [*by, "_l", "_cx", "_cy"])
-        .groupBy(*by, "_c0x", "_c0y", "_l")
-        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_cx", at("_c0x"))
+        .withColumn("_cy", at("_c0y"))
+        .join(full, [*by, "_l", "_cx", "_cy"])
         .groupBy(*by, "_c0x", "_c0y")
-        .agg(F.min(F.when(F.col("_n") >= k, F.col("_l"))).alias("_l"))
+        .agg(F.min("_l").alias("_l"))
     )
     # A place without enough sources around it searches at the coarsest level.
     chosen = places.join(counted, [*by, "_c0x", "_c0y"], "left").withColumn("_l", F.coalesce("_l", F.lit(top)))
@@ -173,17 +181,26 @@ def knn_join(
         .drop("_o", "_s", "_far")
     )
     # A source is only copied to the levels some target really asked for.
-    asked = chosen.select(*by, "_l").distinct() if by else chosen.select("_l").distinct()
-    grid = (
-        s.join(asked, by, "inner") if by else s.crossJoin(asked)
-    )
+    if by:
+        grid = s.join(chosen.select(*by, "_l").distinct(), by)
+    else:  # one row with at most ``levels`` numbers
+        asked = chosen.agg(F.collect_set("_l").alias("_ls"))
+        grid = s.crossJoin(F.broadcast(asked)).withColumn("_l", F.explode("_ls")).drop("_ls")
     grid = grid.withColumn("_cx", at("_c0x")).withColumn("_cy", at("_c0y")).drop("_c0x", "_c0y")
     d2 = (F.col(tx) - F.col(sx)) * (F.col(tx) - F.col(sx)) + (F.col(ty) - F.col(sy)) * (F.col(ty) - F.col(sy))
     pairs = probes.join(grid, [*by, "_l", "_cx", "_cy"]).drop("_l", "_cx", "_cy").withColumn("d2", d2)
     if max_distance is not None:
         pairs = pairs.where(F.col("d2") <= float(max_distance) ** 2)
+    return pairs
+
+
+def knn_join(targets: DataFrame, sources: DataFrame, k: int, *, target_id: Sequence[str], source_id: Sequence[str], **kw) -> DataFrame:
+    """The ``min(k, n)`` nearest sources of each target with ``d2`` and ``rank``, ties by source id.
+
+    Row number with a bound lets Spark prune to k rows per target before the shuffle.
+    """
     order = Window.partitionBy(*target_id).orderBy("d2", *source_id)
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return knn_candidates(targets, sources, k, **kw).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest_join(targets: DataFrame, sources: DataFrame, *, max_distance: float | None = None, **kw) -> DataFrame:

@@ -153,3 +153,17 @@ def test_nearest_with_cutoff_reaches_beyond_the_first_ring(spark, cloud):
     d = np.sqrt((targets.x.to_numpy()[:, None] - cloud.x.to_numpy()) ** 2 + (targets.y.to_numpy()[:, None] - cloud.y.to_numpy()) ** 2).min(axis=1)
     assert set(got.index) == set(np.flatnonzero(d <= 1200.0))
     assert np.allclose(got.sort_index().to_numpy(), d[d <= 1200.0])
+
+
+def test_nearest_search_stays_linear_in_density(spark):
+    """Ten times the targets and sources on the same ground: about ten times the candidates, not a hundred."""
+    def candidates(n):
+        rng = np.random.default_rng(n)
+        xy = rng.uniform(0, 20_000, (2 * n, 2))
+        t = spark.createDataFrame(pd.DataFrame({"t": range(n), "x": xy[:n, 0], "y": xy[:n, 1]}))
+        s = spark.createDataFrame(pd.DataFrame({"s": range(n), "sx": xy[n:, 0], "sy": xy[n:, 1]}))
+        got = spatial.knn_join(t, s, 1, target_id=["t"], source_id=["s"], base=1000.0).toPandas().set_index("t")["s"]
+        assert got.sort_index().tolist() == ((xy[:n, None] - xy[None, n:]) ** 2).sum(2).argmin(1).tolist()
+        return spatial.knn_candidates(t, s, 1, base=1000.0, max_distance=3000.0).count()
+
+    assert candidates(2000) < 14 * candidates(200)
