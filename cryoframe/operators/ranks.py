@@ -114,10 +114,11 @@ def spatial_correlation(df: DataFrame, a: str, b: str, *, correlation_length: fl
 
 def fdr(df: DataFrame, p: str, *, alpha: float = 0.05, adjusted: str = "p_fdr", reject: str = "significant") -> DataFrame:
     """Benjamini-Hochberg. Equal p share one adjusted value, so the work is on distinct p:
-    slices of -log2(p), a running count upward, a running minimum downward."""
+    slices of about equal numbers of them by a quantile sketch, a running count upward, a running minimum downward."""
     counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count(F.lit(1)).alias("_c"))
-    sliced = counts.withColumn("_s", F.when(F.col(p) > 0, F.floor(-F.log2(F.col(p)) * 16)).otherwise(F.lit(1 << 20)).cast("bigint"))
-    down = Window.orderBy(F.col("_s").desc())
+    edges = edge_table(counts, [], p)  # one row
+    sliced = with_slice(counts.crossJoin(F.broadcast(edges)), p).withColumnRenamed("_slice", "_s")
+    down = Window.orderBy("_s")  # over the slices, at most some thousand
     slices = sliced.groupBy("_s").agg(F.sum("_c").alias("_m"))
     slices = slices.withColumn("_upto", F.sum("_m").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_m").over(Window.partitionBy()))
     slices = slices.withColumn("_before", F.col("_upto") - F.col("_m"))

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cryoframe.operators.skew import edge_table, with_slice
+
 HOUR = 1.0 / 8766.0
 
 
@@ -62,10 +64,12 @@ def track_ids(
         .select(beam, "_s", (F.col("_all") - F.col("_in")).alias("_base"), (F.col("_rows") - F.col("_m")).alias("_row0"))
     )
     totals = opens.groupBy(beam).agg(F.sum(F.col("_in") + F.col("_open")).alias("_tracks"))
-    # One row per beam: this window is over six rows.
-    starts = totals.withColumn(
-        "_first", F.coalesce(F.sum("_tracks").over(Window.orderBy(beam).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select(beam, "_first")
+    # One row per beam, and beams may be many: a running sum inside slices of them, and one over the slices' sums.
+    dealt = with_slice(totals.crossJoin(F.broadcast(edge_table(totals, [], beam))), beam)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    slices = dealt.groupBy("_slice").agg(F.sum("_tracks").alias("_m")).withColumn("_start", F.coalesce(F.sum("_m").over(before(Window.orderBy("_slice"))), F.lit(0)))
+    inside = F.coalesce(F.sum("_tracks").over(before(Window.partitionBy("_slice").orderBy(beam))), F.lit(0))
+    starts = dealt.withColumn("_in_slice", inside).join(slices, "_slice").select(beam, (F.col("_start") + F.col("_in_slice")).alias("_first"))
     placed = local.join(offsets, [beam, "_s"]).join(starts, beam)
     placed = placed.withColumn(out, (F.col("_first") + F.col("_base") + F.col("_k") - 1).cast("bigint"))
     if position:
