@@ -6,13 +6,13 @@ import base64
 import codecs
 import hashlib
 from array import array
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cryoframe.llm.common import id_type, ids_and_texts, pieces, strings
+from cryoframe.llm.common import claim, id_type, ids_and_texts, pieces, strings
 
 #: Bounds of what a Python worker keeps: transitions of the transducer, and pieces of text with their ids.
 MOST_TRANSITIONS, MOST_PIECES = 600_000, 300_000
@@ -138,16 +138,17 @@ class Codec:
 
     @classmethod
     def get(cls, rank_file: bytes, pattern: str) -> Codec:
-        """One for each vocabulary and Python worker."""
+        """One for each vocabulary and Python worker, kept from task to task."""
+        claim("bpe", cls.made.clear)
         key = hashlib.sha256(rank_file + pattern.encode()).digest()
         if key not in cls.made:
             cls.made[key] = cls(rank_file, pattern)
         return cls.made[key]
 
-    def encode(self, text: str) -> Iterator[list[int]]:
+    def encode(self, text: str) -> Iterator[array]:
         """Ids, a stretch of the text at a time."""
         for part in pieces(text, STRETCH):
-            yield array("i", self.packed(part)).tolist()
+            yield array("i", self.packed(part))
 
     def packed(self, text: str) -> bytes:
         """Ids as 32-bit numbers; pieces met before are looked up."""
@@ -174,6 +175,17 @@ def _vocabulary(docs: DataFrame, path: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
+def portions(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
+def id_lists(ids: Sequence[array]) -> pa.Array:
+    """A column of id lists from packed numbers, without a Python object for each."""
+    ends = pa.array([0, *accumulate(map(len, ids))], pa.int32())
+    data = b"".join(a.tobytes() for a in ids)
+    return pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)]))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, token_ids (array<int>) of each row. A null text has no ids, like an empty one; repeated rows stay rows."""
     docs, ranks = ids_and_texts(docs), _vocabulary(docs, ranks_path)
@@ -181,9 +193,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         codec = Codec.get(ranks.value, pattern)
         for batch in batches:
-            for i, t in zip(batch.column(0), strings(batch.column(1)), strict=True):
-                ids = [*chain.from_iterable(codec.encode(t or ""))]
-                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], batch.column(0).type), pa.array([ids], pa.list_(pa.int32()))], ["doc_id", "token_ids"])
+            for some in portions(batch):
+                ids = [array("i", b"".join(part.tobytes() for part in codec.encode(t or ""))) for t in strings(some.column(1))]
+                yield pa.RecordBatch.from_arrays([some.column(0), id_lists(ids)], ["doc_id", "token_ids"])
 
     return docs.mapInArrow(run, f"doc_id {id_type(docs)}, token_ids array<int>")
 
@@ -210,7 +222,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool
     docs, ranks = ids_and_texts(docs), _vocabulary(docs, ranks_path)
 
     def one(codec: Codec, text: str) -> tuple:
-        n, ids_hash, bytes_hash, at, same, kept = 0, hashlib.sha256(), hashlib.sha256(), 0, True, []
+        n, ids_hash, bytes_hash, at, same, kept = 0, hashlib.sha256(), hashlib.sha256(), 0, True, array("i")
 
         def stream():
             nonlocal n
@@ -235,8 +247,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool
     def run(batches):
         codec = Codec.get(ranks.value, pattern)
         for batch in batches:
-            columns = zip(*[one(codec, t or "") for t in strings(batch.column(1))], strict=True) if batch.num_rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=False)]], ["doc_id", *kinds])
+            for some in portions(batch):
+                *numbers, ids = zip(*[one(codec, t or "") for t in strings(some.column(1))], strict=True)
+                columns = [some.column(0), *[pa.array(c, k) for c, k in zip(numbers, kinds.values(), strict=False)]]
+                yield pa.RecordBatch.from_arrays([*columns, id_lists(ids)] if with_ids else columns, ["doc_id", *kinds])
 
     schema = f"doc_id {id_type(docs)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, same_text boolean" + ", token_ids array<int>" * with_ids
     return docs.mapInArrow(run, schema)

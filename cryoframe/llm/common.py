@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,19 @@ def id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
+#: Whose tables this Python worker holds, and how to let go of them.
+_holder: list = ["", None]
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """A worker is used again by other operators; the one that starts a task makes the last one's tables go."""
+    if _holder[0] != owner:
+        if _holder[1] is not None:
+            _holder[1]()
+            gc.collect()
+        _holder[:] = [owner, release]
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 

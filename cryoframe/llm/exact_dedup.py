@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cryoframe.llm.common import fresh, ids_and_texts, utf8
+from cryoframe.llm.common import claim, fresh, ids_and_texts, utf8
 from cryoframe.session import cut
 
 #: Digests in a bucket of the index, about. A bucket is one row: 40 bytes a digest and the levels' bits.
@@ -22,6 +22,7 @@ GAMMA = 2
 
 @F.arrow_udf(T.BinaryType())
 def _sha256(text: pa.Array) -> pa.Array:
+    claim("exact_dedup")
     return pa.array([hashlib.sha256((t or b"").lower()).digest() for t in utf8(text)], pa.binary())  # bytes.lower: A-Z only
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cryoframe.llm.common import ids_and_texts, strings
+from cryoframe.llm.common import claim, ids_and_texts, strings
 from cryoframe.llm.words import mix
 from cryoframe.session import ship
 
@@ -24,7 +25,7 @@ LEAST_SHARE = 1 / 20_000
 #: Places of the filters, and places that an n-gram sets.
 PLACES, PROBES = 1 << 18, 3
 #: Texts are handled in groups of about so many bytes.
-GROUP = 1 << 20
+GROUP = 1 << 18
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -59,6 +60,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         return gram, np.bincount(at, n).astype(np.int64)
 
     def run(batches):
+        claim("langid")
         found = defaultdict(list)
 
         def flush():
@@ -103,7 +105,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        for some in self._grouped([normalised(t) for t in texts]):
+        for some in self._grouped(map(normalised, texts)):
             lengths = np.array([max(0, len(t) - GRAM + 1) for t in some])
             gram = np.concatenate([grams(t) for t in some])
             at = places(gram)
@@ -125,7 +127,7 @@ class Model:
         return langs, scores
 
     @staticmethod
-    def _grouped(texts: list[bytes]):
+    def _grouped(texts: Iterable[bytes]):
         some, load = [], 0
         for t in texts:
             if some and load + len(t) > GROUP:
@@ -165,6 +167,7 @@ def predicted(model: Broadcast, text: Column) -> Column:
 
     @F.arrow_udf(kind)
     def run(text: pa.Array) -> pa.Array:
+        claim("langid")
         langs, scores = model.value.predict(strings(text))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 

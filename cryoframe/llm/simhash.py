@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cryoframe.llm.common import components, fresh, ids_and_texts, utf8
+from cryoframe.llm.common import claim, components, fresh, ids_and_texts, utf8
 from cryoframe.session import cut
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
@@ -40,6 +40,7 @@ def fingerprint_of(text: bytes | None) -> int:
 
 @F.arrow_udf(T.LongType())
 def _fingerprint(text: pa.Array) -> pa.Array:
+    claim("simhash")
     return pa.array(map(fingerprint_of, utf8(text)), pa.int64())
 
 
