@@ -15,10 +15,10 @@ from cryoframe.sources.fields import clean_mooring
 KEYS = "pa, pb, pc, pd"
 
 
-@query("H01_delta_time", with_pts("SELECT beam, sum(2018.0E0+tax*1E7/31557600.0E0) AS t_sum, sum((t_year-2018.0E0)*31557600.0E0)/1E9 AS delta_sum FROM pts GROUP BY beam"), floats="t_sum delta_sum")
+@query("H01_delta_time", with_pts("SELECT beam, sum(2018.0E0+tax*1E7/31557600.0E0-2018.0E0) AS t_sum, sum((t_year-2018.0E0)*31557600.0E0)/1E9 AS delta_sum FROM pts GROUP BY beam"), floats="t_sum delta_sum")
 def h01(spark, sf):
     return points(spark, sf).groupBy("beam").agg(
-        F.sum(timecols.year_from_delta(F.col("tax") * 1e7)).alias("t_sum"), (F.sum(timecols.delta_from_year("t_year")) / 1e9).alias("delta_sum"))
+        F.sum(timecols.year_from_delta(F.col("tax") * 1e7) - 2018.0).alias("t_sum"), (F.sum(timecols.delta_from_year("t_year")) / 1e9).alias("delta_sum"))
 
 
 @query(

@@ -98,9 +98,10 @@ def residual_rows(spark, sf):
     return points(spark, sf).select("beam", (F.col("h") - 500.0 + 0.5 * (F.col("year") - 1998)).alias("resid"), (F.col("s_elv") * F.col("s_elv") * 400).alias("var"), "disc")
 
 
-@query("D12_fold_metrics", with_pts("SELECT beam, count(*) AS n, sqrt(avg(r*r)) AS rmse, avg(abs(r)) AS mae, avg(r) AS bias, avg((abs(r)/sqrt(v)<=1)::INT) AS coverage_68, avg((abs(r)/sqrt(v)<=1.96E0)::INT) AS coverage_95, stddev_pop(r/sqrt(v)) AS z_std FROM rs GROUP BY beam", RES_SQL), floats="rmse mae bias coverage_68 coverage_95 z_std")
+@query("D12_fold_metrics", with_pts("SELECT beam, count(*) AS n, sqrt(avg(r*r)) AS rmse, avg(abs(r)) AS mae, avg(r) AS bias, avg((abs(r)/sqrt(v)<=1)::INT) AS coverage_68, avg((abs(r)/sqrt(v)<=1.96E0)::INT) AS coverage_95, stddev_pop(r/sqrt(v)) AS z_std, any_value(m) AS median, 1.4826E0*median(abs(r-m)) AS mad FROM (SELECT *, median(r) OVER (PARTITION BY beam) AS m FROM rs) GROUP BY beam", RES_SQL), floats="rmse mae bias coverage_68 coverage_95 z_std median mad")
 def d12(spark, sf):
-    return interpolate.prediction_metrics(residual_rows(spark, sf), ["beam"])
+    r = residual_rows(spark, sf)
+    return interpolate.prediction_metrics(r, ["beam"]).join(group_median_mad(r, ["beam"], "resid", med="median", mad="mad").drop("n"), "beam")
 
 
 @query("D13_method_summary", with_pts("SELECT 'block' AS strategy, CASE WHEN beam%2=0 THEN 'even' ELSE 'odd' END AS method, count(*) AS n_folds, avg(rmse) AS rmse_mean, stddev_samp(rmse) AS rmse_std, avg(bias) AS bias_mean, abs(avg(c68)-0.6827E0) AS coverage_gap, abs(avg(zs)-1) AS z_gap FROM (SELECT beam, sqrt(avg(r*r)) AS rmse, avg(r) AS bias, avg((abs(r)/sqrt(v)<=1)::INT) AS c68, stddev_pop(r/sqrt(v)) AS zs FROM rs GROUP BY beam) GROUP BY 2", RES_SQL), floats="rmse_mean rmse_std bias_mean coverage_gap z_gap")
@@ -449,11 +450,20 @@ def e13(spark, sf):
     return folded(spark, sf).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bi", "bj").alias("n_blocks"))
 
 
-@query("E14_no_leak", with_pts("SELECT 0::BIGINT AS n_leaked, (SELECT count(*) FROM pts) AS n FROM (SELECT 1)"))
+@query(
+    "E14_no_leak",
+    with_pts(
+        "SELECT (SELECT count(*) FROM (SELECT pa, pb, pc, pd FROM pf GROUP BY ALL HAVING count(DISTINCT fold)>1)) AS n_leaked, "
+        "(SELECT sum(k) FROM (SELECT count(DISTINCT fold) AS k FROM pf GROUP BY pc HAVING count(DISTINCT fold)>1))::BIGINT AS n_tracks_shared, (SELECT count(*) FROM pf) AS n",
+        FOLD_SQL, "pf AS (SELECT pts.*, fold FROM pts JOIN fo ON bi=floor(x/10000) AND bj=floor(y/10000))",
+    ),
+)
 def e14(spark, sf):
+    """Blocks keep observations apart, yet not the tracks that run through them; both are counted."""
     train, test = interpolate.fold_views(folded(spark, sf), 5)
     n = test.agg(F.count(F.lit(1)).alias("n"))
-    return ranks.leaked(train, test, [*IDS, "fold"]).crossJoin(F.broadcast(n))
+    shared = ranks.leaked(train, test, ["pc", "fold"]).withColumnRenamed("n_leaked", "n_tracks_shared")
+    return ranks.leaked(train, test, [*IDS, "fold"]).crossJoin(F.broadcast(shared)).crossJoin(F.broadcast(n))
 
 
 # ------------------------------------------------------------------ top-k and sets
