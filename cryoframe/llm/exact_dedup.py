@@ -15,7 +15,7 @@ from cryoframe.llm.common import claim, fresh, ids_and_texts, utf8
 from cryoframe.session import cut
 
 #: Digests in a bucket of the index, about. A bucket is one row: 40 bytes a digest and the levels' bits.
-BUCKET = 4096
+BUCKET = 512
 #: Bits of a level for each digest that it has to place.
 GAMMA = 2
 
