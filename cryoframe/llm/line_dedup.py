@@ -58,7 +58,8 @@ def later_copies(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     the union of all maximal runs, and deeper intervals would delete no other line.
     """
     ranks = suffix_ranks(line_ids(docs), min_lines)
-    first = ranks.groupBy("rank").agg(F.min(F.struct("doc", "i")).alias("first"))
+    # Written first, so that both sides of the join are dealt out for it alone and a very common rank can be split.
+    first = cut(ranks.groupBy("rank").agg(F.min(F.struct("doc", "i")).alias("first")))
     copies = ranks.join(first, "rank").where(F.struct("doc", "i") > F.col("first"))
     # A document's own lines, so its length bounds the lists.
     begins = copies.groupBy("doc").agg(F.array_sort(F.collect_set("i")).alias("begins"))
