@@ -7,7 +7,7 @@ import codecs
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import accumulate, islice
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -160,12 +160,13 @@ class Codec:
             self.known = {}
         return ids
 
-    def decode(self, ids: Iterable[int]) -> Iterator[tuple[bytes, str]]:
-        """Bytes and characters, some ids at a time; a character may begin in one token and end in another."""
-        characters, ids = codecs.getincrementaldecoder("utf-8")("replace"), iter(ids)
-        while some := list(islice(ids, IDS)):
-            data = b"".join(map(self.of, some))
-            yield data, characters.decode(data)
+    def decode(self, parts: Iterable[Sequence[int]]) -> Iterator[tuple[bytes, str]]:
+        """Bytes and characters of ids that come in parts; a character may begin in one token, or part, and end in another."""
+        characters = codecs.getincrementaldecoder("utf-8")("replace")
+        for part in parts:
+            for low in range(0, len(part), IDS):
+                data = b"".join(map(self.of, part[low : low + IDS]))
+                yield data, characters.decode(data)
         yield b"", characters.decode(b"", final=True)
 
 
@@ -207,7 +208,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches):
         codec = Codec.get(ranks.value, pattern)
         for batch in batches:
-            texts = ["".join(s for _, s in codec.decode(ids or ())) for ids in batch.column(1).to_pylist()]
+            texts = ["".join(s for _, s in codec.decode([ids or []])) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return tokens.mapInArrow(run, f"doc_id {id_type(tokens)}, text string")
@@ -226,13 +227,14 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool
 
         def stream():
             nonlocal n
-            for ids in codec.encode(text):
+            for packed in codec.encode(text):
+                ids = packed.tolist()
                 if ids:
                     ids_hash.update((("," if n else "") + ",".join(map(codec.name, ids))).encode())
                 n += len(ids)
                 if with_ids:
-                    kept.extend(ids)
-                yield from ids
+                    kept.extend(packed)
+                yield ids
 
         for data, characters in codec.decode(stream()):
             bytes_hash.update(data)

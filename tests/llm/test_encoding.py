@@ -58,12 +58,11 @@ def test_merges_out_of_rank_order():
         assert list(machine.piece(text.encode())) == want
 
 
-def test_decoder_joins_characters_across_tokens(codec, monkeypatch):
-    monkeypatch.setattr(bpe, "IDS", 1)
+def test_decoder_joins_characters_across_tokens(codec):
     text = "中文字 🙂 é"
-    parts = list(codec.decode(ids(codec, text)))
+    parts = list(codec.decode([[i] for i in ids(codec, text)]))
     assert b"".join(b for b, _ in parts) == text.encode() and "".join(s for _, s in parts) == text
-    assert "".join(s for _, s in codec.decode([codec.machine.ranks[b"\xf0"]])) == "�"
+    assert "".join(s for _, s in codec.decode([[codec.machine.ranks[b"\xf0"]]])) == "�"
 
 
 def test_round_trip_of_rows(spark, library):
