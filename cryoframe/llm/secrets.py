@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,16 +21,22 @@ BASE = (
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32, ("",)),
 )
 KINDS = [k for k, *_ in BASE] + ["random"]
-#: Runs of characters that encodings use; shorter ones say too little for a test.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Least length of a candidate without its padding; shorter ones say too little for a test.
+LEAST = 20
+#: Runs of characters that one encoding can hold, with padding where nothing follows it: in base64, in its form for URLs, and without separators.
+READINGS = [re.compile(rf"[{c}]{{{LEAST},}}(?:=++(?![A-Za-z0-9+/_-]))?") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")]
 #: Encodings in order of size: name, symbols in order of their values. A candidate's encoding is the first that has all its symbols.
 DIGITS, SMALL, LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
+    ("decimal", DIGITS),
     ("hex", DIGITS + SMALL[:6]),
     ("upper hex", DIGITS + LARGE[:6]),
+    ("small letters", SMALL),
+    ("large letters", LARGE),
     ("base32", LARGE + "234567"),
     ("base36", DIGITS + SMALL),
     ("upper base36", DIGITS + LARGE),
+    ("letters", LARGE + SMALL),
     ("base62", LARGE + SMALL + DIGITS),
     ("base64", LARGE + SMALL + DIGITS + "+/"),
     ("base64 url", LARGE + SMALL + DIGITS + "-_"),
@@ -101,17 +108,15 @@ def serial_p(symbols: list[int], size: int) -> float:
     return min(1.0, 2 * _upper_tail(abs(r + 1 / n) * math.sqrt(n)))
 
 
-def battery(token: str) -> float | None:
-    """Fisher's combination of the three tests: small for a token that is not random. None where no encoding is inferred.
+def combined_p(token: str) -> float | None:
+    """Fisher's combination of the three tests in the inferred encoding: small for a token that is not random.
 
-    A token of letters alone is a word of some language as far as an encoding can tell, and so is one with a single
-    digit; both have none.
+    None for a token below the least length, or with symbols of no encoding. Letters alone and digits alone are
+    encodings too: a random key without digits is even over the letters, as one with digits is over both.
     """
     token = token.rstrip("=")
-    if sum(c in DIGITS for c in token) < 2 or not any(c not in DIGITS for c in token):
-        return None
     encoding = next((symbols for _, symbols in ENCODINGS if set(token) <= set(symbols)), None)
-    if encoding is None or len(token) < 20:
+    if encoding is None or len(token) < LEAST:
         return None
     symbols = [encoding.index(c) for c in token]
     size = len(encoding)
@@ -119,6 +124,29 @@ def battery(token: str) -> float | None:
     return min(1.0, math.exp(-x / 2) * (1 + x / 2 + x * x / 8))
 
 
+def battery(token: str) -> float | None:
+    """combined_p for tokens of digits and other symbols, with two digits or more; None for others. The scan does not ask for digits."""
+    token = token.rstrip("=")
+    return combined_p(token) if sum(c in DIGITS for c in token) >= 2 and any(c not in DIGITS for c in token) else None
+
+
+def candidates(text: str) -> list[tuple[int, int, list[int]]]:
+    """start, end and the numbers of the candidates around it, of each candidate by start, then end.
+
+    A run is read as base64, as base64 for URLs and as fields between separators, so a key behind ``NAME=``, ``name_`` or
+    ``name-`` is a candidate by itself, and so is the whole run where an encoding holds it.
+    """
+    readings = [[m.span() for m in pattern.finditer(text)] for pattern in READINGS]
+    spans = sorted({s for reading in readings for s in reading})
+    number = {s: k for k, s in enumerate(spans)}
+    starts = [[start for start, _ in reading] for reading in readings[:2]]
+    out = []
+    for start, end in spans:
+        around = [reading[k - 1] for reading, begins in zip(readings, starts, strict=False) if (k := bisect_right(begins, start))]
+        out.append((start, end, [number[s] for s in around if s != (start, end) and s[1] >= end]))
+    return out
+
+
 def level(p: float) -> int:
     """Step of a p-value, 0 for 1: rounded up, so that nothing gets less likely by it."""
     return min(STEPS, int(-math.log2(max(p, 1e-300)) * STEP))
@@ -130,7 +158,7 @@ def stratum(length: int) -> int:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base and candidates (start, end, stratum, level) of every row."""
+    """doc_id, base and candidates (start, end, stratum, level, numbers of those around it) of every row."""
 
     def run(batches):
         for batch in batches:
@@ -138,15 +166,14 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in strings(batch.column(1)):
                 text = text or ""
                 base.append([{"start": f.start, "end": f.end, "kind": f.kind} for f in base_spans(text)])
-                tested = [(m, battery(m[0])) for m in CANDIDATE.finditer(text)]
-                more.append([{"start": m.start(), "end": m.end(), "stratum": stratum(m.end() - m.start()), "level": level(p)} for m, p in tested if p is not None])
+                more.append([{"start": s, "end": e, "stratum": stratum(e - s), "level": level(combined_p(text[s:e])), "around": around} for s, e, around in candidates(text)])
             span = [("start", pa.int32()), ("end", pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(base, pa.list_(pa.struct([*span, ("kind", pa.string())]))), pa.array(more, pa.list_(pa.struct([*span, ("stratum", pa.int32()), ("level", pa.int32())])))],
+                [batch.column(0), pa.array(base, pa.list_(pa.struct([*span, ("kind", pa.string())]))), pa.array(more, pa.list_(pa.struct([*span, ("stratum", pa.int32()), ("level", pa.int32()), ("around", pa.list_(pa.int32()))])))],
                 ["doc_id", "base", "candidates"],
             )
 
-    schema = f"doc_id {id_type(docs)}, base array<struct<start:int,end:int,kind:string>>, candidates array<struct<start:int,end:int,stratum:int,level:int>>"
+    schema = f"doc_id {id_type(docs)}, base array<struct<start:int,end:int,kind:string>>, candidates array<struct<start:int,end:int,stratum:int,level:int,around:array<int>>>"
     return docs.mapInArrow(run, schema)
 
 
@@ -172,8 +199,10 @@ def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random of every row of ``docs``.
 
     Base spans are the whole matches of the fixed patterns whose measured group is long enough. ``random`` spans are the
-    candidates that the battery does not call non-random at a false-discovery rate of 0.05 within their length class,
-    over all documents; a candidate may also be a base span, and both are listed. Spans are kind:start:end in code points,
+    candidates of 20 symbols or more, padding not counted, that the tests do not call non-random at a false-discovery
+    rate of 0.05 within their length class, over all documents. Runs are tested whole and by fields between separators;
+    a field of a run that is listed is not listed again. Fields below 20 symbols are not tested by themselves. A
+    candidate may also be a base span, and both are listed. Spans are kind:start:end in code points,
     end exclusive, by start, then kind in the order assign, access, hex, random. Null texts count as empty; repeated
     rows are scanned and counted each. An empty table gives an empty report.
     """
@@ -181,7 +210,8 @@ def report(docs: DataFrame) -> DataFrame:
     found = limits(scanned)
     limit = F.create_map(*[F.lit(x) for pair in found.items() for x in pair]) if found else None
     called = lambda c: c["level"] >= limit[c["stratum"]] if found else F.lit(False)
-    random = F.transform(F.filter("candidates", lambda c: ~called(c)), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind")))
+    listed = lambda c: ~called(c) & ~F.exists(c["around"], lambda k: ~called(F.col("candidates")[k]))
+    random = F.transform(F.filter("candidates", listed), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.lit("random").alias("kind")))
     rank = F.create_map(*[F.lit(x) for k, kind in enumerate(KINDS) for x in (kind, k)])
     ordered = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     said = lambda spans: F.array_join(F.transform(ordered(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

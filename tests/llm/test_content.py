@@ -82,6 +82,33 @@ def test_battery_tells_random_from_regular():
     assert secrets.battery("internationalisation" * 2) is None
 
 
+def test_random_keys_without_digits_and_behind_names(spark):
+    """Letters alone, one digit, digits alone; behind a name and =, behind separators of no one encoding, and with padding."""
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    rng = random.Random(5)
+    make = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    rows, want = [], []
+    for k in range(120):
+        key = [make(small + small.upper(), 24), make(small, 31) + "7", make(digits, 32), make(small.upper(), 40), make(digits + "abcdef", 40), make(small + digits + "+/", 43) + "="][k % 6]
+        before = ["", "NAME=", "api-key_", "a+b-c=", "=="][k % 5]
+        rows.append((k, f"x {before}{key} y {before}{'abcabcabcd' * 6}"))
+        want.append((2 + len(before), 2 + len(before) + len(key)))
+    got = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")] for r in secrets.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    # A key counts as found by itself or within the run that it ends.
+    found = [any(s <= start and e == end for s, e in got[k]) for k, (start, end) in enumerate(want)]
+    assert sum(found) >= 108 and all(sum(found[k::6]) >= 16 for k in range(6))
+    assert sum(e > end for k, (_, end) in enumerate(want) for _, e in got[k]) <= 12
+
+
+def test_candidates_and_what_is_around_them():
+    key, tail = "A1b2C3d4E5f6G7h8I9j0K", "z" * 20
+    assert secrets.candidates(f"N={key}==") == [(2, 25, [])]
+    assert secrets.candidates(f"N={key}=x") == [(2, 23, [])]
+    assert secrets.candidates(f"k_{key}") == [(0, 23, []), (2, 23, [0])]
+    assert secrets.candidates(f"k-{key}/{tail}") == [(0, 23, []), (2, 23, [2, 0]), (2, 44, []), (24, 44, [2])]
+    assert secrets.candidates("a" * 19) == [] and secrets.candidates("=" * 40) == []
+
+
 def test_false_discovery_limit_is_benjamini_hochberg(spark):
     rng = random.Random(2)
     levels = [secrets.level(rng.random()) for _ in range(300)] + [secrets.level(10 ** -rng.uniform(3, 9)) for _ in range(60)]
