@@ -175,6 +175,28 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_by_words(spark):
+    """Against all runs of enough words: single long lines, blank lines, runs that need several lines."""
+    rng = random.Random(9)
+    lines = ["a", "a b", "c d e", "f g h i j k l", "", "", " \t", "x\u2003y"]
+    rows = [(i, "\n".join(rng.choice(lines) if rng.random() < 0.6 else f"{i} {rng.random()}" for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    rows += [(None, "c d e\n\nx"), (70, None), (71, ""), (72, "\n\n\n"), (73, "\n\n\n"), (74, "one long line of words\nend"), (75, "other\none long line of words"), (75, "other\none long line of words")]
+    for least in (1, 3, 6):
+        got = line_dedup.dedup_by_words(frame(spark, rows), least).collect()
+        assert len(got) == len(rows)
+        seen, gone = {}, defaultdict(set)
+        for i, t in sorted(set(rows), key=lambda r: -1 if r[0] is None else r[0]):
+            w = t.split("\n") if t is not None else []
+            for a in range(len(w)):
+                for b in range(a, len(w)):
+                    if sum(len([x for x in line.replace("\t", " ").split(" ") if x]) for line in w[a : b + 1]) >= least and seen.setdefault(tuple(w[a : b + 1]), (i, a)) != (i, a):
+                        gone[i].update(range(a, b + 1))
+        want = sorted(str((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i]), sum(k - 1 not in gone[i] for k in gone[i]))) for i, t in rows)
+        assert sorted(str((r.doc_id, r.text, r.n_deleted, r.n_runs)) for r in got) == want
+        assert bool(gone[75]) == (least < 6) and not gone[73]
+    assert line_dedup.dedup_by_words(frame(spark, [])).count() == 0
+
+
 def test_suffix_ranks_follow_the_order_of_their_runs(spark):
     rows = [(i, "\n".join("abcab"[(i + k) % 5] for k in range(9))) for i in range(8)]
     ids = line_dedup.line_ids(frame(spark, rows).select("doc_id", "text"))
