@@ -145,5 +145,32 @@ def test_queries_match_their_sql_at_any_partitioning(spark, name, partitions):
     assert compare(got, con.execute(entry_module.oracle_sql()[name]).df()) == ""
 
 
+WHOLE = ["B07_space_time_state_all", "D42_flexure_width_all", "I08_identifiability_all", "J09_transition_zones_all", "K04_acceptance_all"]
+
+
+def test_queries_over_all_rows(spark):
+    """Beside their SQL, and no beam, supplier or month is left out."""
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(entry_module.__file__), "tools"))
+    from check_oracle import TABLES, compare
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got = {}
+    for name in WHOLE:
+        got[name] = entry_module.queries()[name](spark, SF).toPandas()
+        assert len(got[name]) and compare(got[name], con.execute(entry_module.oracle_sql()[name]).df()) == "", name
+    points = con.execute("SELECT count(*) FROM lineitem").fetchone()[0]
+    assert got["I08_identifiability_all"]["n"].sum() == got["B07_space_time_state_all"]["n"].sum() == points
+    part = {name: con.execute(entry_module.oracle_sql()[name.removesuffix("_all")]).df() for name in WHOLE}
+    assert part["I08_identifiability_all"]["n"].sum() < points
+    for name in ("D42_flexure_width_all", "J09_transition_zones_all"):
+        size = (lambda t: t["n"].sum()) if name.startswith("D42") else len
+        assert size(got[name]) > size(part[name])
+    assert got["K04_acceptance_all"]["n_test"][0] >= part["K04_acceptance_all"]["n_test"][0]
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 1
