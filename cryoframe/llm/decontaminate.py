@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cryoframe.llm.common import fresh, id_type, ids_and_texts, utf8
+from cryoframe.llm.common import fresh, id_type, ids_and_texts, strings, utf8
 from cryoframe.llm.words import Words, grouped
 from cryoframe.session import cut, ship
 
 #: Words of a window, words of a shingle, and bits of the filter that is sent to all tasks (2 MB, whatever the benchmark holds).
 WINDOW, SHINGLE, FILTER_BITS = 10, 3, 24
+#: Most rows and characters of words in one batch of places.
+ROWS, BYTES = 10_000, 1 << 24
 
 
 def windows_of(items: DataFrame) -> DataFrame:
@@ -125,23 +127,33 @@ def stretches(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame
 
 
 def places(texts: DataFrame, sizes: list[int]) -> DataFrame:
-    """stretch, at, token, from, around: each shingle of distinct stretches, with the words that a window around it can have."""
+    """stretch, at, token, low, around: each shingle of distinct stretches (stretch: a key, text), with the words that a window around it can have.
+
+    Rows carry the key, not the text, and leave in batches of ROWS rows or BYTES of words.
+    """
+
+    def out(key, rows):
+        at, token, low, around = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(token, pa.int64()), pa.array(low, pa.int32()), pa.array(around, pa.string())],
+            ["stretch", "at", "token", "low", "around"],
+        )
 
     def run(batches):
         for batch in batches:
-            for t in utf8(batch.column(0)):
-                w, rows = Words([t]), []
+            for key, t in zip(strings(batch.column(0)), utf8(batch.column(1)), strict=True):
+                w, rows, size = Words([t]), [], 0
                 last = len(w.start) - 1
                 for k in sizes:
                     at, h = w.shingles(k)
                     for i, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
                         low = max(0, i - (WINDOW - k))
                         rows.append((i, x, low, w.text(low, min(last, i + WINDOW - 1))))
-                at, token, low, around = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t.decode()] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(token, pa.int64()), pa.array(low, pa.int32()), pa.array(around, pa.string())],
-                    ["stretch", "at", "token", "low", "around"],
-                )
+                        size += len(rows[-1][3])
+                        if len(rows) >= ROWS or size >= BYTES:
+                            yield out(key, rows)
+                            rows, size = [], 0
+                yield out(key, rows)
 
     return texts.mapInArrow(run, "stretch string, at int, token bigint, low int, around string")
 
@@ -170,8 +182,9 @@ def _decide(docs: DataFrame, items: DataFrame) -> DataFrame:
     prefix = cut(prefixes(windows, frequencies(docs, shingles)))
     scanned = cut(stretches(docs, prefix.select(F.col("token").alias("h")), sizes).withColumn("row", F.monotonically_increasing_id()))
     # Stretches hold a few words around a hit; equal ones are looked at once.
-    parts = scanned.select("row", F.explode("stretches").alias("stretch"))
-    hits = cut(occurrences(places(parts.select("stretch").distinct(), sizes), prefix))
+    texts = scanned.select("row", F.explode("stretches").alias("text")).withColumn("stretch", F.sha2("text", 256))
+    parts = texts.select("row", "stretch")
+    hits = cut(occurrences(places(texts.select("stretch", "text").distinct(), sizes), prefix))
     spans = F.array_sort(F.collect_set(F.struct("first", "last")))
     covered = F.aggregate(
         spans, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("upto")),

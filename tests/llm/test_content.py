@@ -185,3 +185,10 @@ def test_decontamination(spark, monkeypatch, bits):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(x[0]) for x in want if not x[5])
     assert {r.n_hit for r in decontaminate.report(frame, bench.limit(0)).collect()} == {0}
     assert decontaminate.report(frame.limit(0), bench).count() == 0
+
+
+def test_a_document_that_is_one_long_stretch(spark):
+    """Every word is a hit: rows of places must not repeat the stretch (20,000 times 140,000 bytes)."""
+    docs = spark.createDataFrame([(1, "alphas " * 20_000), (2, "other words")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(docs, spark.createDataFrame([(1, "alphas")], "item_id bigint, text string")).collect()}
+    assert got == {1: (20_000, 20_000, 1), 2: (2, 0, 0)}
