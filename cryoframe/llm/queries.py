@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cryoframe.llm import bpe, chat, decontaminate, exact_dedup, langid, line_dedup, secrets, shards, simhash, token_counts
+from cryoframe.llm import bpe, chat, collocations, decontaminate, exact_dedup, langid, line_dedup, merkle, quality, secrets, shards, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -166,3 +166,72 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(deep: int = 7, wide: int = 3) -> str:
+    """Levels of eight, one after another: enough for 8^7 documents of a language and 8^3 languages."""
+    value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "flatten([[ascii(x), 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(doc_id::VARCHAR, '')])"
+    step = "CASE WHEN xor(c, e) & 1 = 1 THEN xor(xor(c, e) >> 1, 3988292384) ELSE xor(c, e) >> 1 END"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}::BIGINT[]), lambda c, e: {step}), 4294967295)"
+    parts = [
+        f"keyed AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {leaf('text')} AS h, CASE WHEN {crc} % 3 = 0 THEN {leaf('small')} END AS changed "
+        "FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS small FROM documents))",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM keyed)",
+    ]
+    up = "AS (SELECT tree, i // 8 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(n) + 7) // 8 AS n FROM"
+    beside = "coalesce(string_agg(h, '') OVER (PARTITION BY tree, i // 8 ORDER BY i ROWS BETWEEN {}), '')"
+    for name, levels in (("a", deep), ("b", wide)):
+        if name == "b":
+            parts.append(f"b0 AS (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS i, h, count(*) OVER () AS n FROM a{deep})")
+        parts += [f"{name}{k + 1} {up} {name}{k} GROUP BY tree, i // 8)" for k in range(levels)]
+        left, right = beside.format("UNBOUNDED PRECEDING AND 1 PRECEDING"), beside.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+        parts += [f"{name}{k}s AS (SELECT tree, i, n, {left} AS l, {right} AS r FROM {name}{k})" for k in range(levels)]
+    parts.append("w0 AS (SELECT doc_id, a0.tree, a0.i, a0.h AS leaf, b0.h AS subroot, b0.i AS j, coalesce(changed, a0.h) AS v, '' AS proof FROM a0 JOIN b0 ON b0.name = a0.tree)")
+    steps = [("a", "w.tree", "w.i", k) for k in range(deep)] + [("b", "''", "w.j", k) for k in range(wide)]
+    for k, (name, tree, place, level) in enumerate(steps):
+        parts.append(
+            f"w{k + 1} AS (SELECT w.* REPLACE (CASE WHEN s.n = 1 THEN v ELSE sha256(l || v || r) END AS v, proof || l || r AS proof) "
+            f"FROM w{k} w JOIN {name}{level}s s ON s.tree = {tree} AND s.i = {place} // {8**level})"
+        )
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, b{wide}.h AS root, sha256(proof) AS proof_sha256, v AS folded_root, v = b{wide}.h AS verified FROM w{len(steps)}, b{wide}"
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_quality")
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op13_collocations",
+    rf"""
+    WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\n-\r]')) AS p FROM documents),
+    words AS (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS w FROM piece),
+    total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+    grams AS (
+      SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM words, generate_series(1, 5) AS t(m) WHERE len(w) >= m)),
+    freq AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+    cuts AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w, unnest(generate_series(1, m - 1)) AS k FROM freq WHERE m > 1),
+    scored AS (
+      SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, n, k, ((1000::HUGEINT * c.f::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT))::BIGINT AS score
+      FROM cuts c JOIN total t ON t.lang = c.lang JOIN freq x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+      JOIN freq y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (
+      SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(f) AS most
+      FROM (SELECT lang, w, f, s, unnest(generate_series(1, m - s + 1)) AS i FROM (SELECT DISTINCT lang, m, w, f FROM cuts), generate_series(2, 4) AS t(s) WHERE s < m) GROUP BY ALL),
+    ranked AS (
+      SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR 100 * most < 100 * a)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(table(spark, sf_dir, "documents"))
