@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cryoframe.llm.common import claim, id_type, ids_and_texts, stored, utf8
+from cryoframe.llm.common import claim, id_type, ids_and_texts, utf8
 from cryoframe.llm.words import GROUP, _power_tables, grouped, mix
-from cryoframe.session import ship
+from cryoframe.session import cut, ship
 
 #: Bits of a feature's number: the model is 2^20 weights at any size of the corpus.
 BITS = 20
@@ -19,7 +20,7 @@ SIZE = 1 << BITS
 #: About so many labelled documents are learned from, picked by a hash of their doc_id; the first parameter of ``train``.
 TRAIN_ROWS = 40_000
 #: Learners beside each other, and rounds after which their states are averaged. Fixed, so that a model does not depend on the cluster.
-SHARDS, ROUNDS, EPOCHS = 8, 6, 3
+SHARDS, ROUNDS, EPOCHS = 8, 3, 5
 #: Step size, smoothing, and the two penalties of the learner.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-3, 1e-4
 #: Tokens before one that its n-grams depend on: two forms, each of which looks two words back.
@@ -129,10 +130,6 @@ def learn(z: np.ndarray, n: np.ndarray, examples: list[tuple[np.ndarray, np.ndar
         n[feature] = grown
 
 
-def _with_constant(feature: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.append(feature, SIZE), np.append(value, 1.0)
-
-
 def labelled(docs: DataFrame, labels: DataFrame, eligible: Column, most: int) -> DataFrame:
     """doc_id, text, label of at most about ``most`` documents. A doc_id with several labels takes the one most rows give (0 in a tie), one with several texts the text of smallest hash."""
     marks = labels.select(F.col("doc_id"), F.col("quality").cast("double").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & eligible)
@@ -145,18 +142,25 @@ def labelled(docs: DataFrame, labels: DataFrame, eligible: Column, most: int) ->
     return found.groupBy("doc_id", "label").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
 
 
-def _as_lists(batches):
-    claim("quality")
+def _shares(batches) -> Iterator[list[tuple[np.ndarray, np.ndarray, float]]]:
+    """Examples of one learner after another, of rows sorted by shard: (features, values, label), the constant last."""
+    shard, examples = None, []
     for batch in batches:
+        shards, labels = batch.column("shard").to_pylist(), batch.column("label").to_pylist()
         texts = [t or b"" for t in utf8(batch.column("text"))]
-        lists = [[]] * len(texts), [[]] * len(texts)
         for first, text, feature, counts in features(texts):
-            ends = np.searchsorted(text, np.arange(text[-1] + 2)) if len(text) else []
-            for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                lists[0][first + k], lists[1][first + k] = feature[i:j].tolist(), counts[i:j].tolist()
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("label"), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.int64()))], ["doc_id", "label", "feature", "n"]
-        )
+            n = int(text[-1]) + 1 if len(text) else 0
+            value = values(text, counts, n)
+            ends = np.searchsorted(text, np.arange(n + 1))
+            for k in range(first, first + n):
+                if shards[k] != shard:
+                    if examples:
+                        yield examples
+                    shard, examples = shards[k], []
+                own = slice(*ends[k - first : k - first + 2])
+                examples.append((np.append(feature[own], SIZE).astype(np.int32), np.append(value[own], 1.0).astype(np.float32), float(labels[k])))
+    if examples:
+        yield examples
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column, most: int = TRAIN_ROWS) -> np.ndarray:
@@ -164,33 +168,32 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, most: int = TRAI
 
     Each of SHARDS learners goes through its share of the sample in order of a hash, EPOCHS times; then their states are
     averaged and the next round starts from there. What comes to the driver is the model, of fixed size. Without labelled
-    rows all weights are 0, so every score is 0.5.
+    rows, or without a word in them, all weights are 0, so every score is 0.5.
     """
     spark = docs.sparkSession
-    sample = labelled(docs, labels, eligible, most)
-    lists = stored(sample.mapInArrow(_as_lists, f"doc_id {id_type(sample)}, label int, feature array<int>, n array<bigint>"))
-    shares = lists.withColumn("turn", F.xxhash64(F.lit(12), "doc_id")).withColumn("shard", F.pmod("turn", F.lit(SHARDS)))
+    sample = labelled(docs, labels, eligible, most).where(F.col("text").rlike("[^\\x00-\\x20\\x7f]"))
+    sample = sample.withColumn("turn", F.xxhash64(F.lit(12), "doc_id")).withColumn("shard", F.pmod("turn", F.lit(SHARDS)))
+    # A checkpoint keeps partitions and their order, so no round moves the texts again.
+    sample = cut(sample.repartition(SHARDS, "shard").sortWithinPartitions("shard", "turn").select("shard", "label", "text"))
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
     for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z, n))
 
-        def share(table: pa.Table) -> pa.Table:
-            z, n = (x.copy() for x in state.value)  # noqa: B023
-            table, examples = table.sort_by("turn"), []
-            for row in table.select(["feature", "n", "label"]).to_batches(max_chunksize=256):
-                for feature, counts, label in zip(row.column(0), row.column(1), row.column(2).to_pylist(), strict=True):
-                    feature, counts = np.asarray(feature.values, np.int64), np.asarray(counts.values, np.int64)
-                    examples.append((*_with_constant(feature, values(np.zeros(len(counts), np.int64), counts, 1)), float(label)))
-            for _ in range(EPOCHS):
-                learn(z, n, examples)
-            at = np.flatnonzero(n)
-            return pa.table({"at": at, "z": np.round(z[at] / FINE).astype(np.int64), "n": np.round(n[at] / FINE).astype(np.int64)})
-
-        learned = shares.groupBy("shard").applyInArrow(share, "at bigint, z bigint, n bigint").groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
+        def share(batches):
+            claim("quality")
+            for examples in _shares(batches):
+                z, n = (x.copy() for x in state.value)  # noqa: B023
+                for _ in range(EPOCHS):
+                    learn(z, n, examples)
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"at": at, "z": np.round(z[at] / FINE).astype(np.int64), "n": np.round(n[at] / FINE).astype(np.int64)})
+
+        sums = [F.sum("z").alias("z"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("held")]
+        learned = sample.mapInArrow(share, "at bigint, z bigint, n bigint").groupBy("at").agg(*sums).toArrow()
         state.destroy()
         z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-        at = np.asarray(learned.column("at"))
-        z[at], n[at] = (np.asarray(learned.column(c)) * FINE / SHARDS for c in ("z", "n"))
+        at, learners = np.asarray(learned.column("at")), max(pc.max(learned.column("held")).as_py() or 1, 1)
+        z[at], n[at] = (np.asarray(learned.column(c)) * FINE / learners for c in ("z", "n"))
     return weights(z, n)
 
 
