@@ -6,11 +6,11 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from cryoframe.operators import interpolate, ranks, rates, spatial, trend, yearblocks
+from cryoframe.operators import interpolate, ranks, rates, slopes, spatial, trend, yearblocks
 from cryoframe.operators.blocks import node_series, plane_aggregates, plane_solution
 from cryoframe.plans.base import IDS, points, query, tile_nodes_sql, with_pts
-from cryoframe.plans.q_spatial import CENT_SQL, centroids, nodes
-from cryoframe.plans.q_stats import folded
+from cryoframe.plans.q_spatial import CENT_SQL, CROSS_SQL, TRACK_SQL, centroids, nodes
+from cryoframe.plans.q_stats import PAIR_SQL, agreement_pairs, folded
 from cryoframe.session import cut
 
 P = rates.RateParams(radius=15_000.0, t_ref=1998.5)
@@ -292,6 +292,25 @@ def near16(spark, sf):
 T = ["node_x", "node_y"]
 
 
+REGRESSION_SQL = """xy AS (SELECT local_dhdt AS vx, dhdt AS vy FROM pr),
+ sl AS (SELECT list_sort(list((b.vy-a.vy)/(b.vx-a.vx))) AS s FROM xy a JOIN xy b ON a.vx < b.vx),
+ tie AS (SELECT (SELECT sum(k*(k-1)*(2*k+5)) FROM (SELECT count(*)::DOUBLE AS k FROM xy GROUP BY vx)) + (SELECT sum(k*(k-1)*(2*k+5)) FROM (SELECT count(*)::DOUBLE AS k FROM xy GROUP BY vy)) AS t),
+ rk AS (SELECT rank() OVER (ORDER BY vx) + (count(*) OVER (PARTITION BY vx)-1)/2.0E0 AS rx, rank() OVER (ORDER BY vy) + (count(*) OVER (PARTITION BY vy)-1)/2.0E0 AS ry FROM xy),
+ hd AS (SELECT count(*) AS n, median(vx) AS mx, median(vy) AS my, corr(vy, vx) AS pearson_r, (SELECT corr(rx, ry) FROM rk) AS spearman_r FROM xy),
+ ci AS (SELECT n, mx, my, pearson_r, spearman_r, s, list_median(s) AS slope, 1.959963984540054E0*sqrt((n*(n-1.0E0)*(2*n+5)-t)/18) AS reach, len(s) AS np FROM hd, tie, sl)"""
+
+
+@query(
+    "I19_robust_regression",
+    with_pts("""SELECT n, slope, s[greatest(round_even((np-reach)/2, 0)::BIGINT, 1)] AS slope_low, s[least(round_even((np+reach)/2, 0)::BIGINT+1, np)] AS slope_high, my-slope*mx AS intercept, pearson_r, spearman_r,
+      s[greatest(round_even((np-reach)/2, 0)::BIGINT, 1)] <= 1 AND s[least(round_even((np+reach)/2, 0)::BIGINT+1, np)] >= 1 AS consistent_with_1 FROM ci""", TRACK_SQL, CROSS_SQL, CENT_SQL, PAIR_SQL, REGRESSION_SQL),
+    floats="slope slope_low slope_high intercept pearson_r spearman_r", digits=5,
+)
+def i19(spark, sf):
+    """Rates of crossings against those of their nearest nodes."""
+    return slopes.robust_regression(agreement_pairs(spark, sf), "local_dhdt", "dhdt")
+
+
 @query("I20_idw", with_pts("SELECT node_x, node_y, sum(v/(d*d))/sum(1/(d*d)) AS pred, (sum(v*v/(d*d))/sum(1/(d*d))-pow(sum(v/(d*d))/sum(1/(d*d)),2))*1E4 AS var4 FROM nn GROUP BY ALL", tile_nodes_sql(50000, 10000), CENT_SQL, IDW_SQL), floats="pred var4", digits=6)
 def i20(spark, sf):
     return interpolate.idw(near16(spark, sf), T, "v").select(*T, "pred", (F.col("var") * 1e4).alias("var4"))
