@@ -145,35 +145,34 @@ def harmonic_fit(
     return m.select(*keys, "period_h", "n", F.hypot(ka, kb).alias("amplitude"), F.coalesce(fitted, F.lit(0.0)).alias("r2"))
 
 
-def solve_normal(left: np.ndarray, right: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(coefficients, diagonal of the inverse, condition of the design) of stacked normal equations.
+def invert_normal(left: np.ndarray, right: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(coefficients, inverse, condition of the design) of stacked normal equations.
 
     Columns are scaled first; a system whose design has a condition of 1e7 or more has no solution (NaN). Every robust
     fit of the library asks here, so none keeps a node that another drops.
     """
     scale = np.sqrt(np.maximum(np.einsum("mii->mi", left), 1e-300))
     norm = left / scale[:, :, None] / scale[:, None, :]
-    coef, inverse, cond = np.full(right.shape, np.nan), np.full(right.shape, np.nan), np.full(len(right), np.inf)
+    coef, inverse, cond = np.full(right.shape, np.nan), np.full(left.shape, np.nan), np.full(len(right), np.inf)
     ok = np.isfinite(norm).all(axis=(1, 2)) & enough
     if ok.any():
         cond[ok] = np.sqrt(np.linalg.cond(norm[ok]))
     ok &= cond < 1e7
     if ok.any():
-        inv = np.linalg.inv(norm[ok]) / scale[ok][:, :, None] / scale[ok][:, None, :]
-        coef[ok] = np.einsum("mij,mj->mi", inv, right[ok])
-        inverse[ok] = np.maximum(np.einsum("mii->mi", inv), 0.0)
+        inverse[ok] = np.linalg.inv(norm[ok]) / scale[ok][:, :, None] / scale[ok][:, None, :]
+        coef[ok] = np.einsum("mij,mj->mi", inverse[ok], right[ok])
     return coef, inverse, cond
 
 
 def solve_sums(sums: DataFrame, keys: Sequence[str], names: Sequence[str], *, min_extra: int = 0) -> DataFrame:
-    """Coefficients, standard errors and residual sum per key from :func:`moment_sums`.
+    """Coefficients, standard errors, covariance (row by row) and residual sum per key from :func:`moment_sums`.
 
     Row-wise over the small table of sums; each row is a k x k solve, batched by numpy.
     """
     k = len(names)
     weighted = "ws" in sums.columns
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in sums.select(*keys).schema.fields])
-    schema += ", n bigint, coef array<double>, err array<double>, rss double, cond double"
+    schema += ", n bigint, coef array<double>, err array<double>, cov array<double>, rss double, cond double"
 
     def run(batches):
         iu = np.triu_indices(k)
@@ -181,7 +180,7 @@ def solve_sums(sums: DataFrame, keys: Sequence[str], names: Sequence[str], *, mi
             out = pdf[list(keys)].copy()
             m = len(pdf)
             coef, err = np.full((m, k), np.nan), np.full((m, k), np.nan)
-            rss, cond = np.full(m, np.nan), np.full(m, np.inf)
+            rss, cond, cov = np.full(m, np.nan), np.full(m, np.inf), np.full((m, k, k), np.nan)
             if m:
                 def stack(col):
                     a = np.zeros((m, k, k))
@@ -194,13 +193,15 @@ def solve_sums(sums: DataFrame, keys: Sequence[str], names: Sequence[str], *, mi
                 if weighted:
                     scale = n / pdf["w"].to_numpy(float)
                     left, right = stack("ws") * scale[:, None, None], np.stack(pdf["wb"].to_numpy()) * scale[:, None]
-                coef, inverse, cond = solve_normal(left, right, n >= k + min_extra)
+                coef, inverse, cond = invert_normal(left, right, n >= k + min_extra)
                 r = pdf["hh"].to_numpy(float) - 2 * np.einsum("mi,mi->m", coef, b) + np.einsum("mi,mij,mj->m", coef, s, coef)
                 rss = np.maximum(r, 0.0)
-                err = np.sqrt(inverse * (rss / np.maximum(n - k, 1))[:, None])
+                cov = inverse * (rss / np.maximum(n - k, 1))[:, None, None]
+                err = np.sqrt(np.maximum(np.einsum("mii->mi", cov), 0.0))
             out["n"] = pdf["n"]
             out["coef"] = [None if np.isnan(c).any() else c.tolist() for c in coef]
             out["err"] = [None if np.isnan(c).any() else c.tolist() for c in err]
+            out["cov"] = [None if np.isnan(c).any() else c.ravel().tolist() for c in cov]
             out["rss"] = np.where(np.isnan(rss), None, rss)
             out["cond"] = np.where(np.isfinite(cond), cond, None)
             yield out

@@ -387,9 +387,11 @@ def observation_validation(
 ) -> DataFrame:
     """Node fits on the training points of each fold, predicting held-out heights as p0 + rate (t - t_ref) at the nearest node."""
     from cryoframe.operators.rates import node_rates
+    from cryoframe.operators.tilefit import View
 
-    train, test = fold_views(points, n_folds, fold=fold)
-    fits = node_rates(train, lattice_nodes, params, height=height, time=time, by=[fold], sigma=sigma)
+    test = points
+    views = [View({fold: f}, left_out=f) for f in range(n_folds)]
+    fits = node_rates(points, lattice_nodes, params, height=height, time=time, views=views, fold=fold, sigma=sigma)
     src = fits.select(fold, F.col("node_x").alias("sx"), F.col("node_y").alias("sy"), "p0", "dhdt", "dhdt_err", "p0_err")
     near = knn_join(test, src, 1, target_id=[*ids, fold], source_id=["sx", "sy"], by=[fold], base=base, max_distance=max_distance)
     dt = F.col(time) - params.t_ref

@@ -1,9 +1,9 @@
 """Robust weighted rate at nodes: a space-time polynomial refitted after rejecting residuals.
 
-A node's neighbourhood is a group of (point, node) pairs. Bounded groups go to a
-numpy kernel, one Arrow batch per node. Neighbourhoods above the group limit are
-fitted in rounds instead: sums of products per node, a small solve, residuals, an
-exact sliced median, rejection. Both follow the same rules and give the same numbers.
+Nodes are fitted tile by tile, many at once (:mod:`tilefit`). Nodes with too many points
+around them for one task are fitted in rounds instead: sums of products per node, a small
+solve, residuals, an exact sliced median, rejection. Both follow the same rules and give
+the same numbers.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cryoframe.operators.blocks import moment_sums, solve_normal, solve_sums
-from cryoframe.operators.skew import GROUP_LIMIT, _sliced_quantiles
+from cryoframe.operators.blocks import moment_sums, solve_sums
+from cryoframe.operators.skew import _sliced_quantiles
 from cryoframe.operators.spatial import _offsets, cell, radius_join
+from cryoframe.operators.tilefit import TILE_ROWS, View, fit_tiles
 from cryoframe.session import cut
 
 
@@ -54,12 +54,13 @@ class RateParams:
         return out
 
 
-# Output of a fit beside its keys. ``coef`` follows RateParams.terms with u, v in units of the radius.
+# Output of a fit beside its keys. ``coef`` follows RateParams.terms with u, v in units of the radius, ``cov`` is its covariance row by row.
 RATE_FIELDS = (
     "p0 double, dhdt double, accel double, p0_err double, dhdt_err double, accel_err double, "
-    "rmse double, nobs bigint, tspan double, coef array<double>"
+    "rmse double, nobs bigint, tspan double, coef array<double>, cov array<double>"
 )
-_RATE_NAMES = ["p0", "dhdt", "accel", "p0_err", "dhdt_err", "accel_err", "rmse", "nobs", "tspan", "coef"]
+#: Points around a node from which it is fitted in rounds across the cluster.
+NODE_LIMIT = 500_000
 
 
 def _design(terms: Sequence[str], dt: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -72,86 +73,6 @@ def basis_columns(terms: Sequence[str], dt: Column, u: Column, v: Column) -> dic
     return {t: columns[t] for t in terms}
 
 
-def _shape_result(p: RateParams, coef, err, rmse: float, nobs: int, span: float, years: int) -> list | None:
-    """Acceptance rules shared by both ways of fitting."""
-    pos = {t: i for i, t in enumerate(p.terms)}
-    if coef is None or nobs < p.min_points:
-        return None
-    rate = coef[pos["rate"]] if "rate" in pos else None
-    if rate is not None and abs(rate) > p.rate_limit:
-        return None
-    accel = accel_err = None
-    if "accel" in pos and years >= p.min_years_accel and abs(coef[pos["accel"]]) <= p.accel_limit:
-        accel, accel_err = coef[pos["accel"]], err[pos["accel"]]
-    return [coef[0], rate, accel, err[0], err[pos["rate"]] if rate is not None else None, accel_err, rmse, nobs, span, list(coef)]
-
-
-def _weights(p: RateParams, s: np.ndarray) -> np.ndarray:
-    """Inverse variances; a sigma that is missing or not positive takes the median of the others."""
-    if not p.weighted:
-        return np.ones(s.size)
-    stated = s > 0
-    typical = np.median(s[stated]) if stated.any() else 0.05
-    return 1.0 / (np.where(stated, s, typical) ** 2 + 1e-12)
-
-
-def _outliers(p: RateParams, r: np.ndarray) -> np.ndarray:
-    """Residuals beyond the scaled MAD's bound or the absolute one; none where the residuals have no spread."""
-    mad = 1.4826 * np.median(np.abs(r - np.median(r)))
-    return (np.abs(r) > min(p.n_sigma * mad, p.residual_limit)) if mad >= 1e-10 else np.zeros(r.size, bool)
-
-
-def fit_group(p: RateParams, h, t, u, v, s) -> list | None:
-    """One neighbourhood in memory: the rounds of :func:`fit_in_rounds`, with its sums, solver and bounds."""
-    if h.size < p.min_points or np.ptp(t) < p.min_span:
-        return None
-    design, weight = _design(p.terms, t - p.t_ref, u, v), _weights(p, s)
-    used, fit = np.ones(h.size, bool), None
-    for _ in range(p.rounds):
-        a, z, w, n = design[used], h[used], weight[used], int(used.sum())
-        aw = a * (w * (n / w.sum()))[:, None] if n else a
-        coef, inverse, _ = solve_normal((aw.T @ a)[None], (aw.T @ z)[None], np.array([n >= a.shape[1] + 2]))
-        if np.isnan(coef).any():
-            break
-        r = z - a @ coef[0]
-        fit = coef[0], np.sqrt(inverse[0] * (r @ r) / max(n - a.shape[1], 1)), float(r.std())
-        wild = _outliers(p, r)
-        used[np.flatnonzero(used)[wild]] = False
-        if not wild.any():
-            break
-    if fit is None:
-        return None
-    return _shape_result(p, *fit, int(used.sum()), float(np.ptp(t)), np.unique(np.floor(t[used])).size)
-
-
-def _key_fields(df: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-
-def _prepare(pairs: DataFrame, keys: Sequence[str], p: RateParams, node: Sequence[str], xy: Sequence[str], height: str, time: str, sigma: str | None) -> DataFrame:
-    return pairs.where(F.col(height).isNotNull() & F.col(time).isNotNull()).select(
-        *keys,
-        F.col(height).cast("double").alias("_h"),
-        F.col(time).cast("double").alias("_t"),
-        ((F.col(xy[0]) - F.col(node[0])) / p.radius).alias("_u"),
-        ((F.col(xy[1]) - F.col(node[1])) / p.radius).alias("_v"),
-        (F.col(sigma).cast("double") if sigma else F.lit(0.05)).alias("_s"),
-    )
-
-
-def fit_bounded(rows: DataFrame, keys: Sequence[str], p: RateParams) -> DataFrame:
-    """Kernel fit of prepared rows; every group must be bounded."""
-    keys = list(keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = fit_group(p, *[pdf[c].to_numpy(float) for c in ("_h", "_t", "_u", "_v", "_s")])
-        if got is None:
-            return pd.DataFrame(columns=[*keys, *_RATE_NAMES])
-        return pd.DataFrame([[*pdf.iloc[0][keys].tolist(), *got]], columns=[*keys, *_RATE_NAMES])
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{_key_fields(rows, keys)}, {RATE_FIELDS}")
-
-
 def fit_in_rounds(rows: DataFrame, keys: Sequence[str], p: RateParams) -> DataFrame:
     """The same fit for groups too large for one task: sums, solve, exact median, reject, repeat.
 
@@ -172,7 +93,7 @@ def fit_in_rounds(rows: DataFrame, keys: Sequence[str], p: RateParams) -> DataFr
     live = kept
     for _ in range(p.rounds):
         solved = solve_sums(moment_sums(live, keys, basis, F.col("_h"), F.col("_w")), keys, terms, min_extra=2)
-        solved = cut(solved.where(F.col("coef").isNotNull()).select(*keys, "coef", "err"))
+        solved = cut(solved.where(F.col("coef").isNotNull()).select(*keys, "coef", "err", "cov"))
         predicted = sum((F.element_at("coef", i + 1) * c for i, c in enumerate(basis.values())), F.lit(0.0))
         resid = live.join(F.broadcast(solved.select(*keys, "coef")), keys).withColumn("_r", F.col("_h") - predicted).drop("coef")
         centre = _sliced_quantiles(resid, keys, "_r", {"_m": 0.5})
@@ -203,7 +124,7 @@ def fit_in_rounds(rows: DataFrame, keys: Sequence[str], p: RateParams) -> DataFr
     return last.where(keep).select(
         *keys, at("coef", "one").alias("p0"), at("coef", "rate").alias("dhdt"), F.when(ok_accel, at("coef", "accel")).alias("accel"),
         at("err", "one").alias("p0_err"), at("err", "rate").alias("dhdt_err"), F.when(ok_accel, at("err", "accel")).alias("accel_err"),
-        "rmse", "nobs", "tspan", "coef",
+        "rmse", "nobs", "tspan", "coef", "cov",
     )
 
 
@@ -224,6 +145,23 @@ def crowded(points: DataFrame, nodes: DataFrame, radius: float, limit: int, *, x
     return None if hot.isEmpty() else hot
 
 
+def fan_out(points: DataFrame, views: Sequence[View]) -> DataFrame:
+    """Points (_h, _t, _p, _f, ...) once for each view that takes them, with its response and keys: for nodes that no task can hold."""
+    options = []
+    for view in views:
+        on = F.lit(True)
+        if view.window:
+            on = on & (F.col("_t") >= view.window[0]) & (F.col("_t") < view.window[1])
+        if view.left_out is not None:
+            on = on & (F.col("_f") != view.left_out)
+        response = F.col("_h")
+        if view.wave:
+            response = (F.sin if view.wave[1] else F.cos)(F.lit(2 * np.pi / view.wave[0]) * F.col("_p"))
+        options.append(F.struct(on.alias("on"), response.alias("response"), *[F.lit(x).alias(k) for k, x in view.keys.items()]))
+    fan = points.withColumn("_v", F.explode(F.filter(F.array(*options), lambda o: o["on"])))
+    return fan.withColumn("_h", F.col("_v.response")).withColumns({k: F.col(f"_v.{k}") for k in views[0].keys}).drop("_v").where(F.col("_h").isNotNull())
+
+
 def node_rates(
     points: DataFrame,
     nodes: DataFrame,
@@ -235,22 +173,35 @@ def node_rates(
     xy: tuple[str, str] = ("x", "y"),
     node_xy: tuple[str, str] = ("node_x", "node_y"),
     by: Sequence[str] = (),
-    limit: int = GROUP_LIMIT,
+    views: Sequence[View] = (View(),),
+    fold: str | None = None,
+    phase_time: str | None = None,
+    limit: int = NODE_LIMIT,
+    tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """Rate, acceleration and errors at each node, grouped also by ``by`` (a window, fold or region
-    column of the points). Nodes without enough rows or span are absent."""
-    keys = [*node_xy, *by]
-    columns = list(dict.fromkeys([*xy, height, time, *([sigma] if sigma else []), *by]))
-    slim = points.select(*columns)
-    spots = nodes.select(*node_xy).distinct()
-    hot = crowded(slim, spots, p.radius, limit, xy=xy, node_xy=node_xy)
+    """Rate, acceleration, errors and covariance at each node, grouped also by ``by`` (columns of the points) and by the keys
+    of ``views`` (windows, left-out folds or test responses). Nodes without enough rows or span are absent."""
+    if not views:
+        views = [View()]
+        points = points.limit(0)
+    keys = [*node_xy, *by, *views[0].keys]
+    number = lambda c: (F.col(c) if c else F.lit(None)).cast("double")
+    waves = all(v.wave for v in views)
+    slim = points.where(F.col(time).isNotNull() & (F.lit(True) if waves else F.col(height).isNotNull())).select(
+        *by, number(xy[0]).alias("_x"), number(xy[1]).alias("_y"), number(None if waves else height).alias("_h"), number(time).alias("_t"),
+        number(phase_time or time).alias("_p"), (number(sigma) if sigma else F.lit(0.05)).alias("_s"), number(fold).alias("_f"),
+    )
+    spots = nodes.select(*[F.col(c).cast("double").alias(c) for c in node_xy]).distinct()
+    hot = crowded(slim, spots, p.radius, limit, xy=("_x", "_y"), node_xy=node_xy)
     calm = spots if hot is None else spots.join(F.broadcast(hot), list(node_xy), "left_anti")
-    pairs = _prepare(radius_join(slim, calm, p.radius, xy=xy, node_xy=node_xy), keys, p, node_xy, xy, height, time, sigma)
-    fitted = fit_bounded(pairs, keys, p)
+    fitted = fit_tiles(slim, calm, p, views, _design, node_xy=node_xy, by=by, fields=RATE_FIELDS, tile_rows=tile_rows)
     if hot is None:
         return fitted
-    big = _prepare(radius_join(slim, hot, p.radius, xy=xy, node_xy=node_xy), keys, p, node_xy, xy, height, time, sigma)
-    return fitted.unionByName(fit_in_rounds(big, keys, p))
+    near = radius_join(fan_out(slim, views), hot, p.radius, xy=("_x", "_y"), node_xy=node_xy)
+    rows = near.select(
+        *keys, "_h", "_t", "_s", ((F.col("_x") - F.col(node_xy[0])) / p.radius).alias("_u"), ((F.col("_y") - F.col(node_xy[1])) / p.radius).alias("_v")
+    )
+    return fitted.unionByName(fit_in_rounds(rows, keys, p))
 
 
 def time_windows(rows: DataFrame, windows: Sequence[tuple[float, float]], *, time: str = "t_year") -> DataFrame:
@@ -278,7 +229,7 @@ def expanding_windows(start: float, min_width: float, t1: float) -> list[tuple[f
 
 def window_rates(points: DataFrame, nodes: DataFrame, windows: Sequence[tuple[float, float]], p: RateParams = RateParams(), **kw) -> DataFrame:
     """The node fit per window; restrict ``nodes`` beforehand to skip unwanted ones."""
-    return node_rates(time_windows(points, windows, time=kw.get("time", "t_year")), nodes, p, by=["win_start", "win_end"], **kw)
+    return node_rates(points, nodes, p, views=[View({"win_start": float(a), "win_end": float(b)}, window=(a, b)) for a, b in windows], **kw)
 
 
 def harmonic_leakage(
@@ -287,11 +238,8 @@ def harmonic_leakage(
 ) -> DataFrame:
     """How much of a unit seasonal cycle the estimator turns into a rate: R = hypot of the rates of
     pure cosine and sine heights at the real epochs. By linearity two phases give all phases."""
-    kinds = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(c).alias("c")) for q in periods for c in (0, 1)])
-    arg = lambda: F.lit(2 * np.pi) / F.col("_k.q") * F.col(phase_time or time)
-    fan = points.withColumn("_k", F.explode(kinds)).withColumn("_unit", F.when(F.col("_k.c") == 0, F.cos(arg())).otherwise(F.sin(arg())))
-    fan = fan.withColumn("period", F.col("_k.q")).withColumn("phase", F.col("_k.c")).drop("_k")
-    fits = node_rates(fan, nodes, p, height="_unit", time=time, by=["period", "phase"], **kw)
+    views = [View({"period": float(q), "phase": c}, wave=(float(q), c)) for q in periods for c in (0, 1)]
+    fits = node_rates(points, nodes, p, time=time, views=views, phase_time=phase_time, **kw)
     node = list(kw.get("node_xy", ("node_x", "node_y")))
     return (
         fits.groupBy(*node, "period")
@@ -308,7 +256,7 @@ def predict_terms(coef: str, p: RateParams, dt: Column, u: Column, v: Column) ->
 
 def hindcast(
     points: DataFrame, nodes: DataFrame, cutoff: float, p: RateParams, *, height: str = "h", time: str = "t_year",
-    xy: tuple[str, str] = ("x", "y"), node_xy: tuple[str, str] = ("node_x", "node_y"), limit: int = GROUP_LIMIT, sigma: str | None = "s_elv",
+    xy: tuple[str, str] = ("x", "y"), node_xy: tuple[str, str] = ("node_x", "node_y"), limit: int = NODE_LIMIT, sigma: str | None = "s_elv",
 ) -> DataFrame:
     """Fit before the cutoff, predict every later row, against persistence (the same model without
     time). Per year: rows, both RMS, bias, lead, and the gain over persistence."""

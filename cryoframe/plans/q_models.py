@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cryoframe.operators import interpolate, ranks, rates, slopes, spatial, trend, yearblocks
 from cryoframe.operators.blocks import node_series, plane_aggregates, plane_solution
 from cryoframe.plans.base import IDS, points, query, tile_nodes_sql, with_pts
+from cryoframe.plans.fit_sql import neighbours_sql, robust_sql
 from cryoframe.plans.q_spatial import CENT_SQL, CROSS_SQL, TRACK_SQL, centroids, nodes
 from cryoframe.plans.q_stats import PAIR_SQL, agreement_pairs, folded
 from cryoframe.session import cut
@@ -41,27 +42,46 @@ def i10(spark, sf):
     return plane_solution(s.where(F.col("n_obs") >= 10)).where(F.col("h_node").isNotNull())
 
 
-@query("I01_robust_fit")
+FIT_COLUMNS = ["p0", "dhdt", "accel", "p0_err", "dhdt_err", "accel_err", "rmse", "nobs", "tspan"]
+FIT_FLOATS = "p0 dhdt accel p0_err dhdt_err accel_err rmse tspan"
+FIT_LIST = "p0, dhdt, accel, p0_err, dhdt_err, accel_err, rmse, nobs, tspan"
+
+
+def lattice_of(spark, sf, step):
+    return nodes(spark, sf, step=step).select("node_x", "node_y")
+
+
+@query("I01_robust_fit", with_pts(f"SELECT node_x, node_y, {FIT_LIST} FROM fit", tile_nodes_sql(50000, 16666), neighbours_sql(15000), robust_sql("fit", "pw", "node_x, node_y", P)), floats=FIT_FLOATS, digits=5)
 def i01(spark, sf):
-    """One node per 20 km over all points: rate near -0.5 in spite of the spikes."""
-    return rates.node_rates(points(spark, sf), nodes(spark, sf, step=16_666.0).select("node_x", "node_y"), P).drop("coef")
+    """One node per 17 km over all points: rate near -0.5 in spite of the spikes."""
+    return rates.node_rates(points(spark, sf), lattice_of(spark, sf, 16_666.0), P).select("node_x", "node_y", *FIT_COLUMNS)
 
 
-@query("I02_node_rates")
+@query("I02_node_rates", with_pts(f"SELECT node_x, node_y, {FIT_LIST} FROM fit", tile_nodes_sql(50000, 5000), neighbours_sql(15000), robust_sql("fit", "pw", "node_x, node_y", P)), floats=FIT_FLOATS, digits=5)
 def i02(spark, sf):
-    return rates.node_rates(points(spark, sf), nodes(spark, sf).select("node_x", "node_y"), P).drop("coef")
+    return rates.node_rates(points(spark, sf), lattice_of(spark, sf, 5_000.0), P).select("node_x", "node_y", *FIT_COLUMNS)
+
 
+WINDOWED_SQL = "wp AS (SELECT pts.*, s::DOUBLE AS win_start, s+4.0E0 AS win_end FROM pts, (SELECT unnest(range(1995,1999)) AS s) WHERE t_year>=s AND t_year<s+4)"
 
-@query("I03_window_rates")
+
+@query(
+    "I03_window_rates",
+    with_pts(f"SELECT node_x, node_y, win_start, win_end, {FIT_LIST} FROM fit", tile_nodes_sql(50000, 10000), WINDOWED_SQL, neighbours_sql(15000, "win_start, win_end, ", "wp"), robust_sql("fit", "pw", "node_x, node_y, win_start, win_end", P)),
+    floats=FIT_FLOATS, digits=5,
+)
 def i03(spark, sf):
     w = rates.moving_windows(4.0, 1.0, 1995.0, 2002.0)
-    return rates.window_rates(points(spark, sf), nodes(spark, sf, step=10_000.0).select("node_x", "node_y"), w, P).drop("coef")
+    return rates.window_rates(points(spark, sf), lattice_of(spark, sf, 10_000.0), w, P).select("node_x", "node_y", "win_start", "win_end", *FIT_COLUMNS)
+
+
+CLOSE = replace(P, radius=10_000.0)
 
 
-@query("I01_hot_nodes_in_rounds")
+@query("I01_hot_nodes_in_rounds", with_pts(f"SELECT node_x, node_y, {FIT_LIST} FROM fit", tile_nodes_sql(50000, 25000), neighbours_sql(10000), robust_sql("fit", "pw", "node_x, node_y", CLOSE)), floats=FIT_FLOATS, digits=5)
 def i01_hot(spark, sf):
     """The distributed path: every neighbourhood counts as too large for one task."""
-    return rates.node_rates(points(spark, sf), nodes(spark, sf, step=25_000.0).select("node_x", "node_y"), replace(P, radius=10_000.0), limit=100).drop("coef")
+    return rates.node_rates(points(spark, sf), lattice_of(spark, sf, 25_000.0), CLOSE, limit=100).select("node_x", "node_y", *FIT_COLUMNS)
 
 
 # The same estimator with a straight line in time, whose weighted solution SQL can write out: two rounds of fit and rejection.
