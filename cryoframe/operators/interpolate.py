@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cryoframe.operators.ranks import hash_sample
+from cryoframe.operators.ranks import hash_sample, quartile_class
 from cryoframe.operators.spatial import cell, knn_join, radius_join
 
 
@@ -383,7 +383,7 @@ def class_cells(points: DataFrame, size: float, mask_class: int, *, column: str
 
 def observation_validation(
     points: DataFrame, lattice_nodes: DataFrame, params, *, n_folds: int, max_distance: float, height: str = "h", time: str = "t_year", fold: str = "fold",
-    ids: Sequence[str] = (), base: float = 5000.0, sigma: str | None = "s_elv",
+    ids: Sequence[str] = (), base: float = 5000.0, sigma: str | None = "s_elv", xy: tuple[str, str] = ("x", "y"),
 ) -> DataFrame:
     """Node fits on the training points of each fold, predicting held-out heights as p0 + rate (t - t_ref) at the nearest node."""
     from cryoframe.operators.rates import node_rates
@@ -395,5 +395,24 @@ def observation_validation(
     src = fits.select(fold, F.col("node_x").alias("sx"), F.col("node_y").alias("sy"), "p0", "dhdt", "dhdt_err", "p0_err")
     near = knn_join(test, src, 1, target_id=[*ids, fold], source_id=["sx", "sy"], by=[fold], base=base, max_distance=max_distance)
     dt = F.col(time) - params.t_ref
-    return near.select(*ids, fold, F.sqrt("d2").alias("dist"), (F.col(height) - F.col("p0") - F.col("dhdt") * dt).alias("resid"),
+    kept = dict.fromkeys([*ids, fold, xy[0], xy[1], time, *([sigma] if sigma else [])])
+    return near.select(*kept, F.sqrt("d2").alias("dist"), (F.col(height) - F.col("p0") - F.col("dhdt") * dt).alias("resid"),
                        (F.col("p0_err") ** 2 + (F.col("dhdt_err") * dt) ** 2).alias("var"))
+
+
+def distance_to_train(residuals: DataFrame, points: DataFrame, *, ids: Sequence[str], n_folds: int, fold: str = "fold", base: float = 2500.0, max_distance: float | None = None) -> DataFrame:
+    """``residuals`` with dist_to_train: how far the nearest point of any other fold is; null beyond ``max_distance``."""
+    train, _ = fold_views(points.select("x", "y", fold, *[F.col(c).alias(f"_t_{c}") for c in ids]).withColumnsRenamed({"x": "sx", "y": "sy"}), n_folds, fold=fold)
+    near = knn_join(residuals.select(*ids, fold, "x", "y"), train, 1, target_id=[*ids, fold], source_id=[f"_t_{c}" for c in ids], by=[fold], base=base, max_distance=max_distance)
+    return residuals.join(near.select(*ids, fold, F.sqrt("d2").alias("dist_to_train")), [*ids, fold], "left")
+
+
+def error_by_strata(residuals: DataFrame, strata: Mapping[str, "F.Column"], by: Sequence[str], *, resid: str = "resid", least: int = 10) -> DataFrame:
+    """by, stratum, quartile (from 1), n, rmse: the error in quartiles of each variable, duplicate edges dropped; a variable with under ``least`` values is absent."""
+    kinds = F.array(*[F.struct(F.lit(n).alias("stratum"), c.cast("double").alias("v")) for n, c in strata.items()])
+    long = residuals.where(F.col(resid).isNotNull()).select(*by, resid, F.explode(kinds).alias("_s")).select(*by, resid, "_s.stratum", "_s.v").where(F.col("v").isNotNull())
+    keys = [*by, "stratum"]
+    classed = quartile_class(long, "v", "quartile", by=keys)
+    out = classed.groupBy(*keys, "quartile").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col(resid) * F.col(resid))).alias("rmse"))
+    rich = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return out.join(rich.drop("_n"), keys, "left_semi").withColumn("quartile", (F.col("quartile") + 1).cast("int"))

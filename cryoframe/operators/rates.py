@@ -278,3 +278,19 @@ def hindcast(
         .agg(F.count(F.lit(1)).alias("n"), rms("_e").alias("rms_trend"), rms("_e0").alias("rms_still"), F.avg("_e").alias("bias"), F.avg("_lead").alias("lead"))
         .withColumn("gain", 1 - F.try_divide("rms_trend", "rms_still"))
     )
+
+
+def project(fits: DataFrame, p: RateParams, epochs: Sequence[float], *, node_xy: Sequence[str] = ("node_x", "node_y"), z: float = 1.96) -> DataFrame:
+    """Heights at the nodes at dates past the record: node_xy, epoch, height, sigma, low, high.
+
+    The whole covariance of the terms in time goes to the date, so the interval opens with the distance from the
+    reference epoch; it is the formal error of the model, not that of a change of regime.
+    """
+    k, pos = len(p.terms), {t: i for i, t in enumerate(p.terms)}
+    dt = F.col("epoch") - p.t_ref
+    gradient = {pos[t]: c for t, c in {"one": F.lit(1.0), "rate": dt, "accel": dt * dt / 2}.items() if t in pos}
+    height = sum((F.element_at("coef", i + 1) * g for i, g in gradient.items()), F.lit(0.0))
+    variance = sum((a * b * F.element_at("cov", i * k + j + 1) for i, a in gradient.items() for j, b in gradient.items()), F.lit(0.0))
+    rows = fits.withColumn("epoch", F.explode(F.array(*[F.lit(float(e)) for e in epochs])))
+    rows = rows.select(*node_xy, "epoch", height.alias("height"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("sigma"))
+    return rows.withColumn("low", F.col("height") - z * F.col("sigma")).withColumn("high", F.col("height") + z * F.col("sigma"))

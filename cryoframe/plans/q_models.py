@@ -6,12 +6,13 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from cryoframe.functions import timecols
 from cryoframe.operators import interpolate, ranks, rates, slopes, spatial, trend, yearblocks
 from cryoframe.operators.blocks import node_series, plane_aggregates, plane_solution
 from cryoframe.plans.base import IDS, points, query, tile_nodes_sql, with_pts
 from cryoframe.plans.fit_sql import neighbours_sql, robust_sql
 from cryoframe.plans.q_spatial import CENT_SQL, CROSS_SQL, TRACK_SQL, centroids, nodes
-from cryoframe.plans.q_stats import PAIR_SQL, agreement_pairs, folded
+from cryoframe.plans.q_stats import FOLD_SQL, PAIR_SQL, agreement_pairs, folded
 from cryoframe.session import cut
 
 P = rates.RateParams(radius=15_000.0, t_ref=1998.5)
@@ -278,24 +279,83 @@ def i16(spark, sf):
     return yearblocks.assess_acceleration(pairs_of(spark, sf, 25_000.0), radius=15000.0, t_ref=1998.5, ties=IDS)
 
 
-@query("I17_harmonic_leakage")
+def leak_sql(time: str, source: str = "pts") -> tuple[str, ...]:
+    return (
+        f"ph AS (SELECT p.*, q AS period, c AS phase, CASE WHEN c=0 THEN cos(2*pi()/q*{time}) ELSE sin(2*pi()/q*{time}) END AS unit FROM {source} p, (VALUES (1.0E0),(0.5E0)) a(q), (VALUES (0),(1)) b(c))",
+        neighbours_sql(15000, "period, phase, ", "ph", "unit"), robust_sql("fit", "pw", "node_x, node_y, period, phase", P),
+        "lk AS (SELECT node_x, node_y, period, max(dhdt) FILTER (phase=0) AS r_cos, max(dhdt) FILTER (phase=1) AS r_sin, max(nobs) AS nobs FROM fit GROUP BY 1,2,3)",
+    )
+
+
+LEAKAGE = "SELECT *, sqrt(r_cos*r_cos+r_sin*r_sin) AS leakage FROM lk"
+STRETCHED_SQL = "st AS (SELECT pts.*, floor(t_year)+(t_year-floor(t_year)-lo)/(hi-lo) AS t_full FROM pts, (SELECT min(t_year-floor(t_year)) AS lo, max(t_year-floor(t_year)) AS hi FROM pts WHERE \"month\" BETWEEN 6 AND 8) WHERE \"month\" BETWEEN 6 AND 8)"
+
+
+@query("I17_harmonic_leakage", with_pts(LEAKAGE, tile_nodes_sql(50000, 25000), *leak_sql("t_year")), floats="r_cos r_sin leakage")
 def i17(spark, sf):
-    return rates.harmonic_leakage(points(spark, sf), nodes(spark, sf, step=25_000.0).select("node_x", "node_y"), P)
+    return rates.harmonic_leakage(points(spark, sf), lattice_of(spark, sf, 25_000.0), P)
 
 
-@query("D53_aliasing_summary")
+@query("I17_stretched_leakage", with_pts(LEAKAGE, tile_nodes_sql(50000, 25000), STRETCHED_SQL, *leak_sql("t_full", "st")), floats="r_cos r_sin leakage")
+def i17_stretched(spark, sf):
+    """What sampling of one season does, had the same epochs been spread over the whole year."""
+    season = points(spark, sf).where(F.col("month").between(6, 8))
+    frac = F.col("t_year") - F.floor("t_year")
+    ends = season.agg(F.min(frac).alias("lo"), F.max(frac).alias("hi"))
+    full = season.crossJoin(F.broadcast(ends)).withColumn("t_full", timecols.phase_stretch("t_year", F.col("lo"), F.col("hi")))
+    return rates.harmonic_leakage(full, lattice_of(spark, sf, 25_000.0), P, phase_time="t_full")
+
+
+@query(
+    "D53_aliasing_summary",
+    with_pts("SELECT *, median*0.5E0 AS bias_at_half_metre FROM (SELECT period, count(*) AS n, median(l) AS median, quantile_cont(l,0.9) AS p90, quantile_cont(l,0.99) AS p99, max(l) AS max FROM (SELECT period, sqrt(r_cos*r_cos+r_sin*r_sin) AS l FROM lk) GROUP BY period)", tile_nodes_sql(50000, 25000), *leak_sql("t_year")),
+    floats="median p90 p99 max bias_at_half_metre",
+)
 def d53(spark, sf):
     """Leakage times the seasonal amplitude is the bias it can cause."""
     from cryoframe.operators.skew import group_quantiles
 
-    leak = rates.harmonic_leakage(points(spark, sf), nodes(spark, sf, step=25_000.0).select("node_x", "node_y"), P)
+    leak = rates.harmonic_leakage(points(spark, sf), lattice_of(spark, sf, 25_000.0), P)
     q = group_quantiles(leak, ["period"], "leakage", {"median": 0.5, "p90": 0.9, "p99": 0.99, "max": 1.0})
     return q.withColumn("bias_at_half_metre", F.col("median") * 0.5)
 
 
-@query("I18_hindcast")
+TREND, STILL = replace(P, time_order=1), replace(P, time_order=0)
+ERRORS_SQL = " AS e, ".join(
+    "pl.h-(" + "+".join(f"{name}.x{i}_0*pl.{c}" if c != "one" else f"{name}.x{i}_0" for i, c in enumerate({"one": "one", "rate": "t", "u": "u", "v": "v", "uv": "u*pl.v", "uu": "u*pl.u", "vv": "v*pl.v"}[t] for t in q.terms)) + ")"
+    for name, q in (("tr", TREND), ("st", STILL))
+) + " AS e0"
+
+
+@query(
+    "I18_hindcast",
+    with_pts(
+        f'SELECT "year", n, rms_trend, rms_still, bias, lead, 1-rms_trend/nullif(rms_still,0) AS gain FROM (SELECT floor(t+1998.5E0)::INT AS "year", count(*) AS n, sqrt(avg(e*e)) AS rms_trend, sqrt(avg(e0*e0)) AS rms_still, avg(e) AS bias, avg(t+1998.5E0-1999.0E0) AS lead '
+        f"FROM (SELECT pl.t, {ERRORS_SQL} FROM pl JOIN tr USING (node_x, node_y) JOIN st USING (node_x, node_y)) GROUP BY 1)",
+        tile_nodes_sql(50000, 25000), "early AS (SELECT * FROM pts WHERE t_year<1999.0E0)", "late AS (SELECT * FROM pts WHERE t_year>=1999.0E0)", neighbours_sql(15000, source="early"), neighbours_sql(15000, source="late", name="pl"),
+        robust_sql("tr", "pw", "node_x, node_y", TREND), robust_sql("st", "pw", "node_x, node_y", STILL),
+    ),
+    floats="rms_trend rms_still bias lead gain", digits=5,
+)
 def i18(spark, sf):
-    return rates.hindcast(points(spark, sf), nodes(spark, sf, step=25_000.0).select("node_x", "node_y"), 1999.0, replace(P, time_order=1))
+    return rates.hindcast(points(spark, sf), lattice_of(spark, sf, 25_000.0), 1999.0, TREND)
+
+
+VARIANCE_SQL = "+".join(f"{a}*{b}*x{i}_{j + 1}" for i, a in enumerate(("1", "dt", "dt*dt/2")) for j, b in enumerate(("1", "dt", "dt*dt/2")))
+
+
+@query(
+    "I18_projection",
+    with_pts(
+        f"SELECT node_x, node_y, epoch, height, sigma, height-1.96E0*sigma AS low, height+1.96E0*sigma AS high FROM (SELECT node_x, node_y, epoch, x0_0+x1_0*dt+x2_0*dt*dt/2 AS height, sqrt(greatest(({VARIANCE_SQL})*scale, 0)) AS sigma "
+        "FROM fit, (SELECT epoch, epoch-1998.5E0 AS dt FROM (VALUES (2000.0E0),(2002.0E0),(2005.0E0),(2010.0E0)) e(epoch)))",
+        tile_nodes_sql(50000, 10000), neighbours_sql(15000), robust_sql("fit", "pw", "node_x, node_y", P),
+    ),
+    floats="height sigma low high", digits=5,
+)
+def i18_projection(spark, sf):
+    """Heights past the record with the interval of the whole covariance."""
+    return rates.project(rates.node_rates(points(spark, sf), lattice_of(spark, sf, 10_000.0), P), P, [2000.0, 2002.0, 2005.0, 2010.0])
 
 
 IDW_SQL = """nn AS (SELECT * FROM (SELECT node_x, node_y, v, sqrt((node_x-cx)*(node_x-cx)+(node_y-cy)*(node_y-cy)) AS d, row_number() OVER (PARTITION BY node_x, node_y ORDER BY (node_x-cx)*(node_x-cx)+(node_y-cy)*(node_y-cy), ci, cj) AS k FROM nodes, cen) WHERE k<=16)"""
@@ -395,12 +455,47 @@ def i27(spark, sf):
     return spark.createDataFrame(rows, "kind string, model string, range_m double, sill double, nugget double")
 
 
-@query("I28_observation_validation")
+VALIDATION_SQL = (
+    FOLD_SQL,
+    "pf AS MATERIALIZED (SELECT pts.*, fold FROM pts JOIN fo ON bi=floor(x/10000) AND bj=floor(y/10000))",
+    "tv AS (SELECT p.* EXCLUDE (fold), f AS fold FROM pf p, (SELECT unnest(range(0,5))::INT AS f) WHERE fold<>f)",
+    neighbours_sql(15000, "fold, ", "tv"), robust_sql("fit", "pw", "node_x, node_y, fold", P),
+    """rs AS MATERIALIZED (SELECT pa, pb, pc, pd, x, y, t_year, s_elv, fold, h-p0-dhdt*(t_year-1998.5E0) AS resid, p0_err*p0_err+power(dhdt_err*(t_year-1998.5E0), 2) AS var FROM (SELECT pf.*, p0, dhdt, p0_err, dhdt_err,
+      row_number() OVER (PARTITION BY pa, pb, pc, pd ORDER BY (x-node_x)*(x-node_x)+(y-node_y)*(y-node_y), node_x, node_y) AS k FROM pf JOIN fit USING (fold) WHERE (x-node_x)*(x-node_x)+(y-node_y)*(y-node_y) <= 1E8) WHERE k=1)""",
+)
+STRATA_SQL = (
+    "gp AS MATERIALIZED (SELECT x, y, fold, floor(x/2000)::BIGINT AS gi, floor(y/2000)::BIGINT AS gj FROM pf)",
+    "nd AS (SELECT pa, pb, pc, pd, sqrt(min((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS d FROM (SELECT rs.*, floor(x/2000)::BIGINT+i AS gi, floor(y/2000)::BIGINT+j AS gj FROM rs, (SELECT unnest([-1,0,1]) AS i), (SELECT unnest([-1,0,1]) AS j)) a "
+    "JOIN gp b ON a.gi=b.gi AND a.gj=b.gj AND a.fold<>b.fold WHERE (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=4000000 GROUP BY ALL)",
+    "lg AS (SELECT fold, resid, 'dist_to_train' AS stratum, d AS v FROM rs JOIN nd USING (pa, pb, pc, pd) UNION ALL SELECT fold, resid, 'year', floor(t_year) FROM rs UNION ALL SELECT fold, resid, 's_elv', s_elv FROM rs)",
+    "ed AS (SELECT fold, stratum, list_sort(list_distinct([min(v), quantile_cont(v,0.25), quantile_cont(v,0.5), quantile_cont(v,0.75), max(v)])) AS e FROM lg GROUP BY 1,2 HAVING count(*)>=10)",
+)
+
+
+def validated(spark, sf):
+    p = cut(folded(spark, sf).select(*IDS, "x", "y", "h", "t_year", "s_elv", "fold"))
+    return p, interpolate.observation_validation(p, lattice_of(spark, sf, 10_000.0), P, n_folds=5, max_distance=10_000.0, ids=IDS)
+
+
+@query(
+    "I28_observation_validation",
+    with_pts("SELECT fold, count(*) AS n, sqrt(avg(resid*resid)) AS rmse, avg(abs(resid)) AS mae, avg(resid) AS bias, avg((abs(resid)/sqrt(var)<=1)::INT) AS coverage_68, avg((abs(resid)/sqrt(var)<=1.96E0)::INT) AS coverage_95, stddev_pop(resid/sqrt(var)) AS z_std FROM rs GROUP BY fold", tile_nodes_sql(50000, 10000), *VALIDATION_SQL),
+    floats="rmse mae bias coverage_68 coverage_95 z_std", digits=4,
+)
 def i28(spark, sf):
-    p = folded(spark, sf).select(*IDS, "x", "y", "h", "t_year", "s_elv", "fold")
-    nd = nodes(spark, sf, step=10_000.0).select("node_x", "node_y")
-    r = interpolate.observation_validation(p, nd, P, n_folds=5, max_distance=10_000.0, ids=IDS)
-    return interpolate.prediction_metrics(r, ["fold"])
+    return interpolate.prediction_metrics(validated(spark, sf)[1], ["fold"])
+
+
+@query(
+    "I28_error_by_strata",
+    with_pts("SELECT fold, stratum, greatest(len(list_filter(e, lambda q: q<v))-1, 0)::INT+1 AS quartile, count(*) AS n, sqrt(avg(resid*resid)) AS rmse FROM lg JOIN ed USING (fold, stratum) GROUP BY 1,2,3", tile_nodes_sql(50000, 10000), *VALIDATION_SQL, *STRATA_SQL),
+    floats="rmse", digits=5,
+)
+def i28_strata(spark, sf):
+    """Error of held-out heights by quartile of the distance to the training points, of the year and of the stated sigma."""
+    p, r = validated(spark, sf)
+    r = interpolate.distance_to_train(cut(r), p, ids=IDS, n_folds=5, max_distance=2000.0)
+    return interpolate.error_by_strata(r, {"dist_to_train": F.col("dist_to_train"), "year": F.floor("t_year"), "s_elv": F.col("s_elv")}, ["fold"])
 
 
 @query(
