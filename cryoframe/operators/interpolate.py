@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cryoframe.operators.ranks import hash_sample, quartile_class
-from cryoframe.operators.spatial import cell, knn_join, radius_join
+from cryoframe.operators.spatial import cell, knn_join
+from cryoframe.operators.variogram import variogram_rows
 
 
 # ------------------------------------------------------------------ variogram
@@ -24,24 +25,13 @@ def empirical_variogram(
 ) -> DataFrame:
     """Half mean squared difference per equal lag class; classes without pairs are absent.
 
-    All rows count; pairs farther apart than the last lag never meet, because the join is
-    bucketed by it. Rows are nodes or cells, so their number within a lag is bounded by
-    the lattice. ``max_points`` draws a sample where a caller asks for one.
+    All rows count, at any density (:mod:`variogram`). ``max_points`` draws a sample where a caller asks for one.
     """
-    used = df.where(F.col(value).isNotNull()).select(*ids, *by, x, y, value)
+    used = df.where(F.col(value).isNotNull()).select(*dict.fromkeys([*ids, *by, x, y, value]))
     if max_points is not None:
         used = hash_sample(used, max_points, ids, by=by, order=order)
-    key = F.struct(*[F.col(i) for i in ids])
-    a = used.select(*by, key.alias("_ka"), F.col(x).alias("_ax"), F.col(y).alias("_ay"), F.col(value).alias("_av"))
-    b = used.select(*by, key.alias("_kb"), F.col(x).alias("_bx0"), F.col(y).alias("_by0"), F.col(value).alias("_bv"))
-    pairs = radius_join(a, b, max_lag, xy=("_ax", "_ay"), node_xy=("_bx0", "_by0"), by=by, keep_d2="_d2").where(F.col("_ka") < F.col("_kb"))
-    width = float(max_lag) / n_lags
-    lag = F.floor(F.sqrt("_d2") / width).cast("int")
-    return (
-        pairs.where(F.sqrt("_d2") < max_lag).groupBy(*by, lag.alias("lag"))
-        .agg(F.avg(0.5 * (F.col("_av") - F.col("_bv")) ** 2).alias("gamma"), F.count(F.lit(1)).alias("n_pairs"))
-        .withColumn("center", (F.col("lag") + 0.5) * width)
-    )
+    rows = variogram_rows(used, value, max_lag=max_lag, n_lags=n_lags, by=by, x=x, y=y)
+    return rows.withColumn("center", (F.col("lag") + 0.5) * (float(max_lag) / n_lags))
 
 
 def variogram_gamma(model: str, h: np.ndarray, nugget: float, sill: float, reach: float) -> np.ndarray:

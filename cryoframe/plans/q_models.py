@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from cryoframe.operators import interpolate, ranks, rates, slopes, spatial, tren
 from cryoframe.operators.blocks import node_series, plane_aggregates, plane_solution
 from cryoframe.plans.base import IDS, points, query, tile_nodes_sql, with_pts
 from cryoframe.plans.fit_sql import neighbours_sql, robust_sql
-from cryoframe.plans.q_spatial import CENT_SQL, CROSS_SQL, TRACK_SQL, centroids, nodes
+from cryoframe.plans.q_spatial import CENT_SQL, CROSS_SQL, TRACK_SQL, centroids, crossing_table, nodes
 from cryoframe.plans.q_stats import FOLD_SQL, PAIR_SQL, agreement_pairs, folded
 from cryoframe.session import cut
 
@@ -442,17 +443,48 @@ def i26(spark, sf):
     return interpolate.interpolate_to_grid(c, "idw", value="v", sigma="s", source_id=["ci", "cj"], res=5000.0, k=16, x="cx", y="cy").select("gx", "gy", "pred", "sigma_input")
 
 
-@query("I27_residual_correlation")
-def i27(spark, sf):
-    """Range of the signal beside the range of its cross-validation residuals."""
+IDW_RESIDUAL_SQL = """ir AS (SELECT ci, cj, cx, cy, sum(sv/(d*d))/sum(1/(d*d))-any_value(v) AS resid FROM (SELECT t.ci, t.cj, t.cx, t.cy, t.v, s.v AS sv, sqrt((t.cx-s.cx)*(t.cx-s.cx)+(t.cy-s.cy)*(t.cy-s.cy)) AS d,
+   row_number() OVER (PARTITION BY t.ci, t.cj ORDER BY (t.cx-s.cx)*(t.cx-s.cx)+(t.cy-s.cy)*(t.cy-s.cy), s.ci, s.cj) AS rk FROM fc t JOIN fc s ON t.fold<>s.fold) WHERE rk<=16 GROUP BY ci, cj, cx, cy)"""
+FOLDED_CELLS_SQL = (
+    CENT_SQL, "fb AS (SELECT bi, bj, ((row_number() OVER (ORDER BY (bi*7919+bj*104729)%1009, bi, bj)-1)%5)::INT AS fold FROM (SELECT DISTINCT floor(cx/10000)::BIGINT AS bi, floor(cy/10000)::BIGINT AS bj FROM cen))",
+    "fc AS MATERIALIZED (SELECT cen.*, fold FROM cen JOIN fb ON bi=floor(cx/10000) AND bj=floor(cy/10000))",
+)
+
+
+def correlated(spark, sf):
+    """What is correlated over distance: the signal, the residuals of its cross-validation, and rates at crossings."""
     cells = cut(folded_cells(spark, sf))
     r = interpolate.cross_validate(cells, ["idw"], value="v", ids=["ci", "cj"], n_folds=5, k=16, base=2500.0)
-    res = cut(r.join(cells.select("ci", "cj", "x", "y"), ["ci", "cj"]))
+    residuals = cut(r.join(cells.select("ci", "cj", "x", "y"), ["ci", "cj"]))
+    crossings = cut(crossing_table(spark, sf).select("track1", "track2", "x", "y", "dhdt").where(F.col("dhdt").isNotNull()))
+    cell_id = ["ci", "cj"]
+    return {"signal": (cells, "v", cell_id, 40_000.0), "residual": (residuals, "resid", cell_id, 40_000.0), "crossing": (crossings, "dhdt", ["track1", "track2"], 20_000.0)}
+
+
+@query("I27_residual_correlation")
+def i27(spark, sf):
+    """Range of the signal, of its cross-validation residuals, and of rates at crossings; a kind with under 50 rows has none."""
     rows = []
-    for kind, df, col in (("signal", cells, "v"), ("residual", res, "resid")):
-        f = interpolate.fit_variogram(df, col, ids=["ci", "cj"], max_lag=40_000.0)
-        rows.append((kind, f["model"], f["range_m"], f["sill"], f["nugget"]))
-    return spark.createDataFrame(rows, "kind string, model string, range_m double, sill double, nugget double")
+    for kind, (df, col, ids, reach) in correlated(spark, sf).items():
+        n = df.count()
+        if n >= 50:
+            f = interpolate.fit_variogram(df, col, ids=ids, max_lag=reach)
+            rows.append((kind, n, f["model"], f["range_m"], f["sill"], f["nugget"], f["nugget"] / f["sill"] if f["sill"] > 0 else None))
+    return spark.createDataFrame(rows, "kind string, n bigint, model string, range_m double, sill double, nugget double, nugget_fraction double")
+
+
+@query(
+    "I27_lag_rows",
+    with_pts(
+        "SELECT kind, lag, count(*) AS n_pairs, avg(g) AS gamma, (lag+0.5E0)*any_value(w) AS center FROM (SELECT kind, w, floor(d/w)::INT AS lag, g FROM (SELECT a.kind, a.w, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d, 0.5E0*(a.v-b.v)*(a.v-b.v) AS g FROM al a JOIN al b ON a.kind=b.kind AND a.i<b.i) WHERE d<15*w) GROUP BY kind, lag",
+        TRACK_SQL, CROSS_SQL, *FOLDED_CELLS_SQL, IDW_RESIDUAL_SQL,
+        "al AS MATERIALIZED (SELECT *, row_number() OVER () AS i FROM (SELECT 'signal' AS kind, 40000.0E0/15 AS w, cx AS x, cy AS y, v FROM cen UNION ALL SELECT 'residual', 40000.0E0/15, cx, cy, resid FROM ir UNION ALL SELECT 'crossing', 20000.0E0/15, x, y, dhdt FROM xo WHERE dhdt IS NOT NULL))",
+    ),
+    floats="gamma center", digits=7,
+)
+def i27_lags(spark, sf):
+    parts = [interpolate.empirical_variogram(df, col, ids=ids, max_lag=reach).withColumn("kind", F.lit(kind)) for kind, (df, col, ids, reach) in correlated(spark, sf).items()]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("kind", "lag", "n_pairs", "gamma", "center")
 
 
 VALIDATION_SQL = (
