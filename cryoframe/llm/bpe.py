@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
@@ -14,8 +15,12 @@ from pyspark.sql import DataFrame
 
 from cryoframe.llm.common import claim, id_type, ids_and_texts, pieces, strings
 
-#: Bounds of what a Python worker keeps: transitions of the transducer, and pieces of text with their ids.
-MOST_TRANSITIONS, MOST_PIECES = 600_000, 300_000
+#: Bounds of what a Python worker keeps: transitions of the transducer, and pieces of text with their ids, in each of two generations.
+MOST_TRANSITIONS, MOST_PIECES = 600_000, 250_000
+#: How often a worker looks for cycles as a rule.
+GC = gc.get_threshold()
+#: Bits of a token's number in a pair.
+BITS = 24
 #: Texts are encoded in stretches of about so many characters, ids are decoded so many at a time.
 STRETCH, IDS = 1 << 19, 1 << 15
 
@@ -32,18 +37,34 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.bytes_of = ranks, {i: b for b, i in ranks.items()}
-        self.begins = {b[:i] for b in ranks for i in range(1, len(b))}
-        self.halves = {b: self.merged(b, 2) for b in ranks if len(b) > 1}  # what the last merge joined
-        self.whole = {b: i for b, i in ranks.items() if len(b) == 1 or len(self.halves[b]) == 2}  # tokens that merges can reach
+        halves = {b: self.merged(b, 2) for b in ranks if len(b) > 1}  # what the last merge joined
         rank = lambda b: ranks[b] if len(b) > 1 else -1
-        self.in_order = all(max(map(rank, h)) < ranks[b] for b, h in self.halves.items() if len(h) == 2)
+        self.in_order = all(max(map(rank, h)) < ranks[b] for b, h in halves.items() if len(h) == 2)
+        # Everything below is in numbers: a token is its rank, a stretch that a token may begin with is a node of their trie.
+        self.left, self.right = ({ranks[b]: ranks[h[side]] for b, h in halves.items() if len(h) == 2} for side in (0, 1))
+        self.made = {i: i for i in self.left}  # when a token is joined; single bytes are there from the start
+        self.join = {ranks[b[:i]] << BITS | ranks[b[i:]]: r for b, r in ranks.items() for i in range(1, len(b)) if b[:i] in ranks and b[i:] in ranks}
+        self.child: dict[int, int] = {}
+        self.token: list[int] = [-1]  # of each node: the token it spells, if merges can reach it
+        self.inner: list[bool] = [False]  # whether longer tokens begin so
+        for b, i in ranks.items():
+            node = 0
+            for byte in b:
+                self.inner[node] = True
+                if (to := self.child.get(node << 8 | byte)) is None:
+                    to = self.child[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                    self.inner.append(False)
+                node = to
+            if len(b) == 1 or i in self.left:
+                self.token[node] = i
         self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.rows: dict[tuple, dict] = {}
         self.n_steps = 0
-        self.start = self.row((-1, (((), b""),)))
+        self.start = self.row((-1, (((), 0),)))
 
     def row(self, state: tuple) -> dict:
         """The transitions of a state: for each byte the row of the next state and what is emitted; the state itself stands at -1, what ends a piece there at -2."""
@@ -64,51 +85,72 @@ class Transducer:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the merges of these two tokens' bytes give these two tokens."""
-        key = left << 20 | right
+        key = left << BITS | right
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) > MOST_TRANSITIONS:
                 self.pairs.clear()
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = self.pairs[key] = self.border_holds(a, b) if self.in_order else self.merged(a + b) == [a, b]
+            if self.in_order:
+                known = self.border_holds(left, right)
+            else:
+                a, b = self.bytes_of[left], self.bytes_of[right]
+                known = self.merged(a + b) == [a, b]
+            self.pairs[key] = known
         return known
 
-    def border_holds(self, a: bytes, b: bytes) -> bool:
+    def border_holds(self, a: int, b: int) -> bool:
         """Undoes the merges beside the border, latest first: no pair across it may come before the merge that used up one of its sides."""
         never = 1 << 40
         a_until, b_until = never, never  # when a and b are joined to something on their own side
+        join, made = self.join.get, self.made.get
         while True:
-            across = self.ranks.get(a + b, never)
+            across = join(a << BITS | b, never)
             if across < a_until and across <= b_until and across < never:
                 return False
-            a_made, b_made = (self.ranks[x] if len(x) > 1 else -1 for x in (a, b))
-            if a_made < 0 and b_made < 0:
-                return True
+            a_made, b_made = made(a, -1), made(b, -1)
             if a_made > b_made:
-                a, a_until = self.halves[a][1], a_made
-            else:
-                b, b_until = self.halves[b][0], b_made
+                a, a_until = self.right[a], a_made
+            elif b_made >= 0:
+                b, b_until = self.left[b], b_made
+            elif a_made < 0:
+                return True
 
     def step(self, row: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         anchor, places = row[-1]
-        more, there, ended = bytes((byte,)), [], None
-        for path, read in places:
-            read += more
-            if ended is None and (token := self.whole.get(read)) is not None:
+        child, tokens, inner = self.child.get, self.token, self.inner
+        there, ended = [], None
+        for path, node in places:
+            if (node := child(node << 8 | byte)) is None:
+                continue
+            if ended is None and (token := tokens[node]) >= 0:
                 left = path[-1] if path else anchor
                 if left < 0 or self.fits(left, token):
                     ended = (*path, token)
-            if read in self.begins:
-                there.append((path, read))
-        there.append((ended, b""))
-        n = 0
-        while n < len(ended) and all(len(p) > n and p[n] == ended[n] for p, _ in there):
-            n += 1
+            if inner[node]:
+                there.append((path, node))
+        n = len(ended)
+        for path, _ in there:  # what all of them begin with
+            m = 0
+            for one, other in zip(path[:n], ended, strict=False):
+                if one != other:
+                    break
+                m += 1
+            n = m
+            if not n:
+                break
+        there.append((ended, 0))
+        emitted = ended[:n]
         if n:
-            anchor, there = ended[n - 1], [(p[n:], r) for p, r in there]
+            anchor, there = emitted[-1], [(path[n:], node) for path, node in there]
         if self.n_steps > MOST_TRANSITIONS:
             self.reset()  # rows in use stay alive through those that hold them
+            gc.collect()
         self.n_steps += 1
-        to = row[byte] = self.row((anchor if any(not p for p, _ in there) else -1, tuple(there))), ended[:n]
+        for path, _ in there:
+            if not path:
+                break
+        else:
+            anchor = -1
+        to = row[byte] = self.row((anchor, tuple(there))), emitted
         return to
 
     def piece(self, data: bytes) -> tuple[int, ...]:
@@ -122,6 +164,23 @@ class Transducer:
         return (*out, *row[-2])
 
 
+class Pieces(dict):
+    """Ids of pieces, made when first asked for. What was not asked for since the last ``age`` goes with the next one."""
+
+    def __init__(self, machine: Transducer):
+        self.machine, self.before = machine, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.before.get(piece)) is None:
+            ids = array("i", self.machine.piece(piece.encode())).tobytes()
+        self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
+
 class Codec:
     """Encoder and decoder for a rank file's content and the pattern that cuts a text into pieces."""
 
@@ -133,18 +192,25 @@ class Codec:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines())}
         self.machine, self.split = Transducer(ranks), regex.compile(pattern).findall
         self.of = self.machine.bytes_of.__getitem__
-        self.name = {i: str(i) for i in self.machine.bytes_of}.__getitem__
-        self.known: dict[str, bytes] = {}
+        self.name = {i: b"%d" % i for i in self.machine.bytes_of}.__getitem__
+        self.known = Pieces(self.machine)
 
     @classmethod
     def get(cls, rank_file: bytes, pattern: str) -> Codec:
         """One for each vocabulary and Python worker, kept from task to task."""
-        claim("bpe", cls.made.clear)
+        claim("bpe", cls.release)
         key = hashlib.sha256(rank_file + pattern.encode()).digest()
         if key not in cls.made:
+            # States point at each other for as long as they live; looking for cycles among them again and again costs a fifth.
+            gc.set_threshold(1 << 20, *GC[1:])
             cls.made[key] = cls(rank_file, pattern)
         return cls.made[key]
 
+    @classmethod
+    def release(cls) -> None:
+        cls.made.clear()
+        gc.set_threshold(*GC)
+
     def encode(self, text: str) -> Iterator[array]:
         """Ids, a stretch of the text at a time."""
         for part in pieces(text, STRETCH):
@@ -152,12 +218,9 @@ class Codec:
 
     def packed(self, text: str) -> bytes:
         """Ids as 32-bit numbers; pieces met before are looked up."""
-        found = self.split(text)
-        for w in set(found).difference(self.known):
-            self.known[w] = array("i", self.machine.piece(w.encode())).tobytes()
-        ids = b"".join(map(self.known.__getitem__, found))
+        ids = b"".join(map(self.known.__getitem__, self.split(text)))
         if len(self.known) > MOST_PIECES:
-            self.known = {}
+            self.known.age()
         return ids
 
     def decode(self, parts: Iterable[Sequence[int]]) -> Iterator[tuple[bytes, str]]:
@@ -230,7 +293,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, with_ids: bool
             for packed in codec.encode(text):
                 ids = packed.tolist()
                 if ids:
-                    ids_hash.update((("," if n else "") + ",".join(map(codec.name, ids))).encode())
+                    ids_hash.update((b"," if n else b"") + b",".join(map(codec.name, ids)))
                 n += len(ids)
                 if with_ids:
                     kept.extend(packed)
