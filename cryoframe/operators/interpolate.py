@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cryoframe.operators.ranks import hash_sample, quartile_class
 from cryoframe.operators.spatial import cell, knn_join
 from cryoframe.operators.variogram import variogram_rows
+from cryoframe.session import cut
 
 
 # ------------------------------------------------------------------ variogram
@@ -122,7 +123,7 @@ def idw(neighbours: DataFrame, keys: Sequence[str], value: str, *, power: float
 
 def gaussian_kernel(neighbours: DataFrame, keys: Sequence[str], value: str, *, sigma: float | None = None, variogram: Mapping | None = None, **_) -> DataFrame:
     """exp(-d^2 / 2 sigma^2) weights; the variance is divided by Kish's effective count."""
-    s = sigma if sigma is not None else (variogram["range_m"] / 3 if variogram else 10_000.0)
+    s = F.lit(sigma) if sigma is not None else (_level(variogram, "range_m") / 3 if variogram else F.lit(10_000.0))
     w = F.exp(-F.col("d2") / (2.0 * s * s))
     v = F.col(value)
     g = neighbours.withColumn("_w", w).groupBy(*keys).agg(
@@ -135,7 +136,7 @@ def gaussian_kernel(neighbours: DataFrame, keys: Sequence[str], value: str, *, s
 
 def median_kernel(neighbours: DataFrame, keys: Sequence[str], value: str, *, radius: float | None = None, variogram: Mapping | None = None, **_) -> DataFrame:
     """Median of the neighbours within the radius, else of the nearest one; groups hold at most k rows."""
-    r = radius if radius is not None else (variogram["range_m"] / 2 if variogram else 15_000.0)
+    r = F.lit(radius) if radius is not None else (_level(variogram, "range_m") / 2 if variogram else F.lit(15_000.0))
     near = neighbours.where((F.sqrt("d2") <= r) | (F.col("rank") == 1))
     vals = near.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v")).withColumn("_n", F.size("_v"))
 
@@ -147,13 +148,20 @@ def median_kernel(neighbours: DataFrame, keys: Sequence[str], value: str, *, rad
     return out.withColumn("var", F.pow(1.253 * 1.4826 * mid("_d"), F.lit(2.0)) / F.col("_n")).select(*keys, "pred", "var")
 
 
-def _solve_batches(neighbours: DataFrame, keys: Sequence[str], value: str, sigma: str | None, solver) -> DataFrame:
-    """Gather each target's at most k neighbours in one row, then solve rows of equal k together."""
+def _level(variogram: Mapping, name: str):
+    """A parameter of the variogram: a number, or a column of the neighbour rows."""
+    v = variogram[name]
+    return v if isinstance(v, F.Column) else F.lit(v)
+
+
+def _solve_batches(neighbours: DataFrame, keys: Sequence[str], value: str, sigma: str | None, variogram: Mapping, solver) -> DataFrame:
+    """Gather each target's at most k neighbours and its variogram in one row, then solve rows of equal k and model together."""
     s = F.col(sigma) if sigma else F.lit(None).cast("double")
     packed = neighbours.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("rank", F.col("sx").cast("double").alias("sx"), F.col("sy").cast("double").alias("sy"),
-                                             F.col(value).cast("double").alias("v"), s.cast("double").alias("s"), F.sqrt("d2").alias("d")))).alias("_z"))
-    flat = packed.select(*keys, *[F.col(f"_z.{c}").alias(c) for c in ("sx", "sy", "v", "s", "d")])
+                                             F.col(value).cast("double").alias("v"), s.cast("double").alias("s"), F.sqrt("d2").alias("d")))).alias("_z"),
+        *[F.first(_level(variogram, n)).alias(f"_{n}") for n in ("model", "nugget", "sill", "range_m")])
+    flat = packed.select(*keys, *[F.col(f"_z.{c}").alias(c) for c in ("sx", "sy", "v", "s", "d")], "_model", "_nugget", "_sill", "_range_m")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.select(*keys).schema.fields)
 
     def run(batches):
@@ -161,10 +169,12 @@ def _solve_batches(neighbours: DataFrame, keys: Sequence[str], value: str, sigma
             out = pdf[list(keys)].copy()
             pred, var = np.full(len(pdf), np.nan), np.full(len(pdf), np.nan)
             size = pdf["v"].map(len).to_numpy() if len(pdf) else np.array([])
-            for k in np.unique(size):
-                on = np.flatnonzero(size == k)
+            model = pdf["_model"].to_numpy()
+            for k, m in sorted(set(zip(size.tolist(), model.tolist(), strict=True))):
+                on = np.flatnonzero((size == k) & (model == m))
                 col = lambda c: np.stack([np.asarray(a, float) for a in pdf[c].iloc[on]])  # noqa: E731, B023
-                pred[on], var[on] = solver(col("sx"), col("sy"), col("v"), col("s"), col("d"))
+                levels = {n: pdf[f"_{n}"].to_numpy(float)[on] for n in ("nugget", "sill", "range_m")}
+                pred[on], var[on] = solver(col("sx"), col("sy"), col("v"), col("s"), col("d"), m, levels)
             out["pred"], out["var"] = pred, var
             yield out
 
@@ -180,10 +190,8 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ordinary_kriging(neighbours: DataFrame, keys: Sequence[str], value: str, *, variogram: Mapping, **_) -> DataFrame:
-    p = dict(variogram)
-    gam = lambda h: variogram_gamma(p["model"], h, p["nugget"], p["sill"], p["range_m"])
-
-    def solver(x, y, v, s, d):
+    def solver(x, y, v, s, d, model, levels):
+        gam = lambda h: variogram_gamma(model, h, *[levels[n].reshape(-1, *[1] * (h.ndim - 1)) for n in ("nugget", "sill", "range_m")])
         m, k = v.shape
         a = np.ones((m, k + 1, k + 1))
         a[:, :k, :k] = gam(np.hypot(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :]))
@@ -194,15 +202,16 @@ def ordinary_kriging(neighbours: DataFrame, keys: Sequence[str], value: str, *,
         w = sol[:, :k]
         return (w * v).sum(1), np.maximum((w * b[:, :k]).sum(1) + sol[:, k], 0.0)
 
-    return _solve_batches(neighbours, keys, value, None, solver)
+    return _solve_batches(neighbours, keys, value, None, variogram, solver)
 
 
 def optimal_interpolation(neighbours: DataFrame, keys: Sequence[str], value: str, *, variogram: Mapping, sigma_col: str | None = None, **_) -> DataFrame:
     """Markov covariance sill (1 + r/L) exp(-r/L) with observation variance on the diagonal."""
-    sill, length = float(variogram["sill"]), float(variogram["range_m"])
-    cov = lambda r: sill * (1 + r / length) * np.exp(-r / length)
 
-    def solver(x, y, v, s, d):
+    def solver(x, y, v, s, d, model, levels):
+        sill, length = levels["sill"], levels["range_m"]
+        wide = lambda p, r: p.reshape(-1, *[1] * (r.ndim - 1))
+        cov = lambda r: wide(sill, r) * (1 + r / wide(length, r)) * np.exp(-r / wide(length, r))
         err = np.where(np.nan_to_num(s, nan=0.0) > 0, s, 0.05)
         c = cov(np.hypot(x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :]))
         idx = np.arange(v.shape[1])
@@ -211,7 +220,7 @@ def optimal_interpolation(neighbours: DataFrame, keys: Sequence[str], value: str
         w = _solve(c, c0)
         return (w * v).sum(1) + (1 - w.sum(1)) * v.mean(1), np.maximum(sill - (w * c0).sum(1), 0.0)
 
-    return _solve_batches(neighbours, keys, value, sigma_col, solver)
+    return _solve_batches(neighbours, keys, value, sigma_col, variogram, solver)
 
 
 # The registry: name -> (neighbour rows, target keys, value column, options) -> pred, var per target.
@@ -312,20 +321,27 @@ def cross_validate(
 ) -> DataFrame:
     """Residual rows of every method on held-out folds: ids, fold, method, pred, var, resid.
 
-    Neighbours are found once, per fold, for all methods; the variogram is refitted on each training part.
+    Neighbours are found and written once, per fold, for all methods, with the held-out value and the variogram refitted
+    on the fold's training part beside them; each method is then one grouping of those rows. ``options`` with sigma
+    and radius take the place of the variogram where a kernel needs nothing else of it.
     """
     train, test = fold_views(nodes, n_folds, fold=fold)
-    near = neighbours_of(test, train, value, target_id=[*ids, fold], source_id=ids, k=k, sigma=sigma, by=[fold], base=base)
-    vgs = fit_variograms(train, value, by=fold, ids=ids, max_lag=max_lag) if any(m in NEEDS_VARIOGRAM for m in methods) else {}
+    keys = [*ids, fold, "_truth"]
+    near = neighbours_of(test.withColumn("_truth", F.col(value)), train, value, target_id=keys, source_id=ids, k=k, sigma=sigma, by=[fold], base=base)
+    free = {n for n, need in (("gaussian_kernel", "sigma"), ("median_kernel", "radius")) if need in (options or {})}
+    fitted: Mapping | None = None
+    if any(m in NEEDS_VARIOGRAM - free for m in methods):
+        vgs = fit_variograms(train, value, by=fold, ids=ids, max_lag=max_lag)
+        names = ["model", "nugget", "sill", "range_m"]
+        table = nodes.sparkSession.createDataFrame([(f, *[v[n] for n in names]) for f, v in vgs.items()], f"{fold} int, _vm string, _vn double, _vs double, _vr double")
+        near = near.join(F.broadcast(table), fold)  # a row a fold; folds without a variogram have no predictions
+        fitted = dict(zip(names, map(F.col, ("_vm", "_vn", "_vs", "_vr")), strict=True))
+    near = cut(near)
     out = None
     for m in methods:
-        parts = [(None, near)] if m not in NEEDS_VARIOGRAM else [(f, near.where(F.col(fold) == f)) for f in sorted(vgs)]
-        for f, rows in parts:
-            opts = {"sigma_col": sigma, **(options or {}), **({"variogram": vgs[f]} if f is not None else {})}
-            p = PREDICTORS[m](rows, [*ids, fold], value, **opts).withColumn("method", F.lit(m))
-            out = p if out is None else out.unionByName(p)
-    truth = nodes.select(*ids, fold, F.col(value).alias("_truth"))
-    return out.join(truth, [*ids, fold]).withColumn("resid", F.col("pred") - F.col("_truth")).drop("_truth")
+        p = PREDICTORS[m](near, keys, value, **{"sigma_col": sigma, "variogram": fitted, **(options or {})}).withColumn("method", F.lit(m))
+        out = p if out is None else out.unionByName(p)
+    return out.withColumn("resid", F.col("pred") - F.col("_truth")).drop("_truth")
 
 
 def idw_search(nodes: DataFrame, ks: Sequence[int], powers: Sequence[float], *, value: str, ids: Sequence[str], n_folds: int, within: Sequence[str] = (), base: float = 5000.0, fold: str = "fold") -> DataFrame:

@@ -264,14 +264,24 @@ def sample_cells(
     return points.withColumn("_i", i).withColumn("_j", j).join(right, ["_i", "_j"], "left").drop("_i", "_j")
 
 
+def stencils(field: DataFrame, value: str, *, cells: tuple[str, str] = ("cell_i", "cell_j"), by: Sequence[str] = (), wrap_i: int | None = None) -> DataFrame:
+    """by, _i, _j, _f00, _f10, _f01, _f11: each cell with its neighbours to the right and above, in one row. A cell given twice counts with its larger value."""
+    four = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    i = F.col(cells[0]) - F.col("_d.a")
+    rows = field.where(F.col(value).isNotNull()).withColumn("_d", four).select(
+        *by, (i if wrap_i is None else F.pmod(i, F.lit(wrap_i))).cast("bigint").alias("_i"), (F.col(cells[1]) - F.col("_d.b")).cast("bigint").alias("_j"), "_d", F.col(value).alias("_f")
+    )
+    return rows.groupBy(*by, "_i", "_j").agg(*[F.max(F.when((F.col("_d.a") == a) & (F.col("_d.b") == b), F.col("_f"))).alias(f"_f{a}{b}") for a in (0, 1) for b in (0, 1)])
+
+
 def sample_bilinear(
     points: DataFrame,
     field: DataFrame,
     *,
-    ids: Sequence[str],
     origin: tuple[float, float],
     step: float | tuple[float, float],
     value: str,
+    ids: Sequence[str] = (),
     out: str | None = None,
     xy: tuple[str, str] = ("x", "y"),
     cells: tuple[str, str] = ("cell_i", "cell_j"),
@@ -279,11 +289,11 @@ def sample_bilinear(
     wrap_i: int | None = None,
     clamp_j: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Bilinear value, null where any weighted corner is missing.
+    """Bilinear value of each row of ``points``, null where any weighted corner is missing.
 
-    ``wrap_i`` makes the first axis cyclic (longitude), ``clamp_j`` holds the second
-    inside its range (latitude). Four corners per point are looked up by equi-join and
-    summed back by the point's ``ids``, so nothing is broadcast.
+    ``wrap_i`` makes the first axis cyclic (longitude), ``clamp_j`` holds the second inside its range (latitude). The
+    field is turned into one row for each 2 x 2 stencil, so a point is looked up once, by an equi-join, and is never
+    grouped: rows that repeat stay rows, and ``ids`` are not needed (callers may still name them).
     """
     out = out or value
     step_x, step_y = step if isinstance(step, tuple) else (step, step)
@@ -291,31 +301,13 @@ def sample_bilinear(
     v = (F.col(xy[1]) - F.lit(float(origin[1]))) / F.lit(float(step_y))
     if clamp_j:
         v = F.least(F.greatest(v, F.lit(float(clamp_j[0]))), F.lit(float(clamp_j[1])))
-    corner = lambda di, dj, w: F.struct(
-        (F.floor(F.col("_u")) + di).cast("bigint").alias("i"), (F.floor(F.col("_v")) + dj).cast("bigint").alias("j"), w.alias("w")
-    )
+    i = F.floor(F.col("_u")) if wrap_i is None else F.pmod(F.floor(F.col("_u")), F.lit(wrap_i))
+    placed = points.withColumn("_u", u).withColumn("_v", v).withColumn("_i", i.cast("bigint")).withColumn("_j", F.floor(F.col("_v")).cast("bigint"))
     fu, fv = F.col("_u") - F.floor("_u"), F.col("_v") - F.floor("_v")
-    i = F.col("_c.i") if wrap_i is None else F.pmod(F.col("_c.i"), F.lit(wrap_i))
-    corners = (
-        points.select(*ids, *[b for b in by if b not in ids], u.alias("_u"), v.alias("_v"))
-        .withColumn(
-            "_c",
-            F.explode(
-                F.array(corner(0, 0, (1 - fu) * (1 - fv)), corner(1, 0, fu * (1 - fv)), corner(0, 1, (1 - fu) * fv), corner(1, 1, fu * fv))
-            ),
-        )
-        .where(F.col("_c.w") > 0)
-        .withColumn("_i", i)
-        .withColumn("_j", F.col("_c.j"))
-    )
-    right = field.select(*by, F.col(cells[0]).alias("_i"), F.col(cells[1]).alias("_j"), F.col(value).alias("_f"))
-    looked = (
-        corners.join(right, [*by, "_i", "_j"], "left")
-        .groupBy(*ids)
-        .agg(F.count(F.lit(1)).alias("_n"), F.count("_f").alias("_m"), F.sum(F.col("_f") * F.col("_c.w")).alias("_s"))
-        .select(*ids, F.when(F.col("_n") == F.col("_m"), F.col("_s")).alias(out))
-    )
-    return points.join(looked, list(ids), "left")
+    weights = {"_f00": (1 - fu) * (1 - fv), "_f10": fu * (1 - fv), "_f01": (1 - fu) * fv, "_f11": fu * fv}
+    total = sum((F.when(w > 0, F.col(f) * w).otherwise(0.0) for f, w in weights.items()), F.lit(0.0))
+    looked = placed.join(stencils(field, value, cells=cells, by=by, wrap_i=wrap_i), [*by, "_i", "_j"], "left")
+    return looked.select(*[F.col(c) for c in points.columns if c != out], total.alias(out))
 
 
 def bracket_times(rows: DataFrame, epochs: DataFrame, *, time: str, epoch: str = "epoch", width: float = 1.0) -> DataFrame:

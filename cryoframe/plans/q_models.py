@@ -433,6 +433,25 @@ def i25(spark, sf):
     return interpolate.prediction_metrics(r, ["method"])
 
 
+FOLDED_CELLS_SQL = (
+    CENT_SQL, "fb AS (SELECT bi, bj, ((row_number() OVER (ORDER BY (bi*7919+bj*104729)%1009, bi, bj)-1)%5)::INT AS fold FROM (SELECT DISTINCT floor(cx/10000)::BIGINT AS bi, floor(cy/10000)::BIGINT AS bj FROM cen))",
+    "fc AS MATERIALIZED (SELECT cen.*, fold FROM cen JOIN fb ON bi=floor(cx/10000) AND bj=floor(cy/10000))",
+)
+FAN_SQL = (
+    "nk AS MATERIALIZED (SELECT * FROM (SELECT t.ci, t.cj, t.fold, t.v AS truth, s.v, (t.cx-s.cx)*(t.cx-s.cx)+(t.cy-s.cy)*(t.cy-s.cy) AS d2, row_number() OVER (PARTITION BY t.ci, t.cj ORDER BY (t.cx-s.cx)*(t.cx-s.cx)+(t.cy-s.cy)*(t.cy-s.cy), s.ci, s.cj) AS rk FROM fc t JOIN fc s ON t.fold<>s.fold) WHERE rk<=16)",
+    "mn AS (SELECT ci, cj, fold, truth, list(v ORDER BY v) AS l FROM nk WHERE d2<=225000000 OR rk=1 GROUP BY 1,2,3,4)",
+    "pd AS (SELECT 'idw' AS method, ci, cj, fold, truth, sum(v/d2)/sum(1/d2) AS pred FROM nk GROUP BY 1,2,3,4,5 UNION ALL SELECT 'gaussian_kernel', ci, cj, fold, truth, sum(v*exp(-d2/2E8))/sum(exp(-d2/2E8)) FROM nk GROUP BY 1,2,3,4,5 UNION ALL SELECT 'median_kernel', ci, cj, fold, truth, list_median(l) FROM mn)",
+)
+
+
+@query("C21_fold_methods", with_pts("SELECT fold, method, count(*) AS n, sqrt(avg((pred-truth)*(pred-truth))) AS rmse, avg(pred-truth) AS bias FROM pd GROUP BY fold, method", *FOLDED_CELLS_SQL, *FAN_SQL), floats="rmse bias", digits=8)
+def c21(spark, sf):
+    """Every fold with every method: one search for neighbours, one grouping a method."""
+    cells = cut(folded_cells(spark, sf))
+    r = interpolate.cross_validate(cells, ["idw", "gaussian_kernel", "median_kernel"], value="v", ids=["ci", "cj"], n_folds=5, k=16, base=2500.0, options={"sigma": 10_000.0, "radius": 15_000.0})
+    return r.groupBy("fold", "method").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("resid") * F.col("resid"))).alias("rmse"), F.avg("resid").alias("bias"))
+
+
 GRID_PRED_SQL = """gx AS (SELECT x0+i*5000.0E0 AS gx, y0+j*5000.0E0 AS gy FROM (SELECT min(cx) AS x0, max(cx) AS x1, min(cy) AS y0, max(cy) AS y1 FROM cen), (SELECT unnest(range(0,40)) AS i), (SELECT unnest(range(0,40)) AS j) WHERE x0+i*5000.0E0<=x1+5E-6 AND y0+j*5000.0E0<=y1+5E-6),
  gn AS (SELECT * FROM (SELECT gx, gy, v, 0.001E0+v/100 AS s, (gx-cx)*(gx-cx)+(gy-cy)*(gy-cy) AS d2, row_number() OVER (PARTITION BY gx, gy ORDER BY (gx-cx)*(gx-cx)+(gy-cy)*(gy-cy), ci, cj) AS k FROM gx, cen) WHERE k<=16)"""
 
@@ -445,12 +464,6 @@ def i26(spark, sf):
 
 IDW_RESIDUAL_SQL = """ir AS (SELECT ci, cj, cx, cy, sum(sv/(d*d))/sum(1/(d*d))-any_value(v) AS resid FROM (SELECT t.ci, t.cj, t.cx, t.cy, t.v, s.v AS sv, sqrt((t.cx-s.cx)*(t.cx-s.cx)+(t.cy-s.cy)*(t.cy-s.cy)) AS d,
    row_number() OVER (PARTITION BY t.ci, t.cj ORDER BY (t.cx-s.cx)*(t.cx-s.cx)+(t.cy-s.cy)*(t.cy-s.cy), s.ci, s.cj) AS rk FROM fc t JOIN fc s ON t.fold<>s.fold) WHERE rk<=16 GROUP BY ci, cj, cx, cy)"""
-FOLDED_CELLS_SQL = (
-    CENT_SQL, "fb AS (SELECT bi, bj, ((row_number() OVER (ORDER BY (bi*7919+bj*104729)%1009, bi, bj)-1)%5)::INT AS fold FROM (SELECT DISTINCT floor(cx/10000)::BIGINT AS bi, floor(cy/10000)::BIGINT AS bj FROM cen))",
-    "fc AS MATERIALIZED (SELECT cen.*, fold FROM cen JOIN fb ON bi=floor(cx/10000) AND bj=floor(cy/10000))",
-)
-
-
 def correlated(spark, sf):
     """What is correlated over distance: the signal, the residuals of its cross-validation, and rates at crossings."""
     cells = cut(folded_cells(spark, sf))

@@ -324,12 +324,6 @@ def c20(spark, sf):
     return nd.join(s, ["node_x", "node_y"], "left").join(v, ["node_x", "node_y"], "left").withColumn("n_pixels", F.coalesce("n_pixels", F.lit(0)))
 
 
-@query("C21_fold_methods", with_pts("SELECT fold, method, count(*) AS n FROM (SELECT (pc%5)::INT AS fold FROM pts), (VALUES ('idw'),('gaussian_kernel'),('median_kernel')) m(method) GROUP BY ALL"))
-def c21(spark, sf):
-    folds = points(spark, sf).groupBy((F.col("pc") % 5).cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
-    return folds.withColumn("method", F.explode(F.array(*[F.lit(m) for m in ("idw", "gaussian_kernel", "median_kernel")])))
-
-
 @query(
     "J08_ring_fraction",
     with_pts(f"SELECT ci, cj, avg(coalesce((fld.v>0.05E0)::INT, 0)) AS fraction FROM (SELECT ci, cj, k, cx+4000*cos(k*{2 * math.pi / 16!r}) AS rx, cy+4000*sin(k*{2 * math.pi / 16!r}) AS ry FROM cen, (SELECT unnest(range(0,16)) AS k)) LEFT JOIN fld ON cell_i=round_even((rx-2500.0E0)/5000,0)::BIGINT AND cell_j=round_even((ry-2500.0E0)/5000,0)::BIGINT GROUP BY ci, cj", CENT_SQL, FIELD_SQL),
