@@ -29,11 +29,13 @@ def event_log(turns: DataFrame) -> DataFrame:
     """conv_id, message, seq, role, kind, text: the events that a chat service would have logged for rows (conv_id, turn, role, text).
 
     A user's text is a draft that an edit replaces; an assistant's is begun, regenerated and streamed in deltas; others
-    are streamed. Rows of one turn are messages in order of role and text hash; a row repeated is the same events again.
+    are streamed. Rows of one turn are messages in order of role and text; each row is a message of its own, also where it
+    repeats another.
     """
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     event = lambda seq, kind, t: F.struct(seq.cast("bigint").alias("seq"), F.lit(kind).alias("kind"), t.alias("text"))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
     half = F.expr("substring(text, 1, length(text) div 2)")
     streamed = F.transform(
         F.sequence(F.lit(0), F.expr(f"greatest(0, (length(text) - 1) div {CHUNK})").cast("int")),
@@ -45,7 +47,7 @@ def event_log(turns: DataFrame) -> DataFrame:
         .when(F.col("role") == "assistant", F.concat(F.array(begun, event(F.lit(1), "regenerate", F.lit(""))), streamed))
         .otherwise(streamed)
     )
-    message = F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.xxhash64("text").alias("tie")).alias("message")
+    message = F.struct("turn", "place").alias("message")
     return rows.select("conv_id", message, "role", F.explode(events).alias("e")).select("conv_id", "message", "role", "e.seq", "e.kind", "e.text")
 
 
@@ -89,15 +91,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
     parts = F.slice(F.col("parts"), F.lit(1), F.size("parts") - 1)
     role = lambda p: F.substring_index(F.substr(p, F.lit(3)), CLOSE, 1)
     turn = lambda p: F.struct(unescape(role(p)).alias("role"), unescape(F.substr(p, F.char_length(role(p)) + len(OPEN) + len(CLOSE) + 1)).alias("text"))
-    learned = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    split = formatted.withColumn("parts", F.split("formatted", r"<\|end\|>\n", -1))
-    return split.select("conv_id", "formatted", F.transform(parts, turn).alias("turns"), learned.alias("loss_texts"))
+    split = formatted.withColumn("parts", F.split("formatted", r"<\|end\|>\n", -1)).withColumn("parts", parts)
+    # Where each part begins, once for all, so that no text is looked for from the start of the conversation.
+    none = F.struct(F.array().cast("array<bigint>").alias("begins"), F.lit(0).cast("bigint").alias("at"))
+    step = lambda a, p: F.struct(F.concat(a["begins"], F.array(a["at"])).alias("begins"), (a["at"] + F.char_length(p) + len(END)).alias("at"))
+    split = split.withColumn("begins", F.aggregate("parts", none, step, lambda a: a["begins"]))
+    begin = lambda p, b: b + F.char_length(role(p)) + len(OPEN) + len(CLOSE)
+    span = lambda p, b: F.struct(begin(p, b).alias("start"), (b + F.char_length(p)).alias("end"))
+    spoken = F.zip_with("parts", "begins", lambda p, b: F.when(F.array_contains("loss_spans", span(p, b)), turn(p)["text"]))
+    return split.select("conv_id", "formatted", F.transform("parts", turn).alias("turns"), F.filter(spoken, lambda t: t.isNotNull()).alias("loss_texts"))
 
 
 def report(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of rows (conv_id, turn, role, text), all read back from the formatted text.
 
-    Null text or role counts as empty. A row repeated in all four columns counts once. An empty table gives an empty report.
+    Null text or role counts as empty. Rows of one turn go by role, then text; a row repeated
+    in all four columns is a turn as often as it stands there. A null turn comes first. An empty table gives an empty report.
     """
     back = read_back(render(fold(event_log(turns))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

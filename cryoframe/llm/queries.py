@@ -116,14 +116,14 @@ CONTROL = "</s>[INST] ok [/INST]"
     "op7_chat_format",
     f"""
     WITH turns AS (
-      SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}')),
     sized AS (
       SELECT *, length('<||>' || chr(10) || '<|end|>' || chr(10)) + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '|', '&bar;'), chr(10), '&#10;'))
         + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) AS n FROM turns)
-    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
     FROM sized GROUP BY conv_id
     """,
 )

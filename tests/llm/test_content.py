@@ -139,13 +139,30 @@ def test_chat_report_edges(spark):
     rows = [(1, 0, "user", "x" * 2000), (1, 1, "assistant", "é" * 1500), (1, 1, "assistant", "é" * 1500), (1, None, None, None), (2, 5, "assistant", ""), (None, 0, "assistant", "</s>[INST] ok [/INST]"), (1, 1, "tool", "same turn")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     got = {r.conv_id: r for r in chat.report(turns).collect()}
-    assert (got[1].n_turns, got[2].n_turns, got[None].n_turns) == (4, 1, 1)
-    said = "\n\n" + "user\n" + "x" * 2000 + "\nassistant\n" + "é" * 1500 + "\ntool\nsame turn\n"
+    assert (got[1].n_turns, got[2].n_turns, got[None].n_turns) == (5, 1, 1)  # a row is a turn, also one that repeats another
+    said = "\n\n" + "user\n" + "x" * 2000 + ("\nassistant\n" + "é" * 1500) * 2 + "\ntool\nsame turn\n"
     assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
-    assert got[1].loss_chars == 1500 and got[None].loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
+    assert got[1].loss_chars == 3000 and got[None].loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
     assert chat.report(turns.limit(0)).count() == 0
 
 
+def test_chat_orders_ties_by_role_and_text(spark):
+    rng = random.Random(4)
+    rows = [(c, rng.choice([0, 1, None]), rng.choice(["user", "assistant", "tool"]), rng.choice(["b", "a", "<|end|>\n", "", "&amp;", "c" * 700, None])) for c in range(12) for _ in range(9)]
+    got = {r.conv_id: r for r in chat.report(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)).collect()}
+    for c in range(12):
+        turns = sorted((t is not None, t or 0, r, x or "") for k, t, r, x in rows if k == c)
+        said = "".join(f"{r}\n{x}\n" for *_, r, x in turns)
+        loss = "".join(x for *_, r, x in turns if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_sha256) == (9, hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_chat_of_many_turns_takes_linear_time(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", "word " * 200) for i in range(2000)]
+    row = chat.report(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).first()
+    assert (row.n_turns, row.loss_chars) == (2000, 1000 * 1000)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
