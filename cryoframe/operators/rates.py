@@ -154,6 +154,8 @@ def fan_out(points: DataFrame, views: Sequence[View]) -> DataFrame:
             on = on & (F.col("_t") >= view.window[0]) & (F.col("_t") < view.window[1])
         if view.left_out is not None:
             on = on & (F.col("_f") != view.left_out)
+        if view.bit is not None:
+            on = on & (F.shiftright(F.col("_f").cast("bigint"), view.bit) % 2 == 1)
         response = F.col("_h")
         if view.wave:
             response = (F.sin if view.wave[1] else F.cos)(F.lit(2 * np.pi / view.wave[0]) * F.col("_p"))
@@ -180,7 +182,8 @@ def node_rates(
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """Rate, acceleration, errors and covariance at each node, grouped also by ``by`` (columns of the points) and by the keys
-    of ``views`` (windows, left-out folds or test responses). Nodes without enough rows or span are absent."""
+    of ``views`` (windows, left-out folds, test responses or other rules). Nodes without enough rows or span are absent."""
+    p = replace(p, radius=max((v.params or p).radius for v in views)) if views else p
     if not views:
         views = [View()]
         points = points.limit(0)
@@ -197,11 +200,12 @@ def node_rates(
     fitted = fit_tiles(slim, calm, p, views, _design, node_xy=node_xy, by=by, fields=RATE_FIELDS, tile_rows=tile_rows)
     if hot is None:
         return fitted
-    near = radius_join(fan_out(slim, views), hot, p.radius, xy=("_x", "_y"), node_xy=node_xy)
-    rows = near.select(
-        *keys, "_h", "_t", "_s", ((F.col("_x") - F.col(node_xy[0])) / p.radius).alias("_u"), ((F.col("_y") - F.col(node_xy[1])) / p.radius).alias("_v")
-    )
-    return fitted.unionByName(fit_in_rounds(rows, keys, p))
+    for q in dict.fromkeys(v.params or p for v in views):
+        own = [v for v in views if (v.params or p) == q]
+        near = radius_join(fan_out(slim, own), hot, q.radius, xy=("_x", "_y"), node_xy=node_xy)
+        u, v = ((F.col(c) - F.col(n)) / q.radius for c, n in zip(("_x", "_y"), node_xy, strict=True))
+        fitted = fitted.unionByName(fit_in_rounds(near.select(*keys, "_h", "_t", "_s", u.alias("_u"), v.alias("_v")), keys, q))
+    return fitted
 
 
 def time_windows(rows: DataFrame, windows: Sequence[tuple[float, float]], *, time: str = "t_year") -> DataFrame:

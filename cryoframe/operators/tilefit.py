@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ class View:
     keys: Mapping[str, float | int] = field(default_factory=dict)
     window: tuple[float, float] | None = None  # times from the first up to, not including, the second
     left_out: int | None = None  # rows of this fold do not take part
+    bit: int | None = None  # rows take part whose fold column, read as bits, has this one set
+    params: Any = None  # rules of its own; its radius is at most that of the whole
     wave: tuple[float, int] | None = None  # a pure cosine (0) or sine (1) of this period instead of the heights
 
     def rows(self, t: np.ndarray, fold: np.ndarray | None) -> np.ndarray:
@@ -42,6 +45,8 @@ class View:
             on &= (t >= self.window[0]) & (t < self.window[1])
         if self.left_out is not None:
             on &= fold != self.left_out
+        if self.bit is not None:
+            on &= (fold.astype(np.int64) >> self.bit) & 1 == 1
         return on
 
     def response(self, h: np.ndarray | None, phase: np.ndarray) -> np.ndarray:
@@ -241,14 +246,17 @@ def fit_tiles(points: DataFrame, nodes: DataFrame, p, views: Sequence[View], des
         for some in _apart(near, by) if len(home) and len(near) else ():
             col = {c: np.asarray(some.column(c).to_numpy(zero_copy_only=False), np.float64) for c in ("_x", "_y", "_h", "_t", "_p", "_s", "_f")}
             for low, high, owner, at in Buckets(col["_x"], col["_y"], p.radius).pairs(nx, ny):
-                u, v = (col["_x"][at] - nx[low + owner]) / p.radius, (col["_y"][at] - ny[low + owner]) / p.radius
+                dx, dy = col["_x"][at] - nx[low + owner], col["_y"][at] - ny[low + owner]
                 for view in views:
+                    q = view.params or p
                     on = view.rows(col["_t"][at], col["_f"][at])
+                    if q.radius < p.radius:
+                        on &= dx * dx + dy * dy <= q.radius * q.radius
                     z = view.response(col["_h"][at], col["_p"][at])
                     on &= ~np.isnan(z)
                     x = at[on]
-                    fit = fit_segments(p, high - low, owner[on], z[on], col["_t"][x], u[on], v[on], col["_s"][x], design)
-                    kept, columns = shape(p, fit)
+                    fit = fit_segments(q, high - low, owner[on], z[on], col["_t"][x], dx[on] / q.radius, dy[on] / q.radius, col["_s"][x], design)
+                    kept, columns = shape(q, fit)
                     keys = {c: pa.array(w[low + kept]) for c, w in zip(node_xy, (nx, ny), strict=True)}
                     keys |= {c: some.column(c)[:1].combine_chunks().take(pa.array(np.zeros(len(kept), np.int64))) for c in by}
                     keys |= {k: pa.array(np.full(len(kept), view.keys[k]), kinds[k]) for k in names}

@@ -36,14 +36,15 @@ def solved_sql(name: str, rows: str, keys: str, k: int, n_unit: int) -> list[str
     return [*parts, f"{name} AS MATERIALIZED (SELECT {keys}, n, sw, {out} FROM {name}_b0)"]
 
 
-def robust_sql(name: str, source: str, keys: str, p: RateParams, n_unit: int = 3) -> str:
-    """CTEs from ``source`` (keys, t, u, v, h, w) to ``name``: keys, p0, dhdt, accel, their errors, rmse, nobs, tspan and all x<i>_<c>, covariances as x<i>_<c + 1> * scale."""
+def robust_sql(name: str, source: str, keys: str, p: RateParams, n_unit: int = 3, *, n_sigma: str = "", residual_limit: str = "", min_points: str = "") -> str:
+    """``n_sigma``, ``residual_limit`` and ``min_points`` may name keys in place of the numbers of ``p``. CTEs from ``source`` (keys, t, u, v, h, w) to ``name``: keys, p0, dhdt, accel, their errors, rmse, nobs, tspan and all x<i>_<c>, covariances as x<i>_<c + 1> * scale."""
+    sigmas, furthest, least = n_sigma or p.n_sigma, residual_limit or p.residual_limit, min_points or p.min_points
     k, group = len(p.terms), f"WINDOW g AS (PARTITION BY {keys})"
     n_unit = min(n_unit, k)
     basis = ", ".join(f"{TERMS[t]} AS q{i}" for i, t in enumerate(p.terms))
     pos = {t: i for i, t in enumerate(p.terms)}
     rows = f"{name}r0"
-    parts = [f"{rows} AS MATERIALIZED (SELECT *, {basis} FROM (SELECT *, count(*) OVER g AS n0, max(t) OVER g - min(t) OVER g AS tspan FROM {source} {group}) WHERE n0 >= {p.min_points} AND tspan >= {p.min_span})"]
+    parts = [f"{rows} AS MATERIALIZED (SELECT *, {basis} FROM (SELECT *, count(*) OVER g AS n0, max(t) OVER g - min(t) OVER g AS tspan FROM {source} {group}) WHERE n0 >= {least} AND tspan >= {p.min_span})"]
     for r in range(1, p.rounds + 1):
         fit, last = f"{name}f{r}", f"{name}r{r}"
         parts += solved_sql(fit, rows if r == 1 else f"(SELECT * FROM {rows} WHERE NOT wild)", keys, k, n_unit if r == p.rounds else 0)
@@ -52,7 +53,7 @@ def robust_sql(name: str, source: str, keys: str, p: RateParams, n_unit: int = 3
         parts += [
             f"{last}a AS (SELECT o.*{drop}, h-({predicted}) AS r FROM {rows if r == 1 else f'(SELECT * FROM {rows} WHERE NOT wild)'} o JOIN {fit} f USING ({keys}))",
             f"{last}b AS (SELECT *, median(r) OVER g AS med FROM {last}a {group})",
-            f"{last} AS MATERIALIZED (SELECT *, mad >= 1E-10 AND (abs(r) > {p.n_sigma}*mad OR abs(r) > {p.residual_limit}) AS wild FROM (SELECT *, 1.4826E0*median(abs(r-med)) OVER g AS mad FROM {last}b {group}))",
+            f"{last} AS MATERIALIZED (SELECT *, mad >= 1E-10 AND (abs(r) > {sigmas}*mad OR abs(r) > {furthest}) AS wild FROM (SELECT *, 1.4826E0*median(abs(r-med)) OVER g AS mad FROM {last}b {group}))",
         ]
         rows = last
     coefficient = lambda t: f"f.x{pos[t]}_0" if t in pos else "NULL::DOUBLE"
@@ -62,6 +63,6 @@ def robust_sql(name: str, source: str, keys: str, p: RateParams, n_unit: int = 3
         f"{name} AS MATERIALIZED (SELECT {keys}, {coefficient('one')} AS p0, {coefficient('rate')} AS dhdt, CASE WHEN {ok} THEN {coefficient('accel')} END AS accel, {error('one')} AS p0_err, {error('rate')} AS dhdt_err, "
         f"CASE WHEN {ok} THEN {error('accel')} END AS accel_err, rmse, nobs, tspan, scale, {', '.join(f'f.x{i}_{c}' for i in range(k) for c in range(n_unit + 1))} FROM (SELECT {keys}, stddev_pop(r) AS rmse, "
         f"count(*) FILTER (NOT wild) AS nobs, count(DISTINCT floor(t+{p.t_ref}E0)) FILTER (NOT wild) AS years, any_value(tspan) AS tspan, sum(r*r) AS rr FROM {rows} GROUP BY {keys}) s JOIN {name}f{p.rounds} f USING ({keys}), "
-        f"LATERAL (SELECT sw/n*rr/greatest(n-{k}, 1) AS scale) WHERE nobs >= {p.min_points}" + (f" AND abs({coefficient('rate')}) <= {p.rate_limit})" if "rate" in pos else ")")
+        f"LATERAL (SELECT sw/n*rr/greatest(n-{k}, 1) AS scale) WHERE nobs >= {least}" + (f" AND abs({coefficient('rate')}) <= {p.rate_limit})" if "rate" in pos else ")")
     )
     return ", ".join(parts)

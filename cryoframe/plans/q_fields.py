@@ -105,19 +105,14 @@ def j07(spark, sf):
     return grids.along_flow_slope(g, SIZE).where(F.col("bed") < 0).select("cell_i", "cell_j", "flow_slope")
 
 
-LINE_SQL = """lv AS (SELECT "year", avg(x) AS vx0, avg(y) AS vy0, pc, 2000.0E0+(pc%3)*800 AS radius, pc%4<>0 AS matched FROM pts WHERE beam=1 AND pc%2=0 GROUP BY "year", pc),
+LINE_SQL = """lv AS (SELECT "year", avg(x) AS vx0, avg(y) AS vy0, pc, 2000.0E0+(pc%3)*800 AS radius, pc%4<>0 AS matched FROM pts GROUP BY "year", beam, pc),
  gc AS (SELECT cell_i, cell_j, (cell_i+0.5E0)*2500 AS x, (cell_j+0.5E0)*2500 AS y FROM gd),
  zn AS (SELECT cell_i, cell_j, "year", max(radius) AS radius, min(sqrt((x-vx0)*(x-vx0)+(y-vy0)*(y-vy0))) AS distance, CASE WHEN bool_or(matched) THEN 2 ELSE 3 END AS support FROM gc, lv WHERE (x-vx0)*(x-vx0)+(y-vy0)*(y-vy0)<=radius*radius GROUP BY 1,2,3)"""
 
 
-#: Lines of every beam and supplier.
-ALL_LINES_SQL = LINE_SQL.replace(' WHERE beam=1 AND pc%2=0 GROUP BY "year", pc)', ' GROUP BY "year", beam, pc)')
-
-
-def zones(spark, sf, whole=False):
-    p = points(spark, sf)
-    lines = p.groupBy("year", "beam", "pc") if whole else p.where((F.col("beam") == 1) & (F.col("pc") % 2 == 0)).groupBy("year", "pc")
-    lines = lines.agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+def zones(spark, sf):
+    """Around the lines of every beam and supplier."""
+    lines = points(spark, sf).groupBy("year", "beam", "pc").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     lines = lines.withColumn("radius", F.lit(2000.0) + (F.col("pc") % 3) * 800).withColumn("matched", F.col("pc") % 4 != 0)
     cells = grid(spark, sf).select("cell_i", "cell_j", ((F.col("cell_i") + 0.5) * SIZE).alias("x"), ((F.col("cell_j") + 0.5) * SIZE).alias("y"))
     return fronts.transition_zones(cells, lines, 3600.0)
@@ -130,26 +125,11 @@ def j09(spark, sf):
 
 @query("B07_space_time_state", with_pts('SELECT state, support, count(*) AS n, sum(tr) AS radius_sum FROM (SELECT CASE WHEN z.support IS NOT NULL THEN 2 WHEN e.hr IS NOT NULL THEN 0 WHEN mask_class=2 THEN 1 WHEN mask_class=3 THEN 3 ELSE 0 END AS state, CASE WHEN z.support IS NOT NULL THEN z.support WHEN e.hr IS NOT NULL THEN 4 WHEN mask_class IN (2,3) THEN 1 ELSE 0 END AS support, coalesce(z.radius, e.hr, 0) AS tr FROM pts LEFT JOIN zn z ON z.cell_i=floor(x/2500) AND z.cell_j=floor(y/2500) AND z."year"=pts."year" LEFT JOIN (SELECT cell_i, cell_j, max(radius) AS hr FROM zn GROUP BY 1,2) e ON e.cell_i=floor(x/2500) AND e.cell_j=floor(y/2500)) GROUP BY 1,2', GRID_SQL, LINE_SQL))
 def b07(spark, sf):
-    return states(spark, sf)
-
-
-def states(spark, sf, whole=False):
     p = points(spark, sf).withColumn("cell_i", spatial.cell("x", SIZE)).withColumn("cell_j", spatial.cell("y", SIZE)).select("cell_i", "cell_j", "year", "mask_class")
-    c = fronts.classify_state(p, cut(zones(spark, sf, whole)))
+    c = fronts.classify_state(p, cut(zones(spark, sf)))
     return c.groupBy("state", "support").agg(F.count(F.lit(1)).alias("n"), F.sum("transition_radius").alias("radius_sum"))
 
 
-@query("J09_transition_zones_all", with_pts('SELECT cell_i, cell_j, "year", radius, distance, support FROM zn', GRID_SQL, ALL_LINES_SQL), floats="distance", digits=4)
-def j09_all(spark, sf):
-    """Lines of every beam and supplier; J09 takes those of beam 1 and even suppliers."""
-    return zones(spark, sf, whole=True)
-
-
-@query("B07_space_time_state_all", with_pts('SELECT state, support, count(*) AS n, sum(tr) AS radius_sum FROM (SELECT CASE WHEN z.support IS NOT NULL THEN 2 WHEN e.hr IS NOT NULL THEN 0 WHEN mask_class=2 THEN 1 WHEN mask_class=3 THEN 3 ELSE 0 END AS state, CASE WHEN z.support IS NOT NULL THEN z.support WHEN e.hr IS NOT NULL THEN 4 WHEN mask_class IN (2,3) THEN 1 ELSE 0 END AS support, coalesce(z.radius, e.hr, 0) AS tr FROM pts LEFT JOIN zn z ON z.cell_i=floor(x/2500) AND z.cell_j=floor(y/2500) AND z."year"=pts."year" LEFT JOIN (SELECT cell_i, cell_j, max(radius) AS hr FROM zn GROUP BY 1,2) e ON e.cell_i=floor(x/2500) AND e.cell_j=floor(y/2500)) GROUP BY 1,2', GRID_SQL, ALL_LINES_SQL))
-def b07_all(spark, sf):
-    return states(spark, sf, whole=True)
-
-
 GATE_SQL = """gt AS (SELECT pc AS gate, min(x) AS x0, max(x) AS x1, avg(y) AS y0, avg(y)+5000 AS y1 FROM pts GROUP BY pc),
  gs AS (SELECT gate, x0+(k+0.5E0)/120*(x1-x0) AS px, y0+(k+0.5E0)/120*(y1-y0) AS py, sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS ln, -(y1-y0)/sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS nx, (x1-x0)/sqrt(pow(x1-x0,2)+pow(y1-y0,2)) AS ny FROM gt, (SELECT unnest(range(0,120)) AS k))"""
 

@@ -222,15 +222,9 @@ def i07(spark, sf):
     return trend.trend_table(series(spark, sf)).select("node_x", "node_y", "n_epochs", "p_value", "p_fdr", "significant", "trend")
 
 
-@query("I08_identifiability", with_pts("SELECT pc, n, n_years, pcv AS phase_coverage, pcv>=0.35E0 AS seasonal_ok, n_years>=5 AS accel_ok, CASE WHEN pcv<0.35E0 AND n_years<5 THEN 'phase coverage; years' WHEN pcv<0.35E0 THEN 'phase coverage' WHEN n_years<5 THEN 'years' ELSE '' END AS reason FROM (SELECT pc, count(*) AS n, count(DISTINCT floor(t_year)) AS n_years, 1-sqrt(pow(avg(cos(2*pi()*t_year)),2)+pow(avg(sin(2*pi()*t_year)),2)) AS pcv FROM pts WHERE \"month\" IN (6,7,8) OR pc%2=0 GROUP BY pc)"), floats="phase_coverage")
+@query("I08_identifiability", with_pts("SELECT pc, n, n_years, pcv AS phase_coverage, pcv>=0.35E0 AS seasonal_ok, n_years>=5 AS accel_ok, CASE WHEN pcv<0.35E0 AND n_years<5 THEN 'phase coverage; years' WHEN pcv<0.35E0 THEN 'phase coverage' WHEN n_years<5 THEN 'years' ELSE '' END AS reason FROM (SELECT pc, count(*) AS n, count(DISTINCT floor(t_year)) AS n_years, 1-sqrt(pow(avg(cos(2*pi()*t_year)),2)+pow(avg(sin(2*pi()*t_year)),2)) AS pcv FROM pts GROUP BY pc)"), floats="phase_coverage")
 def i08(spark, sf):
-    p = points(spark, sf).where(F.col("month").isin(6, 7, 8) | (F.col("pc") % 2 == 0))
-    return yearblocks.term_gate(yearblocks.phase_coverage(p, ["pc"]))
-
-
-@query("I08_identifiability_all", with_pts("SELECT pc, n, n_years, pcv AS phase_coverage, pcv>=0.35E0 AS seasonal_ok, n_years>=5 AS accel_ok, CASE WHEN pcv<0.35E0 AND n_years<5 THEN 'phase coverage; years' WHEN pcv<0.35E0 THEN 'phase coverage' WHEN n_years<5 THEN 'years' ELSE '' END AS reason FROM (SELECT pc, count(*) AS n, count(DISTINCT floor(t_year)) AS n_years, 1-sqrt(pow(avg(cos(2*pi()*t_year)),2)+pow(avg(sin(2*pi()*t_year)),2)) AS pcv FROM pts GROUP BY pc)"), floats="phase_coverage")
-def i08_all(spark, sf):
-    """All months of every supplier; I08 takes June to August of the odd ones, so that some fail the gate."""
+    """All months of every supplier."""
     return yearblocks.term_gate(yearblocks.phase_coverage(points(spark, sf), ["pc"]))
 
 

@@ -6,12 +6,14 @@ import math
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cryoframe.operators import experiments, mass, rates, robust, spatial
+from cryoframe.operators import experiments, mass, poisson, rates, robust, spatial
 from cryoframe.operators.blocks import line_fit, node_series
 from cryoframe.operators.skew import group_quantiles
-from cryoframe.plans.base import points, query, table, tile_nodes_sql, with_pts
+from cryoframe.plans.base import IDS, points, query, table, tile_nodes_sql, with_pts
+from cryoframe.plans.fit_sql import robust_sql
 from cryoframe.plans.q_predicates import node_stats
 from cryoframe.plans.q_sources import scratch, stored_points
 from cryoframe.plans.q_spatial import nodes
@@ -116,63 +118,142 @@ def d21(spark, sf):
 P = rates.RateParams(radius=15_000.0, t_ref=1998.5)
 
 
-@query("K01_parameter_grid", with_pts("SELECT name, (SELECT count(*) FROM pts) AS n_points FROM (VALUES ('baseline'),('window=11'),('window=41'),('mad_factor=3'),('mad_factor=9'),('n_sigma=2.0'),('n_sigma=4.0'),('residual_limit=3.0'),('residual_limit=10.0'),('min_points=15'),('min_points=60'),('radius=10000.0'),('radius=22000.0'),('space_time_filter=True')) v(name)"))
-def k01(spark, sf):
-    g = experiments.parameter_grid(experiments.STANDARD_BASELINE, experiments.STANDARD_CHANGES)
-    n = points(spark, sf).agg(F.count(F.lit(1)).alias("n_points"))
-    return spark.createDataFrame([(c["name"],) for c in g], "name string").crossJoin(F.broadcast(n))
+GRID = experiments.parameter_grid(experiments.STANDARD_BASELINE, experiments.STANDARD_CHANGES)
+NAMES_SQL = ", ".join(f"({k}, '{c['name']}')" for k, c in enumerate(GRID))
+DRAWS = 100
+
+
+def region_lattice(spark, sf):
+    """Nodes every 10 km with the region (a tile of 50 km) and a number of the node that no configuration changes."""
+    n = nodes(spark, sf, step=10_000.0)
+    return n.select("node_x", "node_y", (F.col("tile_i") * 100 + F.col("tile_j")).cast("int").alias("region"), ((F.col("node_x") - 5000) / 10_000 * 1000 + (F.col("node_y") - 5000) / 10_000).cast("bigint").alias("unit"))
+
+
+def filtered_points(spark, sf):
+    """Points with a bit for every distinct setting of the filters; a pass is a supplier's points in order of time."""
+    from pyspark.sql import Window
+
+    p = points(spark, sf).select(*IDS, "x", "y", "t_year", "h", "s_elv")
+    p = cut(p.withColumn("pos", F.row_number().over(Window.partitionBy("pc").orderBy("t_year", "pa", "pb", "pd")).cast("bigint") - 1))
+    return experiments.with_filters(p, GRID, ids=IDS, height="h", track="pc", position="pos", space_time=D01)
+
+
+def grid_fits(spark, sf):
+    p, bits = filtered_points(spark, sf)
+    lattice = region_lattice(spark, sf)
+    fits = experiments.run_grid(p, lattice, GRID, bits, P)
+    return cut(fits.select("node_x", "node_y", "config", "dhdt", "rmse", "nobs").join(F.broadcast(cut(lattice)), ["node_x", "node_y"]))
+
+
+def config_names(spark):
+    return F.broadcast(spark.createDataFrame([(k, c["name"]) for k, c in enumerate(GRID)], "config int, name string"))
+
+
+def grid_sql() -> list[str]:
+    """Filters, then the fit of each configuration, as one table per step."""
+    settings = list(dict.fromkeys(map(experiments.filter_settings, GRID)))
+    along = list(dict.fromkeys((w, f) for w, f, _ in settings))
+    frame = lambda half: f"(PARTITION BY pc ORDER BY t_year, pa, pb, pd ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    parts = ["tk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pc ORDER BY t_year, pa, pb, pd) AS rn, count(*) OVER (PARTITION BY pc) AS m FROM pts)"]
+    for k, (w, f) in enumerate(along):
+        half, wide = w // 2, w * f // 2
+        parts.append(
+            f"al{k} AS MATERIALIZED (SELECT * EXCLUDE (r, rn, m) FROM (SELECT *, greatest(1.4826E0*median(abs(r)) OVER {frame(wide)}, 0.1E0) AS mad FROM (SELECT *, h-median(h) OVER {frame(half)} AS r FROM tk)) "
+            f"WHERE NOT (rn>{half} AND m-rn>={half} AND abs(r)>5*mad))"
+        )
+    for k, (w, f, both) in enumerate(settings):
+        source = f"al{along.index((w, f))}"
+        if both:
+            st = D01_SQL
+            for name in ("p1", "m1", "k1", "p2", "m2", "st"):
+                st = st.replace(f"{name} AS (", f"{name}_{k} AS (").replace(f"FROM {name}", f"FROM {name}_{k}")
+            parts.append(st.replace("FROM pts", f"FROM (SELECT * EXCLUDE (mad) FROM {source})"))
+            source = f"st_{k}"
+        parts.append(f"kp{k} AS (SELECT * FROM {source})")
+    rules = [f"{k} AS config, {c['radius']}E0 AS rad, {c['n_sigma']}E0 AS ns, {c['residual_limit']}E0 AS rl, {c['min_points']} AS mp, x, y, t_year, h, s_elv FROM kp{settings.index(experiments.filter_settings(c))}" for k, c in enumerate(GRID)]
+    keys = "config, ns, rl, mp, node_x, node_y"
+    parts += [
+        f"pool AS MATERIALIZED (SELECT {' UNION ALL SELECT '.join(rules)})",
+        f"pw AS MATERIALIZED (SELECT {keys}, t_year-1998.5E0 AS t, (x-node_x)/rad AS u, (y-node_y)/rad AS v, h, 1/(s_elv*s_elv+1E-12) AS w FROM pool JOIN nodes ON (x-node_x)*(x-node_x)+(y-node_y)*(y-node_y) <= rad*rad)",
+        robust_sql("fit", "pw", keys, P, n_sigma="ns", residual_limit="rl", min_points="mp"),
+        "fits AS MATERIALIZED (SELECT config, node_x, node_y, dhdt, rmse, nobs, (floor(node_x/50000)*100+floor(node_y/50000))::INT AS region, ((node_x-5000)/10000*1000+(node_y-5000)/10000)::BIGINT AS unit FROM fit)",
+    ]
+    parts.append(f"nm AS (SELECT * FROM (VALUES {NAMES_SQL}) v(config, name))")
+    return parts
+
+
+def kept_sql() -> str:
+    settings = list(dict.fromkeys(map(experiments.filter_settings, GRID)))
+    each = " UNION ALL ".join(f"SELECT '{c['name']}' AS name, count(*) AS n_kept FROM kp{settings.index(experiments.filter_settings(c))}" for c in GRID)
+    return f"SELECT name, (SELECT count(*) FROM pts) AS n_points, n_kept, n_kept/(SELECT count(*) FROM pts) AS frac_retained FROM ({each})"
 
 
-def configured(spark, sf, n_sigma, min_points):
-    from dataclasses import replace
+FILTERS_SQL = [part for part in grid_sql() if part.split(" ")[0].rstrip("0123456789") in ("tk", "al", "p1_", "kp")]
 
-    p = replace(P, n_sigma=n_sigma, min_points=min_points)
-    return rates.node_rates(points(spark, sf), nodes(spark, sf, step=10_000.0).select("node_x", "node_y"), p)
+
+@query("K01_parameter_grid", with_pts(kept_sql(), *FILTERS_SQL), floats="frac_retained")
+def k01(spark, sf):
+    """Retention of every configuration: filters worked out once for each distinct setting."""
+    p, bits = filtered_points(spark, sf)
+    counts = p.agg(F.count(F.lit(1)).alias("n_points"), *[F.count_if(F.shiftright("kept", b) % 2 == 1).alias(f"k{b}") for b in sorted(set(bits))])
+    each = F.explode(F.array(*[F.struct(F.lit(c["name"]).alias("name"), F.col(f"k{b}").alias("n_kept")) for c, b in zip(GRID, bits, strict=True)])).alias("c")
+    return counts.select("n_points", each).select("c.name", "n_points", "c.n_kept", (F.col("c.n_kept") / F.col("n_points")).alias("frac_retained"))
 
 
-@query("K02_single_configuration")
+@query(
+    "K02_single_configuration",
+    with_pts("SELECT name, region, n_nodes, dhdt_median, dhdt_mad, rmse_median, nobs_median FROM (SELECT config, region, count(*) AS n_nodes, any_value(md) AS dhdt_median, 1.4826E0*median(abs(dhdt-md)) AS dhdt_mad, median(rmse) AS rmse_median, median(nobs) AS nobs_median FROM (SELECT *, median(dhdt) OVER (PARTITION BY config, region) AS md FROM fits) GROUP BY 1,2) JOIN nm USING (config)", tile_nodes_sql(50000, 10000), *grid_sql()),
+    floats="dhdt_median dhdt_mad rmse_median nobs_median", digits=5,
+)
 def k02(spark, sf):
-    """Retention and medians of one configuration."""
-    kept = cut(robust.filter_space_time(points(spark, sf).select("x", "y", "t_year", "h", "s_elv"), **D01))
-    n0, n1 = points(spark, sf).agg(F.count(F.lit(1)).alias("n_before")), kept.agg(F.count(F.lit(1)).alias("n_after"))
-    r = cut(rates.node_rates(kept, nodes(spark, sf, step=10_000.0).select("node_x", "node_y"), P))
-    out = group_quantiles(r, [], "dhdt", {"dhdt_median": 0.5}).withColumnRenamed("n", "n_nodes")
-    return out.crossJoin(F.broadcast(group_quantiles(r, [], "rmse", {"rmse_median": 0.5}).drop("n"))).crossJoin(F.broadcast(n0)).crossJoin(F.broadcast(n1))
+    """Every configuration in every region, from one pass over the points."""
+    return experiments.configuration_statistics(grid_fits(spark, sf), ["config", "region"]).join(config_names(spark), "config").drop("config")
+
+
+def modular_counts(unit, rep):
+    """Poisson counts by whole numbers that SQL can follow."""
+    return poisson.counts_of((unit[:, None] * 7919 + rep[None, :] * 104729 + unit[:, None] * rep[None, :]) % 10007 / 10007)
+
+
+COUNT_SQL = "(" + "+".join(f"(((unit*7919+rep*104729+unit*rep)%10007)/10007.0E0>={x!r})::INT" for x in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]).tolist()) + ")"
+BOOTSTRAP_SQL = [
+    "pr AS MATERIALIZED (SELECT t.config, t.region, t.unit, t.dhdt-b.dhdt AS d, t.rmse-b.rmse AS dr FROM fits t JOIN fits b USING (node_x, node_y) WHERE t.config<>0 AND b.config=0)",
+    f"wt AS (SELECT config, region, rep, d, k FROM (SELECT *, {COUNT_SQL} AS k FROM pr, (SELECT unnest(range(0,{DRAWS})) AS rep)), LATERAL (SELECT unnest(range(0,k)) AS copy))",
+    "ci AS (SELECT config, region, quantile_cont(m,0.025) AS ci_lo, quantile_cont(m,0.975) AS ci_hi, count(*) AS draws FROM (SELECT config, region, rep, median(d) AS m FROM wt GROUP BY 1,2,3) GROUP BY 1,2)",
+    "ct AS (SELECT config, region, count(*) AS n_test FROM fits WHERE config<>0 GROUP BY 1,2)", "cb AS (SELECT region, count(*) AS n_base FROM fits WHERE config=0 GROUP BY 1)",
+    "sh AS (SELECT config, region, count(*) AS n_common, any_value(md) AS median_shift, 1.4826E0*median(abs(d-md)) AS mad_shift, quantile_cont(abs(d),0.95) AS p95_abs, median(dr) AS residual_shift FROM (SELECT *, median(d) OVER (PARTITION BY config, region) AS md FROM pr) GROUP BY 1,2)",
+]
 
 
-@query("K03_paired_comparison")
+@query(
+    "K03_paired_comparison",
+    with_pts("SELECT name, region, n_base, n_test, n_common, median_shift, mad_shift, p95_abs, residual_shift, (n_test-n_base)/n_base AS coverage_gain, ci_lo, ci_hi, draws, NOT (ci_lo<=1E-9 AND ci_hi>=-1E-9) AS significant FROM sh JOIN ct USING (config, region) JOIN cb USING (region) JOIN ci USING (config, region) JOIN nm USING (config)", tile_nodes_sql(50000, 10000), *grid_sql(), *BOOTSTRAP_SQL),
+    floats="median_shift mad_shift p95_abs residual_shift coverage_gain ci_lo ci_hi", digits=5,
+)
 def k03(spark, sf):
-    a, b = cut(configured(spark, sf, 3.0, 30)), cut(configured(spark, sf, 2.0, 30))
-    return experiments.compare_to_baseline(a, b, keys=["node_x", "node_y"])
+    """Thirteen changes against the baseline, region by region, with the interval of a Poisson bootstrap."""
+    shifts = experiments.paired_shifts(grid_fits(spark, sf), ["region"], keys=["node_x", "node_y"], unit="unit", draws=DRAWS, draw=modular_counts)
+    return shifts.join(config_names(spark), "config").drop("config")
 
 
 SEAS_CMP_SQL = """cm AS (SELECT cell_x, cell_y, a.d AS a, b.d AS b, a.r AS ra, b.r AS rb FROM (SELECT floor(x/5000)::BIGINT AS cell_x, floor(y/5000)::BIGINT AS cell_y, avg(h) AS d, stddev_samp(h) AS r FROM pts WHERE beam<=4 GROUP BY 1,2) a JOIN (SELECT floor(x/5000)::BIGINT AS cell_x, floor(y/5000)::BIGINT AS cell_y, avg(h) AS d, stddev_samp(h) AS r FROM pts WHERE beam<=6 GROUP BY 1,2) b USING (cell_x, cell_y)),
  nn AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT floor(x/5000), floor(y/5000) FROM pts WHERE beam<=4)) AS n_base, (SELECT count(*) FROM (SELECT DISTINCT floor(x/5000), floor(y/5000) FROM pts WHERE beam<=6)) AS n_test)"""
 
 
-def beams_cells(spark, sf, top):
-    return cells_of(points(spark, sf).where(F.col("beam") <= top))
-
-
 def cells_of(p):
     return p.groupBy(spatial.cell("x", 5000).alias("cell_x"), spatial.cell("y", 5000).alias("cell_y")).agg(F.avg("h").alias("dhdt"), F.stddev_samp("h").alias("rmse"))
 
 
-@query("K04_acceptance", with_pts("SELECT n_base, n_test, n_common, median_shift, mad_shift, p95_abs, residual_shift, (n_test-n_base)/n_base AS coverage_gain, abs(median_shift)<=0.05E0 AS shift_ok, residual_shift<=0.1E0 AS residual_ok, (n_test-n_base)/n_base>=0.02E0 AS coverage_ok, abs(median_shift)<=0.05E0 AND residual_shift<=0.1E0 AND (n_test-n_base)/n_base>=0.02E0 AS accepted FROM nn, (SELECT count(*) AS n_common, median(b-a) AS median_shift, 1.4826E0*(SELECT median(abs(b-a-(SELECT median(b-a) FROM cm))) FROM cm) AS mad_shift, quantile_cont(abs(b-a),0.95) AS p95_abs, median(rb-ra) AS residual_shift FROM cm)", SEAS_CMP_SQL), floats="median_shift mad_shift p95_abs residual_shift coverage_gain")
-def k04(spark, sf):
-    return experiments.acceptance(experiments.compare_to_baseline(beams_cells(spark, sf, 4), beams_cells(spark, sf, 6), keys=["cell_x", "cell_y"]))
-
-
 #: All beams beside those of the lower half of the range.
 ALL_CMP_SQL = SEAS_CMP_SQL.replace("beam<=4", "2*beam<=(SELECT min(beam)+max(beam) FROM pts)").replace(" WHERE beam<=6", "")
 
 
-@query("K04_acceptance_all", with_pts("SELECT n_base, n_test, n_common, median_shift, mad_shift, p95_abs, residual_shift, (n_test-n_base)/n_base AS coverage_gain, abs(median_shift)<=0.05E0 AS shift_ok, residual_shift<=0.1E0 AS residual_ok, (n_test-n_base)/n_base>=0.02E0 AS coverage_ok, abs(median_shift)<=0.05E0 AND residual_shift<=0.1E0 AND (n_test-n_base)/n_base>=0.02E0 AS accepted FROM nn, (SELECT count(*) AS n_common, median(b-a) AS median_shift, 1.4826E0*(SELECT median(abs(b-a-(SELECT median(b-a) FROM cm))) FROM cm) AS mad_shift, quantile_cont(abs(b-a),0.95) AS p95_abs, median(rb-ra) AS residual_shift FROM cm)", ALL_CMP_SQL), floats="median_shift mad_shift p95_abs residual_shift coverage_gain")
-def k04_all(spark, sf):
-    """All beams as the test side, those of the lower half of the range as the baseline; K04 leaves beam 7 out."""
+@query("K04_acceptance", with_pts("SELECT n_base, n_test, n_common, median_shift, mad_shift, p95_abs, residual_shift, (n_test-n_base)/n_base AS coverage_gain, abs(median_shift)<=0.05E0 AS shift_ok, residual_shift<=0.1E0 AS residual_ok, (n_test-n_base)/n_base>=0.02E0 AS coverage_ok, abs(median_shift)<=0.05E0 AND residual_shift<=0.1E0 AND (n_test-n_base)/n_base>=0.02E0 AS accepted FROM nn, (SELECT count(*) AS n_common, median(b-a) AS median_shift, 1.4826E0*(SELECT median(abs(b-a-(SELECT median(b-a) FROM cm))) FROM cm) AS mad_shift, quantile_cont(abs(b-a),0.95) AS p95_abs, median(rb-ra) AS residual_shift FROM cm)", ALL_CMP_SQL), floats="median_shift mad_shift p95_abs residual_shift coverage_gain")
+def k04(spark, sf):
+    """All beams as the test side, those of the lower half of the range as the baseline."""
     p = points(spark, sf)
     ends = p.agg((F.min("beam") + F.max("beam")).alias("ends"))
-    lower = p.crossJoin(ends).where(2 * F.col("beam") <= F.col("ends"))
+    lower = p.crossJoin(F.broadcast(ends)).where(2 * F.col("beam") <= F.col("ends"))
     return experiments.acceptance(experiments.compare_to_baseline(cells_of(lower), cells_of(p), keys=["cell_x", "cell_y"]))
 
 

@@ -256,23 +256,12 @@ def d41(spark, sf):
                  F.regr_slope("a", "b").alias("slope"), F.regr_intercept("a", "b").alias("intercept"))
 
 
-@query("D42_flexure_width", with_pts("SELECT mask_class AS glacier, count(*) AS n, median(d) AS p50, quantile_cont(d,0.9) AS p90, quantile_cont(d,0.95) AS p95 FROM (SELECT a.mask_class, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS d FROM pts a JOIN pts b ON a.mask_class=b.mask_class AND ((a.beam=1 AND b.beam=2) OR (a.beam=2 AND b.beam=1)) AND abs(a.x-b.x)<=3000 AND abs(a.y-b.y)<=3000 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=9000000 GROUP BY a.mask_class, a.pa, a.pb, a.pc, a.pd) GROUP BY 1"), floats="p50 p90 p95", digits=4)
+@query("D42_flexure_width", with_pts("SELECT mask_class AS glacier, count(*) AS n, median(d) AS p50, quantile_cont(d,0.9) AS p90, quantile_cont(d,0.95) AS p95 FROM (SELECT a.mask_class, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS d FROM pts a JOIN pts b ON a.mask_class=b.mask_class AND a.beam<>b.beam AND abs(a.x-b.x)<=3000 AND abs(a.y-b.y)<=3000 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=9000000 GROUP BY a.mask_class, a.pa, a.pb, a.pc, a.pd) GROUP BY 1"), floats="p50 p90 p95", digits=4)
 def d42(spark, sf):
-    p = points(spark, sf).select(*IDS, "x", "y", "beam", F.col("mask_class").alias("glacier"))
-    out = None
-    for a, b in ((1, 2), (2, 1)):
-        src = p.where(F.col("beam") == b).select("glacier", *[F.col(c).alias(f"s_{c}") for c in IDS], F.col("x").alias("sx"), F.col("y").alias("sy"))
-        near = spatial.nearest_join(p.where(F.col("beam") == a), src, target_id=IDS, source_id=[f"s_{c}" for c in IDS], by=["glacier"], base=1000.0, max_distance=3000.0).select("glacier", "dist")
-        out = near if out is None else out.unionByName(near)
-    return group_quantiles(out, ["glacier"], "dist", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
-
-
-@query("D42_flexure_width_all", with_pts("SELECT mask_class AS glacier, count(*) AS n, median(d) AS p50, quantile_cont(d,0.9) AS p90, quantile_cont(d,0.95) AS p95 FROM (SELECT a.mask_class, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS d FROM pts a JOIN pts b ON a.mask_class=b.mask_class AND a.beam<>b.beam AND abs(a.x-b.x)<=3000 AND abs(a.y-b.y)<=3000 AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)<=9000000 GROUP BY a.mask_class, a.pa, a.pb, a.pc, a.pd) GROUP BY 1"), floats="p50 p90 p95", digits=4)
-def d42_all(spark, sf):
-    """Every beam against all others; D42 takes beams 1 and 2."""
+    """Every beam against all others."""
     p = points(spark, sf).select(*IDS, "x", "y", "beam", F.col("mask_class").alias("glacier"))
     beams = p.agg(F.collect_set("beam").alias("beams"))
-    src = p.crossJoin(beams).select("glacier", F.explode(F.array_except("beams", F.array("beam"))).alias("beam"), *[F.col(c).alias(f"s_{c}") for c in IDS], F.col("x").alias("sx"), F.col("y").alias("sy"))
+    src = p.crossJoin(F.broadcast(beams)).select("glacier", F.explode(F.array_except("beams", F.array("beam"))).alias("beam"), *[F.col(c).alias(f"s_{c}") for c in IDS], F.col("x").alias("sx"), F.col("y").alias("sy"))
     near = spatial.nearest_join(p, src, target_id=IDS, source_id=[f"s_{c}" for c in IDS], by=["glacier", "beam"], base=1000.0, max_distance=3000.0)
     return group_quantiles(near.select("glacier", "dist"), ["glacier"], "dist", {"p50": 0.5, "p90": 0.9, "p95": 0.95})
 
