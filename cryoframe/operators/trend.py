@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cryoframe.operators.ranks import fdr, kendall_exact_table, normal_p
+from cryoframe.session import cut
 
 
 def _pairs(series: str, same: str | None = None) -> Column:
@@ -151,11 +152,13 @@ def trend_table(
         raise ValueError(f"unknown variant {variant!r}")
     if variant == "seasonal" and month not in series.columns:
         raise ValueError("the seasonal variant needs a month column")
+    series = cut(series)  # one row a node and period, read by every part of the test
     enough = series.groupBy(*keys).agg(F.count_distinct(time).alias("_e")).where(F.col("_e") >= min_epochs).select(*keys)
     held = series.join(enough, list(keys), "left_semi")
     fn = seasonal_mann_kendall_sen if variant == "seasonal" else mann_kendall_sen
     extra = {"month": month} if variant == "seasonal" else {}
     tested = fn(held, keys, time=time, value=value, alpha=alpha, **extra).where(F.col("trend") != "insufficient").withColumnRenamed("n", "n_epochs")
+    tested = cut(tested)
     if not correct:
         return tested.withColumn("p_fdr", F.col("p_value")).withColumn("significant", F.col("p_value") <= alpha)
     judged = fdr(tested, "p_value", alpha=alpha)

@@ -548,6 +548,21 @@ def i32(spark, sf):
     return interpolate.idw_search(cut(folded_cells(spark, sf)), [4, 8, 16], [1.0, 2.0], value="v", ids=["ci", "cj"], n_folds=5, base=2500.0)
 
 
+@query(
+    "I32_idw_search_buffered",
+    with_pts(
+        """SELECT k, p AS power, count(*) AS n, count(*)/(SELECT count(*) FROM fc) AS coverage_fraction, sqrt(avg((pred-v)*(pred-v))) AS rmse, avg(abs(pred-v)) AS mae, avg(pred-v) AS bias, median(near) AS median_nearest FROM (SELECT k, p, ci, cj, any_value(tv) AS v, sum(w*sv)/sum(w) AS pred, min(d) AS near, count(*) AS c FROM (SELECT kk.k, pp.p, nb.*, 1/pow(greatest(d,1.0E0),pp.p) AS w FROM
+          (SELECT t.ci, t.cj, t.v AS tv, s.v AS sv, sqrt((t.cx-s.cx)*(t.cx-s.cx)+(t.cy-s.cy)*(t.cy-s.cy)) AS d, row_number() OVER (PARTITION BY t.ci, t.cj ORDER BY (t.cx-s.cx)*(t.cx-s.cx)+(t.cy-s.cy)*(t.cy-s.cy), s.ci, s.cj) AS rk FROM fc t JOIN tr s ON t.fold=s.held) nb, (VALUES (4),(8),(16)) kk(k), (VALUES (1.0E0),(2.0E0)) pp(p) WHERE rk<=kk.k) GROUP BY k, p, ci, cj) WHERE c=k AND near<=25000 GROUP BY 1,2""",
+        *FOLDED_CELLS_SQL,
+        "tr AS MATERIALIZED (SELECT s.*, h AS held FROM fc s, (SELECT unnest(range(0,5))::INT AS h) WHERE s.fold<>h AND NOT EXISTS (SELECT 1 FROM fc t WHERE t.fold=h AND (t.cx-s.cx)*(t.cx-s.cx)+(t.cy-s.cy)*(t.cy-s.cy)<64000000))",
+    ),
+    floats="coverage_fraction rmse mae bias median_nearest", digits=7,
+)
+def i32_buffered(spark, sf):
+    cells = cut(folded_cells(spark, sf))
+    return interpolate.idw_search_buffered(cells, [4, 8, 16], [1.0, 2.0], value="v", ids=["ci", "cj"], n_folds=5, buffer_m=8000.0, max_support=25_000.0, base=2500.0)
+
+
 def shelf_cells(spark, sf):
     return centroids(spark, sf).select("ci", "cj", F.col("cx").alias("x"), F.col("cy").alias("y"), "v", F.when(F.col("ci") + F.col("cj") < 3, "tiny").when(F.col("ci") < 8, "west").otherwise("east").alias("shelf"))
 

@@ -45,7 +45,7 @@ MASS_FLOATS = "dhdt_mean sigma_bar area_km2 dvdt_m3 dmdt_gt sle_mm sigma_gt_inde
 @query("Z01_points_to_mass", with_pts("SELECT * REPLACE (dvdt_m3/1E9 AS dvdt_m3) FROM (" + mass_sql("rv", 5000.0, 34100.0) + ")", D01_SQL, tile_nodes_sql(50000, 5000, "st"), SER2_SQL), floats=MASS_FLOATS, digits=5)
 def z01(spark, sf):
     """Points, space-time filter, node-year planes, node rates, mass: native expressions throughout."""
-    kept = robust.filter_space_time(points(spark, sf).select("x", "y", "t_year", "year", "h"), **D01)
+    kept = cut(robust.filter_space_time(points(spark, sf).select("x", "y", "t_year", "year", "h"), checkpoint=True, **D01))
     grid = spatial.lattice(kept, 50_000, 5_000)
     pairs = spatial.radius_join(kept.select("x", "y", "h", "year"), grid.select("node_x", "node_y"), 15_000.0)
     rate = line_fit(node_series(pairs, radius=15_000.0), ["node_x", "node_y"], "h_node", "year")

@@ -99,8 +99,8 @@ CROSS_SQL = """dirs AS (SELECT track_id, arg_max(y, (t_year,pa,pb,pd)) > arg_min
    s1.beam AS beam1, s2.beam AS beam2, s1.track1, s1.track2, s1.n AS n1, s2.n AS n2 FROM fs s1 JOIN fs s2 USING (track1, track2, seg1, seg2) WHERE s1.side=1 AND s2.side=2)"""
 
 
-def crossing_table(spark, sf, **kw):
-    return crossings.find_crossings(tracks(spark, sf), ties=["pa", "pb", "pd"], position="place", **kw)
+def crossing_table(spark, sf, rows=None, **kw):
+    return crossings.find_crossings(tracks(spark, sf) if rows is None else rows, ties=["pa", "pb", "pd"], position="place", **kw)
 
 
 def crossing_sql(subsample: int, start: int) -> str:

@@ -337,10 +337,10 @@ D52_SQL = with_pts(
 @query("D52_track_sensitivity", D52_SQL, floats="median mad", digits=4)
 def d52(spark, sf):
     """Crossings of all tracks again for each step of the vertices and each first vertex."""
-    out = None
+    out, rows = None, cut(track_points(spark, sf))
     for sub in STEPS:
         for start in STARTS:
-            x = cut(crossing_table(spark, sf, subsample=sub, start=start).select("dhdt"))
+            x = cut(crossing_table(spark, sf, rows, subsample=sub, start=start).select("dhdt"))
             n = x.agg(F.count(F.lit(1)).alias("n_xovers"))
             s = n.crossJoin(F.broadcast(group_median_mad(x.where("dhdt is not null"), [], "dhdt", med="median", mad="mad").withColumnRenamed("n", "n_valid")))  # one row each
             s = s.withColumn("subsample", F.lit(sub)).withColumn("seed", F.lit(start))
