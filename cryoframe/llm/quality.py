@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cryoframe.llm.common import claim, id_type, ids_and_texts, utf8
-from cryoframe.llm.words import GROUP, _power_tables, grouped, mix
+from cryoframe.llm.words import _power_tables, grouped, mix
 from cryoframe.session import cut, ship
 
 #: Bits of a feature's number: the model is 2^20 weights at any size of the corpus.
 BITS = 20
 SIZE = 1 << BITS
+#: Texts are handled in groups of about so many bytes, and long ones in stretches of that size.
+GROUP = 1 << 18
 #: About so many labelled documents are learned from, picked by a hash of their doc_id; the first parameter of ``train``.
 TRAIN_ROWS = 40_000
 #: Learners beside each other, and rounds after which their states are averaged. Fixed, so that a model does not depend on the cluster.
@@ -90,7 +92,7 @@ def _stretches(text: bytes) -> Iterator[tuple[bytes, int]]:
 
 def features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(number of the first text, text, feature, count) of neighbouring texts together; features ascend within a text."""
-    for first, some in grouped(texts):
+    for first, some in grouped(texts, GROUP):
         if len(some) == 1 and len(some[0]) > GROUP:
             counts = np.zeros(SIZE, np.int64)
             for part, context in _stretches(some[0]):
@@ -226,7 +228,7 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
     A score depends on the text alone: null and empty texts get that of the constant, equal texts equal scores, repeated
     rows stay rows. A label of a doc_id that is null or not in ``docs`` teaches nothing. Without labels all scores are
-    0.5. An empty table gives an empty report. A long text is read in stretches, a word of over 1 MB counts as several.
+    0.5. An empty table gives an empty report. A long text is read in stretches, a word of over 256 KB counts as several.
     """
     ship(docs.sparkSession)
     model = train(docs, labels, ~held_out(F.col("doc_id")))
