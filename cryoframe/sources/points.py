@@ -118,9 +118,10 @@ def positional_flags(points: DataFrame, flags: DataFrame, keep: Column, *, file:
     )
 
 
-def listed(spark: SparkSession, path: str) -> DataFrame:
-    """file of every Parquet file below ``path``: a listing only, no content is read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+def listed(spark: SparkSession, path: str, *, with_path: bool = False) -> DataFrame:
+    """file (and path) of every Parquet file below ``path``: a listing only, no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), *["path"] * with_path)
 
 
 def _granules(spark: SparkSession, path: str, schema, skip_unreadable: bool) -> DataFrame:
@@ -145,15 +146,48 @@ def consolidate(
     return pts
 
 
+def footers(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path, footer_rows, error of Parquet files, read in tasks: a file that is no Parquet has an error in place of a row count."""
+
+    def read(batches):
+        import io
+
+        import pandas as pd
+        import pyarrow.parquet as pq
+
+        for pdf in batches:
+            rows, errors = [], []
+            for content in pdf["content"]:
+                try:
+                    rows.append(pq.ParquetFile(io.BytesIO(content)).metadata.num_rows)
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001 - whatever is wrong with the file is what is asked for
+                    rows.append(None)
+                    errors.append(f"{type(e).__name__}: {str(e)[:200]}")
+            yield pd.DataFrame({"path": pdf["path"], "footer_rows": pd.array(rows, dtype="Int64"), "error": errors})
+
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(read, "path string, footer_rows bigint, error string")
+
+
 def granule_audit(spark: SparkSession, path: str, *, flags_path: str | None = None) -> DataFrame:
-    """file, n_rows, n_flags, status of every file listed: ``no rows`` (empty or unreadable), ``no flags``, ``flag rows differ``, ``ok``."""
+    """file, n_rows, n_flags, status, error of every file listed: ``unreadable``, ``empty``, ``no flags``, ``flag rows differ``, ``ok``.
+
+    Rows are counted by reading. Only files that give none are opened once more, to tell one that holds nothing from one
+    that cannot be read; their names are part of the listing that the driver holds anyway.
+    """
     count = lambda d, c: d.groupBy("file").agg(F.count(F.lit(1)).alias(c))
-    out = listed(spark, path).join(count(_granules(spark, path, POINTS, True), "n_rows"), "file", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    out = listed(spark, path, with_path=True).join(count(_granules(spark, path, POINTS, True), "n_rows"), "file", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    without = [r["path"] for r in out.where(F.col("n_rows") == 0).select("path").collect()]
+    if without:
+        out = out.join(footers(spark, without), "path", "left")
+    else:
+        out = out.withColumn("footer_rows", F.lit(None).cast("bigint")).withColumn("error", F.lit(None).cast("string"))
+    state = F.when((F.col("n_rows") == 0) & (F.col("footer_rows") == 0), "empty").when(F.col("n_rows") == 0, "unreadable")
     if flags_path is None:
-        return out.withColumn("n_flags", F.lit(None).cast("bigint")).withColumn("status", F.when(F.col("n_rows") == 0, "no rows").otherwise("ok"))
+        return out.select("file", "n_rows", F.lit(None).cast("bigint").alias("n_flags"), state.otherwise("ok").alias("status"), "error")
     flags = count(_granules(spark, flags_path, None, True), "n_flags")
-    status = F.when(F.col("n_rows") == 0, "no rows").when(F.col("n_flags").isNull(), "no flags").when(F.col("n_flags") != F.col("n_rows"), "flag rows differ").otherwise("ok")
-    return out.join(flags, "file", "left").withColumn("status", status)
+    state = state.when(F.col("n_flags").isNull(), "no flags").when(F.col("n_flags") != F.col("n_rows"), "flag rows differ").otherwise("ok")
+    return out.join(flags, "file", "left").select("file", "n_rows", "n_flags", state.alias("status"), "error")
 
 
 def exclusion_audit(rows: DataFrame, kept: Column, *, file: str = "file") -> DataFrame:

@@ -49,8 +49,11 @@ def test_consolidation_pairs_flags_only_when_counts_match(spark, tmp):
     with pytest.raises(Exception, match="bad.parquet"):
         points.consolidate(spark, f"{tmp}/pts").count()
     assert points.consolidate(spark, f"{tmp}/pts", skip_unreadable=True).count() == 16
-    audit = {r["file"]: (r.n_rows, r.status) for r in points.granule_audit(spark, f"{tmp}/pts", flags_path=f"{tmp}/flags").collect()}
-    assert audit == {"g1.parquet": (5, "ok"), "g2.parquet": (7, "flag rows differ"), "g3.parquet": (4, "no flags"), "bad.parquet": (0, "no rows")}
+    pd.DataFrame(stored(1)).head(0).astype({"beam": "int8", **{c: "float32" for c in ("h_elv", "s_elv", "tide_ocean", "tide_equilibrium", "dac", "geoid")}}).to_parquet(f"{tmp}/pts/g4.parquet")
+    rows = points.granule_audit(spark, f"{tmp}/pts", flags_path=f"{tmp}/flags").collect()
+    audit = {r["file"]: (r.n_rows, r.status) for r in rows}
+    assert audit == {"g1.parquet": (5, "ok"), "g2.parquet": (7, "flag rows differ"), "g3.parquet": (4, "no flags"), "g4.parquet": (0, "empty"), "bad.parquet": (0, "unreadable")}
+    assert [r.file for r in rows if r.error] == ["bad.parquet"]
 
 
 def test_corrections_gate_and_refuse(spark):
