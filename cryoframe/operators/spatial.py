@@ -305,7 +305,7 @@ def sample_bilinear(
     placed = points.withColumn("_u", u).withColumn("_v", v).withColumn("_i", i.cast("bigint")).withColumn("_j", F.floor(F.col("_v")).cast("bigint"))
     fu, fv = F.col("_u") - F.floor("_u"), F.col("_v") - F.floor("_v")
     weights = {"_f00": (1 - fu) * (1 - fv), "_f10": fu * (1 - fv), "_f01": (1 - fu) * fv, "_f11": fu * fv}
-    total = sum((F.when(w > 0, F.col(f) * w).otherwise(0.0) for f, w in weights.items()), F.lit(0.0))
+    total = sum((F.when(w == 0, 0.0).otherwise(F.col(f) * w) for f, w in weights.items()), F.lit(0.0))
     looked = placed.join(stencils(field, value, cells=cells, by=by, wrap_i=wrap_i), [*by, "_i", "_j"], "left")
     return looked.select(*[F.col(c) for c in points.columns if c != out], total.alias(out))
 

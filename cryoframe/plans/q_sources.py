@@ -247,7 +247,11 @@ MOORING_SQL = """raw AS (SELECT date_trunc('minute', ts)::TIMESTAMP AS tm, CASE
     floats="u_cm_s v_cm_s temperature_c conductivity_ms_cm speed_cm_s direction_deg salinity freezing_c thermal_driving heat_proxy",
 )
 def a16(spark, sf):
-    d = fields.clean_mooring(mooring_rows(spark, sf))
+    """Read from tab-separated files that Spark has written from the events."""
+    path = scratch(spark, "mooring")
+    titles = {"time": "Timestamp (UTC)", "u_cm_s": "Eastward velocity", "v_cm_s": "Northward velocity", "temperature_c": "Temperature", "conductivity_ms_cm": "Conductivity"}
+    mooring_rows(spark, sf).withColumnsRenamed(titles).write.option("sep", "\t").option("header", "true").csv(path)
+    d = fields.clean_mooring(fields.read_mooring(spark, path))
     return d.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 

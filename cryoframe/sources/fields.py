@@ -58,6 +58,7 @@ def mosaic(tiles: DataFrame, keys: Sequence[str], order: str, values: Sequence[s
 
 
 # Header prefixes of the mooring table and the names they get.
+#: How the names of the columns begin.
 MOORING_HEADERS = {
     "timestamp": "time", "eastward": "u_cm_s", "northward": "v_cm_s", "temperature": "temperature_c", "conductivity": "conductivity_ms_cm",
 }
@@ -66,15 +67,28 @@ MOORING_PRESSURE_DBAR = 521.3
 
 
 def read_mooring(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated mooring file, every column as text, named by header prefix; the unit row is skipped later
-    because its timestamp does not parse."""
-    raw = spark.read.option("sep", "\t").option("header", "true").csv(path)
-    picks = []
-    for c in raw.columns:
-        for start, name in MOORING_HEADERS.items():
-            if c.strip().lower().startswith(start):
-                picks.append(F.col(f"`{c}`").alias(name))
-    return raw.select(*picks)
+    """Records of tab-separated mooring files, every value as text, in columns named by header prefix, with file and rejected.
+
+    Each file has a header of its own, the line whose first field is the timestamp's, so columns may stand in any order
+    and be more than are needed. A record whose number of fields is not its header's is kept with nulls and stands whole
+    in ``rejected``; the row of units stays, as its timestamp does not parse. A file without a header, or whose header
+    lacks a column, is an error.
+    """
+    lines = spark.read.text(path).where("value <> ''").select(F.col("_metadata.file_path").alias("file"), F.split("value", "\t").alias("fields"), "value")
+    is_header = F.startswith(F.lower(F.trim(F.get("fields", F.lit(0)))), F.lit(next(iter(MOORING_HEADERS))))
+    headers = lines.where(is_header).groupBy("file").agg(F.min("fields").alias("header"))
+    rows = lines.where(~is_header).join(headers, "file", "left")
+    place = lambda start: F.array_position(F.transform("header", lambda h: F.startswith(F.lower(F.trim(h)), F.lit(start))), F.lit(True)).cast("int")
+    lacking = lambda start: F.raise_error(F.concat(F.lit(f"no column {start!r} in "), F.col("file"))).cast("string")
+    whole = F.size("fields") == F.size("header")
+    picks = [F.when(F.coalesce(place(start), F.lit(0)) == 0, lacking(start)).when(whole, F.trim(F.get("fields", place(start) - 1))).alias(name) for start, name in MOORING_HEADERS.items()]
+    return rows.select("file", *picks, F.when(~whole, F.col("value")).alias("rejected"))
+
+
+def mooring_audit(records: DataFrame) -> DataFrame:
+    """file, n_records, n_rejected, n_undated of rows from :func:`read_mooring`."""
+    undated = F.col("rejected").isNull() & F.expr("try_cast(time as timestamp)").isNull()
+    return records.groupBy("file").agg(F.count(F.lit(1)).alias("n_records"), F.count("rejected").alias("n_rejected"), F.count_if(undated).alias("n_undated"))
 
 
 def clean_mooring(

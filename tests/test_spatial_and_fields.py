@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cryoframe.operators import flow, fronts, grids, interpolate, spatial
+from cryoframe.sources import fields
 
 
 @pytest.fixture(scope="module")
@@ -167,3 +168,30 @@ def test_nearest_search_stays_linear_in_density(spark):
         return spatial.knn_candidates(t, s, 1, base=1000.0, max_distance=3000.0).count()
 
     assert candidates(2000) < 14 * candidates(200)
+
+
+def test_mooring_files_have_headers_of_their_own(spark, tmp):
+    import os
+
+    os.makedirs(f"{tmp}/m")
+    with open(f"{tmp}/m/a.tsv", "w") as f:
+        f.write("Timestamp (UTC)\tEastward u\tNorthward v\tTemperature\tConductivity\nUTC\tcm/s\tcm/s\tC\tmS/cm\n2020-01-01 00:00:00\t1.5\t2\t-1\t28\n2020-01-01 01:00:00\t1.5\t2\n\n")
+    with open(f"{tmp}/m/b.tsv", "w") as f:
+        f.write("timestamp\tconductivity\tdepth\ttemperature\tnorthward\teastward\n2020-01-02 00:00:00\t27\t9\t-2\t4\t3\n")
+    rows = fields.read_mooring(spark, f"{tmp}/m")
+    got = {r.time: (r.u_cm_s, r.v_cm_s, r.temperature_c, r.conductivity_ms_cm) for r in rows.where("rejected is null").collect()}
+    assert got == {"UTC": ("cm/s", "cm/s", "C", "mS/cm"), "2020-01-01 00:00:00": ("1.5", "2", "-1", "28"), "2020-01-02 00:00:00": ("3", "4", "-2", "27")}
+    audit = {os.path.basename(r.file): (r.n_records, r.n_rejected, r.n_undated) for r in fields.mooring_audit(rows).collect()}
+    assert audit == {"a.tsv": (3, 1, 1), "b.tsv": (1, 0, 0)}
+    assert fields.clean_mooring(rows).count() == 2
+    with open(f"{tmp}/m/c.tsv", "w") as f:
+        f.write("timestamp\teastward\n2020-01-02 00:00:00\t27\n")
+    with pytest.raises(Exception, match="northward"):
+        fields.read_mooring(spark, f"{tmp}/m").collect()
+
+
+def test_bilinear_keeps_repeated_rows(spark):
+    f = spark.createDataFrame([(i, j, float(i + 10 * j)) for i in range(4) for j in range(4)], "cell_i bigint, cell_j bigint, z double")
+    p = spark.createDataFrame([(1, 1.25, 2.5), (1, 1.25, 2.5), (2, 3.0, 3.0), (3, 3.5, 1.0), (4, None, 1.0)], "id bigint, x double, y double")
+    got = sorted((r.id, r.z) for r in spatial.sample_bilinear(p, f, origin=(0.0, 0.0), step=1.0, value="z").collect() if r.z is not None)
+    assert got == [(1, 26.25), (1, 26.25), (2, 33.0)]
