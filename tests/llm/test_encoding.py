@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 
 import public_tokenizers as P
 import pytest
@@ -101,11 +102,35 @@ def test_token_counts(spark, monkeypatch):
 
 
 def test_batches_are_balanced():
-    texts = ["a b c " * 5, "", "long text " * 100, "tail"]
-    batches = list(token_counts.balanced(texts, 64))
-    assert all(sum(map(len, parts)) <= 64 for _, parts in batches)
-    joined = {}
-    for rows, parts in batches:
-        for k, p in zip(rows, parts, strict=True):
-            joined[k] = joined.get(k, "") + p
-    assert joined == dict(enumerate(texts))
+    """By bytes: a character of three bytes weighs three times."""
+    parts = ["ab", "", "中" * 10, "c" * 30, "x" * 200, "tail", "é"]
+    batches = list(token_counts.balanced(parts, 64))
+    assert sum(batches, []) == parts
+    assert all(len("".join(b).encode()) <= 64 or len(b) == 1 for b in batches) and len(batches) == 3
+
+
+@pytest.mark.parametrize("stretch", [7, 64, 1 << 20])
+def test_segments_are_the_text(monkeypatch, stretch):
+    monkeypatch.setattr(token_counts, "STRETCH", stretch)
+    for text in ["", "x", "  a b\n\n c\td  e ", "long text " * 100, "x" * 500, "x" * 90 + " y " + "z" * 90, " 中文 字 " * 20]:
+        assert "".join(sum(token_counts.segments(text), [])) == text
+
+
+def test_counts_through_generations(monkeypatch):
+    """Segments that are forgotten, kept from the generation before, or too long to keep count alike."""
+    path = P.path("byte_bpe_50k.json")
+    monkeypatch.setattr(token_counts, "MOST_KEPT", 40)
+    monkeypatch.setattr(token_counts, "STRETCH", 300)
+    counter, tokenizer = token_counts.Counter(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    rng = random.Random(3)
+    for _ in range(12):
+        texts = [" ".join(rng.choice(["the", "of", "x" * 60, f"n{rng.randrange(200)}", "a\tb", "don't\n"]) for _ in range(rng.randrange(150))) for _ in range(4)]
+        assert counter.count(texts).tolist() == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(counter.before) > 0
+
+
+def test_token_counts_of_odd_tables(spark):
+    path = P.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "a b", "z"), (1, "a b", "z"), (2, None, None)], "doc_id bigint, text string, n_tokens string")
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs, path).collect()) == [(1, 3, 2, False), (1, 3, 2, False), (2, 0, 0, False)]
+    assert token_counts.token_counts(docs.limit(0), path).count() == 0
