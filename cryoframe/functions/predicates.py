@@ -68,10 +68,6 @@ def in_box(x: str, y: str, x0: float, x1: float, y0: float, y1: float) -> Column
     return F.col(x).between(x0, x1) & F.col(y).between(y0, y1)
 
 
-def in_half_open(v: Column, low: Column | float, high: Column | float) -> Column:
-    return (v >= low) & (v < high)
-
-
 def grounded_keep(mask_class: Column, to_nongrounded: Column, to_floating: Column, coast_m: float, line_m: float) -> Column:
     return F.coalesce((mask_class == GROUNDED) & (to_nongrounded >= coast_m) & (to_floating >= line_m), F.lit(False))
 

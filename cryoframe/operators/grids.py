@@ -140,13 +140,6 @@ def distance_to_class(field: DataFrame, target: Column, pixel_m: float, *, out:
     return cells.join(dist, ["cell_i", "cell_j"], "left").withColumn(out, F.when(F.col("_t"), 0.0).otherwise(F.col("_d"))).drop("_t", "_d")
 
 
-def box_median_pairs(nodes: DataFrame, field: DataFrame, half: float, *, size: float, x: str = "node_x", y: str = "node_y") -> DataFrame:
-    """(node, cell) rows with the cell centre in the square around the node."""
-    c = field.withColumn("_cx", (F.col("cell_i") + 0.5) * size).withColumn("_cy", (F.col("cell_j") + 0.5) * size)
-    j = radius_join(c, nodes, half * math.sqrt(2.0), xy=("_cx", "_cy"), node_xy=(x, y))
-    return j.where((F.abs(F.col("_cx") - F.col(x)) <= half) & (F.abs(F.col("_cy") - F.col(y)) <= half))
-
-
 def to_matrix(cells: DataFrame, value: str, columns: Sequence[int]) -> DataFrame:
     """Rows of a regular grid; an absent cell stays null, never zero."""
     return cells.groupBy("cell_j").pivot("cell_i", list(columns)).agg(F.first(value))

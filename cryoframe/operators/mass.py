@@ -64,10 +64,6 @@ def cumulative_mass(series: DataFrame, keys: Sequence[str], value: str, cell_m:
         "mass_gt", F.col("mean_anomaly") * F.col("n_nodes") * k).withColumn("mwe", F.col("mean_anomaly") * ice_density / 1000)
 
 
-def mass_rate(cumulative: DataFrame, *, year: str = "year") -> DataFrame:
-    return cumulative.agg(F.regr_slope("mass_gt", year).alias("rate_gt_yr"), F.min(year).alias("first"), F.max(year).alias("last"))
-
-
 def calibrate_slope_error(flags: DataFrame, *, slope: str, sigma: str, bins: int = 24, min_per_bin: int = 500) -> DataFrame:
     """sigma^2 = v0^2 + (sh * slope)^2 from medians in quantile classes of slope. One row."""
     from cryoframe.operators.ranks import quartile_class
@@ -117,11 +113,3 @@ def layer_metrics(
              F.max_by(depth, F.when(F.col("_g").isNotNull(), F.struct("_g", F.negate(F.col(depth))))).alias("thermocline_depth"))
         .withColumn("speed_mean", F.hypot("u_mean", "v_mean"))
     )
-
-
-def yearly_means(monthly: DataFrame, keys: Sequence[str], values: Sequence[str], *, year: str = "year", month: str = "month", season: Sequence[int] = (6, 7, 8)) -> DataFrame:
-    """Mean over a complete season; any other month, or a missing one, is an error."""
-    seen = {r[0] for r in monthly.select(month).distinct().limit(13).collect()}  # at most twelve values
-    if seen != set(season):
-        raise ValueError(f"months {sorted(seen)} are not exactly {sorted(season)}")
-    return monthly.groupBy(*keys, year).agg(*[F.avg(v).alias(v) for v in values])

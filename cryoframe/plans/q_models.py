@@ -11,7 +11,7 @@ from cryoframe.functions import timecols
 from cryoframe.operators import interpolate, ranks, rates, slopes, spatial, trend, yearblocks
 from cryoframe.operators.blocks import node_series, plane_aggregates, plane_solution
 from cryoframe.plans.base import IDS, points, query, tile_nodes_sql, with_pts
-from cryoframe.plans.fit_sql import neighbours_sql, robust_sql
+from cryoframe.plans.fit_sql import TERMS, neighbours_sql, robust_sql, solved_sql
 from cryoframe.plans.q_spatial import CENT_SQL, CROSS_SQL, TRACK_SQL, centroids, crossing_table, nodes
 from cryoframe.plans.q_stats import FOLD_SQL, PAIR_SQL, agreement_pairs, folded
 from cryoframe.session import cut
@@ -237,7 +237,30 @@ def i09(spark, sf):
     return yearblocks.compare_models(blocks(spark, sf, beam="beam"), candidates={**yearblocks.MODEL_CANDIDATES, **yearblocks.SEASONAL_CANDIDATES})
 
 
-@query("I11_left_out_years")
+def left_out_sql(name: str, terms: list[str]) -> list[str]:
+    """Each year of a node predicted from the others: pooled error as ``name`` (node_x, node_y, model, oos_rmse)."""
+    k, keys = len(terms), "node_x, node_y, held"
+    predicted = "+".join(f"f.x{i}_0*q{i}" for i in range(k))
+    return [
+        f"{name}q AS MATERIALIZED (SELECT node_x, node_y, year, h, w, {', '.join(f'{TERMS[t]} AS q{i}' for i, t in enumerate(terms))} FROM pw)",
+        f"{name}t AS (SELECT q.*, y.year AS held FROM {name}q q JOIN yr y USING (node_x, node_y) WHERE q.year<>y.year AND y.n>=3)",
+        *solved_sql(f"{name}f", f"{name}t", keys, k, 0),
+        f"{name} AS (SELECT node_x, node_y, '{name}' AS model, sqrt(sum(power(h-({predicted}), 2))/count(*)) AS oos_rmse FROM {name}q q JOIN {name}f f USING (node_x, node_y) WHERE q.year=f.held GROUP BY 1,2)",
+    ]
+
+
+LINEAR_TERMS = ["one", "rate", "u", "v", "uv", "uu", "vv"]
+
+
+@query(
+    "I11_left_out_years",
+    with_pts(
+        "SELECT node_x, node_y, model, oos_rmse FROM (SELECT DISTINCT node_x, node_y, unnest(['linear', 'linear_accel', 'linear_beam']) AS model FROM yr) LEFT JOIN (SELECT * FROM linear UNION ALL SELECT * FROM linear_accel UNION ALL SELECT node_x, node_y, 'linear_beam', oos_rmse FROM linear) USING (node_x, node_y, model)", tile_nodes_sql(50000, 10000),
+        neighbours_sql(15000, '"year", ', nodes="nodes").replace("1/(s_elv*s_elv+1E-12) AS w", "1.0E0 AS w"), "yr AS MATERIALIZED (SELECT node_x, node_y, year, count(*) AS n FROM pw GROUP BY 1,2,3)",
+        *left_out_sql("linear", LINEAR_TERMS), *left_out_sql("linear_accel", [*LINEAR_TERMS, "accel"]),
+    ),
+    floats="oos_rmse",
+)
 def i11(spark, sf):
     return yearblocks.compare_models(blocks(spark, sf)).select("node_x", "node_y", "model", "oos_rmse")
 
@@ -628,7 +651,12 @@ def m03(spark, sf):
 
 
 
-@query("D39_seasonal_amplitude")
+@query(
+    "D39_seasonal_amplitude",
+    with_pts("SELECT ci, cj, n, x1_0 AS rate, sqrt(x2_0*x2_0+x3_0*x3_0) AS amplitude FROM hf",
+             "rw AS (SELECT floor(x/20000)::BIGINT AS ci, floor(y/20000)::BIGINT AS cj, h, 1.0E0 AS w, 1.0E0 AS q0, t_year-1998.5E0 AS q1, cos(2*pi()*t_year) AS q2, sin(2*pi()*t_year) AS q3 FROM pts)", *solved_sql("hf", "rw", "ci, cj", 4, 0)),
+    floats="rate amplitude",
+)
 def d39(spark, sf):
     """Constant, trend and annual harmonic per cell from sums of products."""
     from cryoframe.operators.blocks import moment_sums, solve_sums
