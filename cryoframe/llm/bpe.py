@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from cryoframe.llm.common import claim, id_type, ids_and_texts, pieces, strings
 
 #: Bounds of what a Python worker keeps: transitions of the transducer, and pieces of text with their ids, in each of two generations.
-MOST_TRANSITIONS, MOST_PIECES = 300_000, 150_000
+MOST_TRANSITIONS, MOST_PIECES = 400_000, 250_000
 #: How often a worker looks for cycles as a rule.
 GC = gc.get_threshold()
 #: Bits of a token's number in a pair.
