@@ -25,7 +25,7 @@ from cryoframe.operators.spatial import cell
 from cryoframe.session import cut
 
 #: Width of a tile in radii, points from which a tile is cut up, and pairs that a task holds at a time.
-WIDTH, TILE_ROWS, PAIRS = 4, 400_000, 400_000
+WIDTH, TILE_ROWS, PAIRS = 4, 150_000, 400_000
 
 
 @dataclass(frozen=True)
