@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cryoframe.operators.spatial import knn_join, nearest_epoch, nearest_join, radius_join
+from cryoframe.operators.spatial import nearest_epoch, nearest_join, radius_join
 from cryoframe.session import cut
 
 
@@ -68,9 +68,9 @@ def classify_front(
     # Three branches read this table; written once, the shelf search is not run again for each.
     dated = cut(nearest_epoch(placed, fronts.select(shelf, epoch).distinct(), time=time, epoch=epoch, by=[shelf], max_gap=max_gap))
     verts = fronts.select(shelf, epoch, F.col("x").alias("sx"), F.col("y").alias("sy"), F.col(front_distance).alias("_df"))
-    hit = knn_join(dated.where("epoch_valid"), verts, 1, target_id=ids, source_id=["sx", "sy"], by=[shelf, epoch], base=base, max_distance=max_search)
+    hit = nearest_join(dated.where("epoch_valid"), verts, target_id=ids, source_id=["sx", "sy"], by=[shelf, epoch], base=base, max_distance=max_search)
     margin = F.col("_df") - tolerance - F.col(distance)
-    hit = hit.select(*ids, F.sqrt("d2").alias("front_dist"), margin.alias("margin"))
+    hit = hit.select(*ids, F.col("dist").alias("front_dist"), margin.alias("margin"))
     out = slim.select(*ids).join(dated.select(*ids, shelf, epoch, "epoch_gap", "epoch_valid"), list(ids), "left").join(hit, list(ids), "left")
     tested = F.col("margin").isNotNull()
     return (

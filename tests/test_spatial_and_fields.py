@@ -195,3 +195,24 @@ def test_bilinear_keeps_repeated_rows(spark):
     p = spark.createDataFrame([(1, 1.25, 2.5), (1, 1.25, 2.5), (2, 3.0, 3.0), (3, 3.5, 1.0), (4, None, 1.0)], "id bigint, x double, y double")
     got = sorted((r.id, r.z) for r in spatial.sample_bilinear(p, f, origin=(0.0, 0.0), step=1.0, value="z").collect() if r.z is not None)
     assert got == [(1, 26.25), (1, 26.25), (2, 33.0)]
+
+
+@pytest.mark.parametrize("most_targets, most_sources", [(300_000, 2_000_000), (7, 2_000_000), (300_000, 5)])
+def test_nearest_of_another_kind_makes_no_row_a_pair(spark, most_targets, most_sources):
+    """Ties by id, kinds that differ, tiles dealt to several groups or left to the pyramid: the same rows, and never more than the targets."""
+    from cryoframe.operators import nearest
+
+    rng = np.random.default_rng(3)
+    n = 400
+    pdf = pd.DataFrame({"g": rng.integers(0, 2, n), "t": range(n), "x": rng.integers(0, 60, n) * 100.0, "y": rng.integers(0, 60, n) * 100.0, "kind": rng.integers(0, 3, n)})
+    p = spark.createDataFrame(pdf)
+    src = p.select("g", F.col("t").alias("s"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("kind").alias("s_kind"))
+    found = nearest.nearest_join(p, src, target_id=["t"], source_id=["s"], by=["g"], unlike=("kind", "s_kind"), base=200.0, max_distance=300.0, most_targets=most_targets, most_sources=most_sources)
+    got = {r.t: (r.s, r.dist) for r in found.collect()}
+    want = {}
+    for r in pdf.itertuples():
+        o = pdf[(pdf.g == r.g) & (pdf.kind != r.kind)]
+        d = np.sqrt((o.x - r.x) ** 2 + (o.y - r.y) ** 2)
+        if d.min() <= 300:
+            want[r.t] = (o.t[d == d.min()].min(), d.min())
+    assert got == want
