@@ -109,8 +109,9 @@ def positional_flags(points: DataFrame, flags: DataFrame, keep: Column, *, file:
     count = lambda d, c: d.groupBy(file).agg(F.count(F.lit(1)).alias(c))
     equal = count(points, "_a").join(count(flags, "_b"), file).where(F.col("_a") == F.col("_b")).select(file, F.lit(True).alias("paired"))
     judged = flags.select(file, row, F.coalesce(keep, F.lit(False)).alias("_keep"))
+    # One row a granule, as many as the listing names: without the hint, all rows of a granule may be sorted in one task.
     return (
-        points.join(equal, file, "left")
+        points.join(F.broadcast(equal), file, "left")
         .withColumn("paired", F.coalesce("paired", F.lit(False)))
         .join(judged, [file, row], "left")
         .where(~F.col("paired") | F.coalesce("_keep", F.lit(True)))

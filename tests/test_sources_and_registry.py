@@ -190,3 +190,16 @@ def test_plans_stay_small(spark):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() == 1
+
+
+def test_positional_pairing_does_not_gather_a_granule_in_one_task(spark):
+    """The check of row counts per granule is no reason to shuffle points by granule alone."""
+    rows = spark.range(2000).select(F.lit("a").alias("file"), F.col("id").alias("row"), (F.col("id") % 3).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = points.positional_flags(rows, rows.select("file", "row", "v"), F.col("v") == 0)
+        plan = held._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [file" in plan
+        assert held.count() == 667
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
