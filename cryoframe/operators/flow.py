@@ -149,16 +149,21 @@ def trajectories(
 
 def lagrangian_rates(
     tracks: DataFrame, points: DataFrame, *, ids: Sequence[str], radius: float = 3000.0, height: str = "h", epoch: str = "epoch", min_epochs: int = 4, min_obs: int = 30,
-    by: Sequence[str] = (),
+    by: Sequence[str] = (), windows: Sequence[str] = (),
 ) -> DataFrame:
     """Rate following each parcel: per epoch the median height near the moved parcel, then a line.
 
-    ``points`` carry ``epoch`` (and ``by``), so an epoch only meets its own positions.
+    ``points`` carry ``epoch`` (and ``by``), so an epoch only meets its own positions. ``windows`` are columns of ``tracks``
+    alone that repeat its epochs: a line a window, from medians that are found once.
     """
     moved = tracks.where("valid").select(*ids, *[b for b in by if b not in ids], epoch, F.col("px").alias("_px"), F.col("py").alias("_py"))
+    moved = moved.distinct() if windows else moved
     near = radius_join(points.select("x", "y", height, epoch, *by), moved, radius, node_xy=("_px", "_py"), by=[epoch, *by])
     groups = [*ids, *[b for b in by if b not in ids]]
     med = group_quantiles(near, [*groups, epoch], height, {"_h": 0.5})
+    if windows:
+        med = cut(med).join(tracks.where("valid").select(*groups, epoch, *windows), [*groups, epoch])
+        groups = [*groups, *windows]
     obs = med.groupBy(*groups).agg(F.sum("n").alias("n_obs"))
     fit = line_fit(med, groups, "_h", epoch, min_epochs=min_epochs)
     far = tracks.where("valid").groupBy(*groups).agg(

@@ -273,8 +273,7 @@ def i31(spark, sf):
     starts = F.filter(F.array(*[F.lit(e - 0.5) for e in epochs(spark, sf)[:-2]]), lambda s: (F.col("epoch") >= s) & (F.col("epoch") < s + 3))
     moved = cut(t.select("*", shelves).withColumn("window_start", F.explode(starts)))
     p = points(spark, sf).select("x", "y", "h", (F.col("year") + 0.5).alias("epoch"), F.when(F.col("pc") % 2 == 0, "even").otherwise("odd").alias("shelf"))
-    p = p.withColumn("window_start", F.explode(starts))
-    return flow.lagrangian_rates(moved, p, ids=["parcel"], by=["shelf", "window_start"], radius=5000.0, min_epochs=3)
+    return flow.lagrangian_rates(moved, p, ids=["parcel"], by=["shelf"], windows=["window_start"], radius=5000.0, min_epochs=3)
 
 
 @query(

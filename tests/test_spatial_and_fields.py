@@ -216,3 +216,16 @@ def test_nearest_of_another_kind_makes_no_row_a_pair(spark, most_targets, most_s
         if d.min() <= 300:
             want[r.t] = (o.t[d == d.min()].min(), d.min())
     assert got == want
+
+
+def test_windows_share_the_medians_of_their_epochs(spark):
+    """Windows repeat epochs of the tracks, never points: the lines are those of each window by itself."""
+    rng = np.random.default_rng(2)
+    p = spark.createDataFrame(pd.DataFrame({"x": rng.uniform(-900, 900, 2000), "y": rng.uniform(-900, 900, 2000), "h": rng.normal(0, 1, 2000), "epoch": rng.integers(0, 6, 2000) + 0.5}))
+    t = spark.createDataFrame(pd.DataFrame({"parcel": 1, "epoch": np.arange(6) + 0.5, "px": np.arange(6) * 10.0, "py": 0.0, "valid": True}))
+    spans = F.filter(F.array(*[F.lit(float(s)) for s in range(4)]), lambda s: (F.col("epoch") >= s) & (F.col("epoch") < s + 3))
+    got = flow.lagrangian_rates(t.withColumn("w", F.explode(spans)), p, ids=["parcel"], windows=["w"], radius=800.0, min_epochs=3).orderBy("w").collect()
+    assert [r.w for r in got] == [0.0, 1.0, 2.0, 3.0]
+    for r in got:
+        one = flow.lagrangian_rates(t.where((F.col("epoch") >= r.w) & (F.col("epoch") < r.w + 3)), p, ids=["parcel"], radius=800.0, min_epochs=3).first()
+        assert (r.n_obs, r.n_epochs) == (one.n_obs, one.n_epochs) and abs(r.dhdt_lagrangian - one.dhdt_lagrangian) < 1e-9
