@@ -164,3 +164,14 @@ def test_windows_and_hindcast(spark, node):
     assert rates.expanding_windows(2019.0, 3.0, 2023.4) == [(2019.0, 2022.0), (2019.0, 2023.0), (2019.0, 2024.0)]
     g = rates.hindcast(spark.createDataFrame(rate_cloud()), node, 2023.0, replace(P, time_order=1)).toPandas()
     assert (g["gain"] > 0.5).all()
+
+
+def test_lag_one_is_dealt_to_more_tasks_without_a_second_shuffle(spark):
+    """What a task sorts is bounded by ``parts``; the windows run on those partitions as they are."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame(pd.DataFrame({"k": rng.integers(0, 3, 900), "t": rng.uniform(0, 2, 900), "r": rng.normal(0, 1, 900)}))
+    whole, dealt = (yearblocks.lag_one(rows, ["k"], "r", "t", parts=p) for p in (None, 37))
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "_s" in plan and plan.count("37), REPARTITION_BY_NUM") == 1 and plan.count("hashpartitioning(k#") <= 2 + plan.count("Final Plan")
+    a, b = (d.orderBy("k").toPandas() for d in (whole, dealt))
+    assert a.n.tolist() == b.n.tolist() and np.allclose(a.ac1, b.ac1, atol=1e-12)
