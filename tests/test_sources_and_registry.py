@@ -194,7 +194,7 @@ def test_entry(spark):
 
 def test_positional_pairing_does_not_gather_a_granule_in_one_task(spark):
     """The check of row counts per granule is no reason to shuffle points by granule alone."""
-    rows = spark.range(2000).select(F.lit("a").alias("file"), F.col("id").alias("row"), (F.col("id") % 3).alias("v"))
+    rows = spark.range(2000).select(F.concat(F.lit("f"), F.col("id") % 2).alias("file"), F.col("id").alias("row"), (F.col("id") % 3).alias("v"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         held = points.positional_flags(rows, rows.select("file", "row", "v"), F.col("v") == 0)
