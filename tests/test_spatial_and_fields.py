@@ -229,3 +229,13 @@ def test_windows_share_the_medians_of_their_epochs(spark):
     for r in got:
         one = flow.lagrangian_rates(t.where((F.col("epoch") >= r.w) & (F.col("epoch") < r.w + 3)), p, ids=["parcel"], radius=800.0, min_epochs=3).first()
         assert (r.n_obs, r.n_epochs) == (one.n_obs, one.n_epochs) and abs(r.dhdt_lagrangian - one.dhdt_lagrangian) < 1e-9
+
+
+def test_tiles_with_halo_are_not_shuffled_to_find_the_active_ones(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = spark.range(400).select((F.col("id") % 20 * 100.0).alias("x"), (F.col("id") / 4).alias("y"))
+        plan = spatial.halo_tiles(p, 500.0, 100.0)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [tile_i" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
