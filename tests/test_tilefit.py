@@ -107,3 +107,24 @@ def test_nothing_to_fit(spark):
 def test_medians_of_segments():
     owner = np.repeat([0, 2, 5], [3, 4, 1])
     assert tilefit.medians(np.array([3.0, 1, 2, 9, 1, 5, 2, 7]), owner).tolist() == [2.0, 3.5, 7.0]
+
+
+def test_long_segments_give_the_same_medians_and_years():
+    rng = np.random.default_rng(5)
+    owner = np.repeat([1, 4, 5], [3, 4000, 2001])
+    values, year = rng.normal(size=len(owner)), rng.integers(1990, 2000, len(owner))
+    for on in (np.ones(len(owner), bool), owner == 1):  # long segments and a short one
+        groups = [owner[on] == g for g in np.unique(owner[on])]
+        np.testing.assert_array_equal(tilefit.medians(values[on], owner[on]), [np.median(values[on][g]) for g in groups])
+        for when in (year[on], year[on] * 10**12):  # numbers that no table of counts can hold, too
+            np.testing.assert_array_equal(tilefit.distinct(when, owner[on]), [len(set(when[g])) for g in groups])
+    assert len(tilefit.distinct(year[:0], owner[:0])) == 0
+
+
+def test_tiles_are_dealt_to_tasks_of_their_own(spark):
+    """Tiles look small by their bytes: without a number of their own, adaptive execution puts several into one task."""
+    df = spark.range(2000).selectExpr("rand(1) * 100000 AS x", "rand(2) * 100000 AS y", "1995 + 5 * rand(3) AS t_year", "rand(4) AS h", "0.1D AS s_elv")
+    nodes = spark.range(9).selectExpr("(id % 3) * 40000D + 10000 AS node_x", "floor(id / 3) * 40000D + 10000 AS node_y")
+    fits = rates.node_rates(df, nodes, rates.RateParams(t_ref=1997.0))
+    assert fits.count() == 9
+    assert fits.rdd.getNumPartitions() >= tilefit.TASKS * spark.sparkContext.defaultParallelism
