@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cryoframe.operators import rates, tilefit
+from cryoframe.operators import interpolate, rates, tilefit
 from cryoframe.operators.tilefit import View
 
 P = rates.RateParams(radius=9_000.0, t_ref=2020.0, min_points=12, residual_limit=4.0)
@@ -128,3 +128,20 @@ def test_tiles_are_dealt_to_tasks_of_their_own(spark):
     fits = rates.node_rates(df, nodes, rates.RateParams(t_ref=1997.0))
     assert fits.count() == 9
     assert fits.rdd.getNumPartitions() >= tilefit.TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_fits_of_a_validation_are_worked_out_once(spark, monkeypatch):
+    """The nearest-node join reads the fits of the folds more than once; they are written before."""
+    seen = spark.sparkContext.accumulator(0)
+    fits = spark.range(6).selectExpr("cast(id % 2 as int) AS fold", "id * 1000D AS node_x", "0D AS node_y", "1D AS p0", "0.5D AS dhdt", "0.1D AS dhdt_err", "0.1D AS p0_err")
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(rates, "node_rates", lambda *a, **k: fits.mapInArrow(counted, fits.schema))
+    df = spark.range(40).selectExpr("id", "id * 150D AS x", "10D AS y", "2D AS h", "1998.5D AS t_year", "0.1D AS s_elv", "cast(id % 2 as int) AS fold")
+    r = interpolate.observation_validation(df, None, rates.RateParams(t_ref=1998.5), n_folds=2, max_distance=10_000.0, ids=["id"])
+    assert [x.resid for x in r.collect()] == [1.0] * 40
+    assert seen.value == 6
