@@ -45,3 +45,18 @@ def test_brackets_hold_both_medians(values):
     middle = np.array([(n - 1) // 2, n // 2])
     assert passes._pick(values[one], np.ones(one.sum(), int), middle - found[4]) == median
     assert passes._pick(np.abs(values[two] - median), np.ones(two.sum(), int), middle - found[5]) == mad
+
+
+def test_passes_read_runs_not_rows(spark, monkeypatch):
+    """A pass gets a row a run: turning points into columns again in each pass took longer than the fits."""
+    read = []
+    real = passes._pass
+    monkeypatch.setattr(passes, "_pass", lambda points, *a: read.append(points.count()) or real(points, *a))
+    df = spark.range(4000).selectExpr("rand(1) * 20000 AS x", "rand(2) * 20000 AS y", "1995 + 5 * rand(3) AS t_year", "rand(4) AS h", "0.1D AS s_elv")
+    nodes = spark.createDataFrame([(10_000.0, 10_000.0)], "node_x double, node_y double")
+    q = rates.RateParams(t_ref=1997.0)
+    slow = rates.node_rates(df, nodes, q, limit=10).collect()
+    assert read and max(read) <= 2 * spark.sparkContext.defaultParallelism
+    fast = rates.node_rates(df, nodes, q).collect()
+    assert len(slow) == len(fast) == 1 and slow[0].nobs == fast[0].nobs
+    np.testing.assert_allclose(slow[0].coef, fast[0].coef, rtol=1e-9)
