@@ -112,3 +112,21 @@ def test_block_folds_are_whole_and_do_not_leak(spark):
     ranks.assert_no_leak(train, test, ["id", "fold"])
     with pytest.raises(AssertionError):
         ranks.assert_no_leak(test, test, ["id", "fold"])
+
+
+def test_rolling_filters_of_all_settings_come_from_one_pass(spark):
+    """Before, each setting shuffled all rows again, and each frame was an array of a Spark window."""
+    rng = np.random.default_rng(5)
+    df = pd.DataFrame({"track_id": np.repeat([1, 2, 3], [150, 4, 60]), "beam": 1})
+    df["pos"] = df.groupby("track_id").cumcount()
+    df["h"] = rng.normal(size=len(df)) + 20 * (rng.random(len(df)) < 0.05)
+    rows, settings = spark.createDataFrame(df), [(21, 5), (11, 3)]
+    got = tracks.along_track_flags(rows, height="h", chunk_rows=40, settings=settings).toPandas().sort_values(["track_id", "pos"])
+    for k, (w, f) in enumerate(settings):
+        half, wide = w // 2 + (1 - w % 2), (w * f + 1 - w * f % 2) // 2
+        h = df.groupby("track_id").h
+        resid = df.h - h.transform(lambda x: x.rolling(2 * half + 1, center=True, min_periods=1).median())  # noqa: B023
+        mad = (1.4826 * resid.abs().groupby(df.track_id).transform(lambda x: x.rolling(2 * wide + 1, center=True, min_periods=1).median())).clip(lower=0.1)  # noqa: B023
+        n = h.transform("size")
+        want = (df.pos >= half) & (n - 1 - df.pos >= half) & (resid.abs() > 5 * mad)
+        assert want.any() and got[f"bad{k}"].tolist() == want.tolist()
