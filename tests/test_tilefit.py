@@ -145,3 +145,22 @@ def test_fits_of_a_validation_are_worked_out_once(spark, monkeypatch):
     r = interpolate.observation_validation(df, None, rates.RateParams(t_ref=1998.5), n_folds=2, max_distance=10_000.0, ids=["id"])
     assert [x.resid for x in r.collect()] == [1.0] * 40
     assert seen.value == 6
+
+
+@pytest.mark.parametrize("limit", [rates.NODE_LIMIT, 20])
+def test_a_node_that_sees_a_sliver_is_fitted(spark, limit):
+    """Terms about the node told points of a sliver at the far side apart in their last digits: such nodes were dropped, or fitted by noise."""
+    r = np.random.default_rng(3)
+    n, p = 400, rates.RateParams(radius=15_000.0, t_ref=2020.0, weighted=False, n_sigma=50.0, rate_limit=1e9)
+    x, y, t = r.uniform(-1_000, 1_000, n), 14_900 + 10.0 * r.integers(0, 7, n), 2018 + r.uniform(0, 5, n)
+    h = 500 - 0.5 * (t - 2020) + 1e-4 * x + r.normal(0, 0.2, n)
+    df = pd.DataFrame({"x": x, "y": y, "t_year": t, "h": h, "s_elv": 0.1})
+    got = rates.node_rates(spark.createDataFrame(df), spark.createDataFrame([(0.0, 0.0)], "node_x double, node_y double"), p, limit=limit).toPandas()
+    assert len(got) == 1
+    # The definition, about the middle of the points; the height and the rate at the node follow by going there.
+    a = rates._design(p.terms, t - 2020, x / 1e3, (y - 14_930) / 30)
+    coef = np.linalg.lstsq(a, h, rcond=None)[0]
+    at_node = rates._design(p.terms, np.zeros(1), np.zeros(1), np.array([-14_930 / 30]))[0]
+    cov = np.linalg.inv(a.T @ a) * ((h - a @ coef) ** 2).sum() / (n - len(coef))
+    assert np.isclose(got.p0[0], at_node @ coef, rtol=1e-7) and np.isclose(got.dhdt[0], coef[1], rtol=1e-7)
+    assert np.isclose(got.p0_err[0], np.sqrt(at_node @ cov @ at_node), rtol=1e-6) and np.isclose(got.dhdt_err[0], cov[1, 1] ** 0.5, rtol=1e-6)
