@@ -175,3 +175,19 @@ def test_lag_one_is_dealt_to_more_tasks_without_a_second_shuffle(spark):
     assert "_s" in plan and plan.count("37), REPARTITION_BY_NUM") == 1 and plan.count("hashpartitioning(k#") <= 2 + plan.count("Final Plan")
     a, b = (d.orderBy("k").toPandas() for d in (whole, dealt))
     assert a.n.tolist() == b.n.tolist() and np.allclose(a.ac1, b.ac1, atol=1e-12)
+
+
+def test_years_of_a_sliver_are_predicted(spark):
+    """Sums about the node lost what tells points of a sliver at its rim apart: left-out years were predicted by noise, or not at all."""
+    r = np.random.default_rng(4)
+    n = 600
+    pdf = pd.DataFrame({"x": r.uniform(-1e3, 1e3, n), "y": 14_900 + 10.0 * r.integers(0, 7, n), "t_year": 2018 + r.uniform(0, 5, n), "node_x": 0.0, "node_y": 0.0})
+    pdf["h"] = 500 - 0.5 * (pdf.t_year - 2020) + 1e-4 * pdf.x + r.normal(0, 0.2, n)
+    blocks = yearblocks.year_blocks(spark.createDataFrame(pdf), radius=15_000.0, t_ref=2020.0)
+    got = yearblocks.compare_models(blocks, candidates={"linear": yearblocks.LINEAR}).first()
+    u, v, year, miss = pdf.x / 1e3, (pdf.y - 14_930) / 30, np.floor(pdf.t_year), []
+    a = np.c_[np.ones(n), pdf.t_year - 2020, u, v, u * v, u * u, v * v]
+    for y in np.unique(year):
+        out = year == y
+        miss.append((pdf.h - a @ np.linalg.lstsq(a[~out], pdf.h[~out], rcond=None)[0])[out])
+    assert np.isclose(got["oos_rmse"], np.sqrt(np.mean(np.concatenate(miss) ** 2)), rtol=1e-7)
