@@ -130,3 +130,12 @@ def test_rolling_filters_of_all_settings_come_from_one_pass(spark):
         n = h.transform("size")
         want = (df.pos >= half) & (n - 1 - df.pos >= half) & (resid.abs() > 5 * mad)
         assert want.any() and got[f"bad{k}"].tolist() == want.tolist()
+
+
+def test_only_the_slice_of_a_median_moves(spark):
+    """Before, all values of a large group were shuffled to find its median."""
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.sin(F.col("id") * 1.7).alias("v"))
+    plan = skew._sliced_quantiles(df, ["g"], "v", {"m": 0.5})._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi") and "strategy=broadcast" in plan[plan.index("LeftSemi") :].split("\n")[0]
+    moved = plan[: plan.index("LeftSemi")]
+    assert moved.count("Aggregate [") == 2  # of the medians, and of the few rows that are left by then
